@@ -82,8 +82,10 @@ def trace_features(log: DataFrame) -> DataFrame:
     )
 
 
-def cohort_candidates(log: DataFrame, spec: MiningSpec, scale: Scale) -> DataFrame:
-    """Cohorts where a rule activity is at least 20 % more common than overall."""
+def cohort_candidates(
+    log: DataFrame, spec: MiningSpec, scale: Scale, least: float = 0.2
+) -> DataFrame:
+    """Cohorts where a rule activity is more common than overall by at least `least`."""
     entries = [
         F.struct(
             F.lit(kind).alias("candidate_type"),
@@ -115,7 +117,7 @@ def cohort_candidates(log: DataFrame, spec: MiningSpec, scale: Scale) -> DataFra
     delta = (F.col("observed") - F.col("comparison")) / F.col("comparison")
     return _finish(
         got.where(
-            (F.col("cases") >= spec.min_cohort) & (F.col("comparison") > 0) & (delta >= 0.2)
+            (F.col("cases") >= spec.min_cohort) & (F.col("comparison") > 0) & (delta >= least)
         ).withColumn("median_hours", F.col("median"))
     )
 
@@ -176,14 +178,16 @@ def slow_transitions(stats: DataFrame, spec: MiningSpec, scale: Scale) -> DataFr
     )
 
 
-def slow_variants(variants: DataFrame, spec: MiningSpec, scale: Scale) -> DataFrame:
-    """Variants of enough cases with a median duration of at least 1.5 × the median of all."""
+def slow_variants(
+    variants: DataFrame, spec: MiningSpec, scale: Scale, factor: float = 1.5
+) -> DataFrame:
+    """Variants of enough cases with a median duration of at least factor × the median of all."""
     base = summarise(variants, [], "duration_median", (0.5,), scale).select(
         F.col("median").alias("comparison")
     )
     got = variants.crossJoin(F.broadcast(base))
     keep = (F.col("cases") >= spec.min_variant) & (
-        F.col("duration_median") >= F.col("comparison") * 1.5
+        F.col("duration_median") >= F.col("comparison") * factor
     )
     return _finish(
         got.where(keep).select(
