@@ -43,10 +43,14 @@ def _worked(wall: Column, cal: Calendar) -> Column:
     return days * F.lit(full) + F.when(weekday < 5, today).otherwise(F.lit(0))
 
 
+def worked_micros(ts: Column, cal: Calendar) -> Column:
+    """Working microseconds from a fixed Monday to ts: differences give working time."""
+    return _worked(wall_micros(ts, cal.zone), cal)
+
+
 def business_micros(start: Column, end: Column, cal: Calendar) -> Column:
     """Working microseconds in [start, end); integers, so sums are exact."""
-    worked = _worked(wall_micros(end, cal.zone), cal) - _worked(wall_micros(start, cal.zone), cal)
-    return F.when(end >= start, worked)
+    return F.when(end >= start, worked_micros(end, cal) - worked_micros(start, cal))
 
 
 def business_hours(start: Column, end: Column, cal: Calendar) -> Column:

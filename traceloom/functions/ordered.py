@@ -34,9 +34,14 @@ def scan(
     ahead: Exprs | None = None,
     totals: Exprs | None = None,
     highest: Exprs | None = None,
+    cluster: Sequence[str] = (),
 ) -> DataFrame:
     """Add ordered columns per key.
 
+    ``cluster`` names a prefix of the key that later steps are keyed by: the rows
+    are then distributed by it once, and neither this scan nor those steps need
+    another exchange (unless one of its values is too large for a task).
+
     position   0-based row number
     previous   value on the row before        following  value on the row after
     running    sum up to and with this row    totals     sum over the whole key
@@ -54,6 +59,9 @@ def scan(
         "totals": dict(totals or {}),
         "highest": dict(highest or {}),
     }
+    if cluster and (scale.small or not _oversized(df, cluster, scale)):
+        df = df.repartition(*cluster)
+        return _plain(df, list(key), list(order), position, parts)
     if scale.small:
         return _plain(df, list(key), list(order), position, parts)
 
@@ -71,6 +79,11 @@ def scan(
     return cold.unionByName(wide.select(*cold.columns))
 
 
+def _oversized(df: DataFrame, key: Sequence[str], scale: Scale) -> bool:
+    counts = df.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"))
+    return not counts.where(F.col("_n") > scale.limit).isEmpty()
+
+
 def _ordered_columns(by, order, position, parts) -> dict[str, Column]:
     w = Window.partitionBy(*by).orderBy(*order)
     upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.calendar import MICROS_HOUR, business_micros, hours_between
+from ..functions.calendar import MICROS_HOUR, business_micros, hours_between, worked_micros
 from ..functions.ordered import scan
 from ..session import Scale
 from ..spec import BaselineSpec
@@ -91,11 +91,12 @@ def _annotate(rows: DataFrame, spec: BaselineSpec, scale: Scale) -> DataFrame:
     )
     surplus = F.col("n_resp") - F.col("n_req")
     return scan(
-        first,
+        first.withColumn("work_at", worked_micros(F.col("event_at"), spec.calendar)),
         ["case_id"],
         ORDER,
         scale,
         previous={"actor_before": F.col("actor_seen")},
+        following={"next_work": F.col("work_at")},
         peak={"_surplus": surplus},
         highest={"_surplus_all": surplus},
         totals={"t_owner_first": _flag(_is(r.assigned, r.reassigned) & (F.col("n_start") == 0))},
@@ -136,17 +137,14 @@ def _waiting(spec: BaselineSpec) -> dict[str, Column]:
     lost_retry = (F.col("last_sched") == r.failed) & (F.col("n_start") == F.col("t_start"))
     cutoff = F.lit(spec.cutoff).cast("timestamp")
     is_open = (F.col("t_end") == 0) & F.lit(spec.include_open)
-    at, nxt = F.col("event_at"), F.col("next_at")
+    at, until = F.col("event_at"), worked_micros(cutoff, spec.calendar)
     closed_wait = F.coalesce(closed_wait, F.lit(False))
     open_wait = is_open & F.coalesce(lost_request | lost_retry, F.lit(False)) & (at < cutoff)
-    gap = (
-        F.when(closed_wait & nxt.isNotNull(), business_micros(at, nxt, spec.calendar))
-        .when(
-            open_wait,
-            business_micros(at, F.least(F.coalesce(nxt, cutoff), cutoff), spec.calendar),
-        )
-        .otherwise(F.lit(0))
+    # cumulative working time is monotone, so clipping at the cutoff can be done on it
+    ends = F.when(closed_wait, F.col("next_work")).when(
+        open_wait, F.least(F.coalesce("next_work", until), until)
     )
+    gap = F.coalesce(ends - F.col("work_at"), F.lit(0))
     unanswered = (_is(r.request) & lost_request) | (_is(r.failed) & lost_retry)
     unanswered = F.coalesce(unanswered, F.lit(False))
     extended = unanswered & is_open & (at <= cutoff)
@@ -162,14 +160,15 @@ def case_aggregates(
 ) -> DataFrame:
     """One row per case that has events: every ingredient of the metrics and flags."""
     r = spec.roles
-    rows = _annotate(timeline(events, cases, spec, scale), spec, scale)
-    spot = F.struct("pos", "event_at", "event_id")
+    narrowed = bool(spec.period_start or spec.period_end)
+    rows = _annotate(timeline(events, cases, spec, scale, known_only=narrowed), spec, scale)
 
+    # positions follow time, so the first event of a kind is the one with the smallest time
     def first(cond: Column) -> Column:
-        return F.min(F.when(cond, spot))
+        return F.min(F.when(cond, F.col("event_at")))
 
     def last(cond: Column) -> Column:
-        return F.max(F.when(cond, spot))
+        return F.max(F.when(cond, F.col("event_at")))
 
     delay = hours_between(F.col("event_at"), F.col("ingested_at"))
     aggs = {
@@ -236,19 +235,19 @@ def case_metrics(
 
     cutoff = F.lit(spec.cutoff).cast("timestamp")
     got, end = F.col("received"), F.col("terminal")
-    got_at, end_at = F.col("received.event_at"), F.col("terminal.event_at")
+    got_at, end_at = got, end
     none, hours = F.lit(None).cast("double"), hours_between
     reversed_ = end.isNotNull() & (end_at < got_at)
     open_ok = F.lit(spec.include_open) & (cutoff >= got_at)
     inferred = F.greatest(F.lit(0), n("checks") - 1) + F.greatest(F.lit(0), n("requests") - 1)
-    progress_at = F.col("last_progress.event_at")
+    progress_at = F.col("last_progress")
     check, booked = F.col("first_check"), F.col("first_booked")
-    cat_at = F.col("cat_before_assigned.event_at")
+    cat_at = F.col("cat_before_assigned")
     both = (n("cats") > 0) & F.col("first_assigned").isNotNull()
     ended_status = F.col("status").isin("completed", "cancelled", "rejected", "closed_other")
 
     def since_receipt(event: str) -> tuple[Column, Column]:
-        at, ok = F.col(f"{event}.event_at"), got.isNotNull() & F.col(event).isNotNull()
+        at, ok = F.col(event), got.isNotNull() & F.col(event).isNotNull()
         value = F.when(ok & (at >= got_at), hours(got_at, at))
         return value, ok & (at < got_at)
 
@@ -318,7 +317,7 @@ def case_metrics(
         "assignment_wait_business_hours": (
             F.when(
                 both & cat_at.isNotNull(),
-                business_micros(cat_at, F.col("first_assigned.event_at"), spec.calendar)
+                business_micros(cat_at, F.col("first_assigned"), spec.calendar)
                 / F.lit(float(MICROS_HOUR)),
             ),
             F.when(~both, "unavailable")

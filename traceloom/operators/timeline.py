@@ -50,7 +50,7 @@ def empty_cases(events: DataFrame, cases: DataFrame) -> DataFrame:
 
 def with_copies(events: DataFrame, scale: Scale) -> DataFrame:
     """Number the copies of each source identity inside its case; 0 is the one kept."""
-    return scan(events, IDENTITY, ORDER, scale, position="copy_no")
+    return scan(events, IDENTITY, ORDER, scale, position="copy_no", cluster=["case_id"])
 
 
 def deduplicate(events: DataFrame, scale: Scale) -> DataFrame:
@@ -58,15 +58,23 @@ def deduplicate(events: DataFrame, scale: Scale) -> DataFrame:
 
 
 def timeline(
-    events: DataFrame, cases: DataFrame, spec: BaselineSpec, scale: Scale
+    events: DataFrame,
+    cases: DataFrame,
+    spec: BaselineSpec,
+    scale: Scale,
+    *,
+    known_only: bool = True,
 ) -> DataFrame:
     """Events of known cases in the period, first copy only, with position and neighbours.
 
-    The semi join already distributes the events by case, and every later window
-    and per-case aggregate keeps that distribution.
+    The events are distributed by case once; every later window and per-case
+    aggregate keeps that distribution.  With ``known_only=False`` orphans stay,
+    for callers that join the result to the cases anyway.
     """
-    known = filter_period(cases, spec).select("case_id")
-    kept = deduplicate(events.join(known, "case_id", "left_semi"), scale)
+    if known_only:
+        known = filter_period(cases, spec).select("case_id")
+        events = events.join(known, "case_id", "left_semi")
+    kept = deduplicate(events, scale)
     return scan(
         kept,
         ["case_id"],
@@ -118,7 +126,7 @@ def case_flags(
     events: DataFrame, cases: DataFrame, spec: BaselineSpec, scale: Scale
 ) -> DataFrame:
     """One row per case of the period, also for cases without events."""
-    rows = timeline(events, cases, spec, scale)
+    rows = timeline(events, cases, spec, scale, known_only=bool(spec.period_start or spec.period_end))
     flags = rows.groupBy("case_id").agg(*flag_aggregates(spec))
     copies = (
         events.groupBy(*IDENTITY)

@@ -8,6 +8,7 @@ from .. import vocab
 from ..operators import opportunities as op
 from ..sources.files import research_problems
 from ..sources.snapshots import research_observations
+from ..session import pin
 from ..spec import OpportunitySpec
 from . import queries_mining as m
 from . import sql as q
@@ -213,9 +214,17 @@ ranked AS (
 )
 
 
+_PORTFOLIOS: dict[tuple, Portfolio] = {}
+
+
 def portfolio(spark, folder) -> Portfolio:
-    ws = Workspace.of_sessions(spark, folder, store=True)
-    return Portfolio(ws, research_observations(spark, folder, _ARCH), OpportunitySpec())
+    """The stored stage tables of a folder, built once per application and shared."""
+    key = (spark.sparkContext.applicationId, folder)
+    if key not in _PORTFOLIOS:
+        ws = Workspace.of_sessions(spark, folder, store=True)
+        told = pin(research_observations(spark, folder, _ARCH))
+        _PORTFOLIOS[key] = Portfolio(ws, told, OpportunitySpec())
+    return _PORTFOLIOS[key]
 
 
 @query(
@@ -348,7 +357,7 @@ def value_score(spark, folder):
     with_(
         BURDEN,
         "SELECT opportunity_id, quantitative, source_types, max_sample, warned, qualitative, contradictions, "
-        "round(confidence_score, 6) AS confidence_score FROM ranked" + _SAME,
+        "CAST(round(confidence_score, 6) AS DOUBLE) AS confidence_score FROM ranked" + _SAME,
     ),
 )
 def confidence_score(spark, folder):

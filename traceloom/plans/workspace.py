@@ -32,8 +32,9 @@ MINING = MiningSpec(calendar=UTC)
 class Workspace:
     """Baseline, mining and opportunity tables of one event log.
 
-    With ``store=True`` the two tables everything else reads, the case metrics
-    and the process log, are written to the shared folder once.
+    With ``store=True`` the tables that several others read (the log itself, case
+    metrics, process log, variant steps and their replay) are written to the
+    shared folder once and read back from there.
     """
 
     def __init__(
@@ -46,6 +47,8 @@ class Workspace:
         governed: ReferenceModel | None = None,
         store: bool = False,
     ) -> None:
+        if store:
+            log = EventLog(pin(log.events), pin(log.cases), log.scale)
         self.log, self.spec, self.mspec, self.store = log, baseline, mining_spec, store
         self.strict, self.governed = strict or strict_model(), governed or governed_model()
         self.spark = log.events.sparkSession
@@ -80,15 +83,15 @@ class Workspace:
 
     @cached_property
     def summaries(self) -> DataFrame:
-        return cohorts.cohort_summaries(self.wide, self.spec, self.scale)
+        return self._kept(cohorts.cohort_summaries(self.wide, self.spec, self.scale))
 
     @cached_property
     def values(self) -> DataFrame:
-        return cohorts.cohort_values(self.rollup, self.summaries, self.spec)
+        return self._kept(cohorts.cohort_values(self.rollup, self.summaries, self.spec))
 
     @cached_property
     def findings(self) -> DataFrame:
-        return cohorts.findings(self.values, cohorts.finding_rules(self.spark), self.spec)
+        return self._kept(cohorts.findings(self.values, cohorts.finding_rules(self.spark), self.spec))
 
     # --- process ----------------------------------------------------------
     @cached_property
@@ -100,11 +103,11 @@ class Workspace:
 
     @cached_property
     def transitions(self) -> DataFrame:
-        return mining.transition_stats(self.plog, self.mspec, self.scale)
+        return self._kept(mining.transition_stats(self.plog, self.mspec, self.scale))
 
     @cached_property
     def case_variants(self) -> DataFrame:
-        return variants.case_variants(self.plog, self.mspec, self.scale)
+        return self._kept(variants.case_variants(self.plog, self.mspec, self.scale))
 
     @cached_property
     def cores(self) -> DataFrame:
@@ -112,7 +115,7 @@ class Workspace:
 
     @cached_property
     def steps(self) -> DataFrame:
-        return variants.variant_events(self.plog, self.cores)
+        return self._kept(variants.variant_events(self.plog, self.cores))
 
     @cached_property
     def variants(self) -> DataFrame:
@@ -128,7 +131,7 @@ class Workspace:
 
     @cached_property
     def governed_replay(self) -> DataFrame:
-        return conformance.token_replay(self.steps, self.governed, self.scale)
+        return self._kept(conformance.token_replay(self.steps, self.governed, self.scale))
 
     @cached_property
     def strict_deviations(self) -> DataFrame:
@@ -136,7 +139,7 @@ class Workspace:
 
     @cached_property
     def governed_deviations(self) -> DataFrame:
-        return conformance.governed_deviations(self.steps, self.governed_replay, self.governed)
+        return self._kept(conformance.governed_deviations(self.steps, self.governed_replay, self.governed))
 
     @cached_property
     def strict_status(self) -> DataFrame:
