@@ -8,9 +8,11 @@ in the batch form and with keyed state and event-time timers in the stream.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -257,6 +259,8 @@ def detect_stream(
     snapshots: DataFrame, forms: DataFrame, spec: DetectorSpec, watermark: str = "0 seconds"
 ) -> DataFrame:
     """Streaming form of `detect`; needs the RocksDB state store provider."""
+    # the processor travels by value, so workers need not have this package installed
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
     rows = (
         decide(snapshots, forms, spec)
         .withWatermark("available_at", watermark)

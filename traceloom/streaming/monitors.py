@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import shared_folder
+from ..sources.sinks import path_exists
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -41,6 +42,8 @@ def run_to_end(stream: DataFrame, mode: str = "append", checkpoint: str | None =
         .start()
     )
     query.awaitTermination()
+    if not path_exists(spark, out):  # no input since the checkpoint
+        return spark.createDataFrame([], stream.schema.add("batch", "long"))
     return spark.read.schema(stream.schema.add("batch", "long")).option("basePath", out).parquet(out)
 
 
