@@ -389,8 +389,8 @@ def audit_build(records: DataFrame, scale: Scale, segment: int = SEGMENT) -> Dat
     # the accumulator starts with the predecessor's mark and grows by one mark per record
     marks = F.aggregate("items", F.array(F.col("before")), step)
     out = F.zip_with(
-        F.zip_with("items", F.slice(marks, 2, 2**31 - 1), lambda i, m: F.struct(i.alias("i"), m.alias("m"))),
-        F.slice(marks, 1, F.size("items")),
+        F.zip_with("items", F.slice(marks, F.lit(2), F.size("items")), lambda i, m: F.struct(i.alias("i"), m.alias("m"))),
+        F.slice(marks, F.lit(1), F.size("items")),
         lambda x, p: F.struct(x["i"].alias("i"), x["m"].alias("fingerprint"), p.alias("previous_fingerprint")),
     )
     return linked.select("chain_id", F.inline(out)).select(

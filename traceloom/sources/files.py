@@ -22,16 +22,6 @@ LABEL_DDL = (
     "label_id string, case_id string, valid_from timestamp, valid_until timestamp, "
     "status string, evidence_codes array<string>, schema_version int"
 )
-OBSERVATION = (
-    "struct<observation_id:string,affected_role:string,cohort_dimension:string,cohort_value:string,"
-    "reported_problem:string,frequency:string,severity:string,supported_archetypes:array<string>,"
-    "contradicts:array<string>,workflow_stage:string>"
-)
-RESEARCH_SESSION = (
-    f"session_id string, participant_id string, role string, observations array<{OBSERVATION}>"
-)
-
-
 def _as_struct(ddl: str) -> str:
     return "struct<" + ",".join(
         p.strip().replace(" ", ":", 1) for p in _split(ddl)
@@ -51,26 +41,46 @@ def _split(ddl: str) -> list[str]:
     return [*out, current]
 
 
-def read_bundle(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """A JSON bundle {cases: [...], events: [...], labels: [...], manifest: {...}}.
+OBSERVATION = (
+    "struct<observation_id:string,affected_role:string,cohort_dimension:string,cohort_value:string,"
+    "reported_problem:string,frequency:string,severity:string,supported_archetypes:array<string>,"
+    "contradicts:array<string>,workflow_stage:string>"
+)
+RESEARCH_SESSION = (
+    f"session_id string, participant_id string, role string, observations array<{OBSERVATION}>"
+)
 
-    Many bundles may lie under one path; each is one record.  For large data use
-    one Parquet table per entity instead.
-    """
-    schema = (
-        f"cases array<{_as_struct(CASE_DDL)}>, events array<{_as_struct(EVENT_DDL)}>, "
-        f"labels array<{_as_struct(LABEL_DDL)}>, "
-        "manifest struct<run_id:string,case_count:bigint,event_count:bigint,fingerprint:string>"
-    )
-    raw = spark.read.schema(schema).option("multiLine", True).json(path)
+
+_BUNDLE = (
+    f"cases array<{_as_struct(CASE_DDL)}>, events array<{_as_struct(EVENT_DDL)}>, "
+    f"labels array<{_as_struct(LABEL_DDL)}>, "
+    "manifest struct<run_id:string,case_count:bigint,event_count:bigint,fingerprint:string>"
+)
+
+
+def _entities(raw: DataFrame) -> dict[str, DataFrame]:
     return {
         "cases": raw.select(F.inline("cases")),
         "events": raw.select(F.inline("events")),
         "labels": raw.select(F.inline("labels")),
-        "manifest": raw.select("manifest.*"),
+        "manifest": raw.select("manifest.*").where(F.col("run_id").isNotNull()),
     }
 
 
+def read_bundle(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """JSON files that each hold one bundle {cases: [...], events: [...], labels: [...], manifest: {...}}.
+
+    One file is one record.  For large data use bundle lines or one Parquet
+    table per entity.
+    """
+    return _entities(spark.read.schema(_BUNDLE).option("multiLine", True).json(path))
+
+
+def read_bundle_lines(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """The same with one bundle per line, which splits over tasks."""
+    return _entities(spark.read.schema(_BUNDLE).json(path))
+
+
 def read_jsonl(spark: SparkSession, path: str, ddl: str) -> tuple[DataFrame, DataFrame]:
     """(good rows, bad lines).  Blank lines are skipped; a bad line keeps its text and file."""
     columns = [p.strip().split(" ")[0] for p in _split(ddl)]

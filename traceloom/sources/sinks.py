@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+# JSON times keep microseconds (the default writes milliseconds)
+JSON_TIME = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
 LEDGER = "run_id string, fingerprint string, status string, rows long, at timestamp"
 
 
@@ -39,8 +41,8 @@ def read_tables(spark: SparkSession, folder: str, *names: str) -> dict[str, Data
 
 def write_rows(df: DataFrame, path: str, *, overwrite: bool = False) -> str:
     """One JSON object per line, in as many files as the data has partitions."""
-    df.write.mode("overwrite" if overwrite else "errorifexists").option(
-        "ignoreNullFields", False
+    df.write.mode("overwrite" if overwrite else "errorifexists").options(
+        ignoreNullFields=False, timestampFormat=JSON_TIME
     ).json(path)
     return path
 

@@ -213,8 +213,8 @@ def session_cases(events: DataFrame) -> DataFrame:
     )
 
 
-def session_log(spark: SparkSession, folder: str) -> EventLog:
-    events = session_events(spark, folder)
+def session_log(spark: SparkSession, folder: str, gap_hours: float = 12.0) -> EventLog:
+    events = session_events(spark, folder, gap_hours)
     return EventLog(events, session_cases(events), table_scale(spark, folder, "events"))
 
 

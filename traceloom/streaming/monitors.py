@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..session import shared_folder
 from ..sources.sinks import path_exists
@@ -28,6 +29,7 @@ def run_to_end(stream: DataFrame, mode: str = "append", checkpoint: str | None =
     a repeated batch replaces itself.  Nothing is gathered in the driver.
     """
     spark = stream.sparkSession
+    schema = StructType([*stream.schema.fields, StructField("batch", LongType())])
     base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     out = f"{base}/out"
 
@@ -43,8 +45,8 @@ def run_to_end(stream: DataFrame, mode: str = "append", checkpoint: str | None =
     )
     query.awaitTermination()
     if not path_exists(spark, out):  # no input since the checkpoint
-        return spark.createDataFrame([], stream.schema.add("batch", "long"))
-    return spark.read.schema(stream.schema.add("batch", "long")).option("basePath", out).parquet(out)
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).option("basePath", out).parquet(out)
 
 
 def latest_update(emitted: DataFrame, key: list[str]) -> DataFrame:
