@@ -45,27 +45,31 @@ def _fold(items: Column, state: Column, model: ReferenceModel) -> Column:
     not know are skipped.
     """
     options_of = _model_map(model)
+    # one lookup per event, before the fold
+    known = F.filter(F.transform(items, lambda a: options_of[a]), lambda o: o.isNotNull())
 
-    def step(acc: Column, item: Column) -> Column:
-        options = options_of[item]
-        enabled = F.filter(options, lambda o: F.get(acc["tokens"], o["src"]) > 0)
-        has = F.size(enabled) > 0
-        chosen = F.when(has, F.get(enabled, F.lit(0))).otherwise(F.get(options, F.lit(0)))
+    def fire(acc: Column, options: Column, hit: Column) -> Column:
+        first = F.get(options, F.lit(0))
+        dst = F.coalesce(hit["dst"], first["dst"])
         moved = F.transform(
             acc["tokens"],
             lambda x, i: x
-            + F.when(i == chosen["dst"], 1).otherwise(0)
-            - F.when(has & (i == chosen["src"]), 1).otherwise(0),
+            + F.when(i == dst, 1).otherwise(0)
+            - F.when(i == hit["src"], 1).otherwise(0),
         )
-        return F.when(options.isNull(), acc).otherwise(
-            F.struct(
-                moved.alias("tokens"),
-                (acc["missing"] + F.when(has, 0).otherwise(1)).alias("missing"),
-                (acc["fired"] + 1).alias("fired"),
-            )
+        return F.struct(
+            moved.alias("tokens"),
+            (acc["missing"] + F.when(hit.isNull(), 1).otherwise(0)).alias("missing"),
+            (acc["fired"] + 1).alias("fired"),
         )
 
-    return F.aggregate(items, state, step)
+    def step(acc: Column, options: Column) -> Column:
+        enabled = F.filter(options, lambda o: F.get(acc["tokens"], o["src"]) > 0)
+        # a one-element array binds the chosen transition, so it is worked out once per event
+        bound = F.array(F.get(enabled, F.lit(0)))
+        return F.get(F.transform(bound, lambda hit: fire(acc, options, hit)), F.lit(0))
+
+    return F.aggregate(known, state, step)
 
 
 def token_replay(

@@ -47,8 +47,8 @@ class Workspace:
         governed: ReferenceModel | None = None,
         store: bool = False,
     ) -> None:
-        if store:
-            log = EventLog(pin(log.events), pin(log.cases), log.scale)
+        if store and not log.stored:
+            log = EventLog(pin(log.events), pin(log.cases), log.scale, stored=True)
         self.log, self.spec, self.mspec, self.store = log, baseline, mining_spec, store
         self.strict, self.governed = strict or strict_model(), governed or governed_model()
         self.spark = log.events.sparkSession

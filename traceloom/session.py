@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,6 +23,8 @@ def local_session(cores: str | int = "*", partitions: int = 8) -> SparkSession:
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")
+        # call-site capture on every column expression makes wide plans slow to build
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .getOrCreate()
     )
 
@@ -42,9 +45,14 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def pin(df: DataFrame) -> DataFrame:
-    """Write df to the shared folder and read it back: survives executor loss."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write df as a Parquet table in the shared folder and read it from there.
+
+    Cuts the lineage in a way that survives executor loss, and gives later steps
+    column pruning, pushdown and sizes to plan with.
+    """
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 @dataclass(frozen=True)

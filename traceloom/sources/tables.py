@@ -52,6 +52,7 @@ class EventLog:
     events: DataFrame
     cases: DataFrame
     scale: Scale
+    stored: bool = False  # both tables are read from storage, not derived on the fly
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
