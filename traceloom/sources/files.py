@@ -84,17 +84,19 @@ def read_bundle_lines(spark: SparkSession, path: str) -> dict[str, DataFrame]:
 def read_jsonl(spark: SparkSession, path: str, ddl: str) -> tuple[DataFrame, DataFrame]:
     """(good rows, bad lines).  Blank lines are skipped; a bad line keeps its text and file."""
     columns = [p.strip().split(" ")[0] for p in _split(ddl)]
-    raw = (
-        spark.read.schema(f"{ddl}, _bad string")
-        .option("columnNameOfCorruptRecord", "_bad")
-        .json(path)
-        .withColumn("_file", F.col("_metadata.file_path"))
+    # read as text and parse whole lines: a reader that prunes columns would not notice
+    # a broken value in a column nobody asked for
+    parsed = F.from_json(
+        "value", f"{ddl}, _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}
     )
-    # a projection of every column makes the parser look at the whole line
-    good = raw.where(F.col("_bad").isNull()).select(*columns)
-    bad = raw.where(F.col("_bad").isNotNull()).select(
-        F.col("_file").alias("file"), F.col("_bad").alias("line"), F.col(columns[0]).alias("first_column")
+    raw = (
+        spark.read.text(path)
+        .where(F.trim("value") != "")
+        .select(parsed.alias("r"), "value", F.col("_metadata.file_path").alias("file"))
     )
+    broken = F.col("r").isNull() | F.col("r._bad").isNotNull()
+    good = raw.where(~broken).select(*[F.col(f"r.{c}").alias(c) for c in columns])
+    bad = raw.where(broken).select("file", F.col("value").alias("line"))
     return good, bad
 
 
