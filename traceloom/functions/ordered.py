@@ -1,7 +1,8 @@
 """Ordered scans over keys that may be far too large for one task.
 
 ``scan`` adds ordered columns (position, neighbours, running values) per key.
-Ordinary keys use plain windows.  A key with more rows than ``scale.limit`` is
+Where the measured bounds say that every key fits a task, it uses plain windows
+and starts no job of its own.  Otherwise ordinary keys still do, and a key with more rows than ``scale.limit`` is
 range-partitioned by (key, order) into chunks; each chunk is scanned on its own
 and one summary row per chunk carries the state across chunk borders.  Results
 are identical in both forms.
@@ -59,10 +60,10 @@ def scan(
         "totals": dict(totals or {}),
         "highest": dict(highest or {}),
     }
-    if cluster and (scale.small or not _oversized(df, cluster, scale)):
+    if cluster and (scale.fits(*cluster) or not _oversized(df, cluster, scale)):
         df = df.repartition(*cluster)
         return _plain(df, list(key), list(order), position, parts)
-    if scale.small:
+    if scale.fits(*key):
         return _plain(df, list(key), list(order), position, parts)
 
     counts = df.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > scale.limit)

@@ -88,7 +88,7 @@ def token_replay(
             F.array_sort(F.collect_list(F.struct("pos", "activity"))), lambda x: x["activity"]
         ).alias("items")
     )
-    if scale.rows <= block:
+    if scale.bound("variant_id") <= block:
         state = blocks.select("variant_id", _fold(F.col("items"), _start(model), model).alias("s"))
     else:
         blocks = pin(blocks)

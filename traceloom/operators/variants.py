@@ -53,7 +53,7 @@ def case_digests(
         F.size("items").cast("long").alias("length"),
     )
     reach = block
-    while reach < scale.rows:  # the bound of rows per case bounds the number of levels
+    while reach < scale.bound("case_id"):  # which bounds the number of levels
         grouped = level.groupBy("case_id", F.floor(F.col("pos") / block).alias("block")).agg(
             F.array_sort(F.collect_list(F.struct("pos", "digest"))).alias("items"),
             F.sum("length").alias("length"),

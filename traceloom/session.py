@@ -7,6 +7,7 @@ import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 ROWS_CONF = "spark.traceloom.rowsPerTask"
 ROWS_DEFAULT = 2_000_000
@@ -57,23 +58,48 @@ def pin(df: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Scale:
-    """An upper bound of the rows one key can hold, and what one task may hold.
+    """How many rows there are, and how many one value of a key column can have.
 
-    While the bound is within the limit, plain windows and exact aggregates are
-    safe.  Beyond it the operators switch to their split forms.
+    rows     upper bound of all rows, hence of any group
+    bounds   (column, most rows of one value) pairs that have been measured
+
+    While the bound of a key is within the limit, plain windows and exact
+    aggregates are safe for it.  Beyond it the operators use their split forms.
     """
 
     rows: int
     limit: int = ROWS_DEFAULT
+    bounds: tuple[tuple[str, int], ...] = ()
 
     @property
     def small(self) -> bool:
         return self.rows <= self.limit
 
+    def bound(self, *key: str) -> int:
+        """Most rows that share one value of the key."""
+        known = dict(self.bounds)
+        return min([self.rows, *(known[c] for c in key if c in known)])
+
+    def fits(self, *key: str) -> bool:
+        return self.bound(*key) <= self.limit
+
     @staticmethod
-    def of(df: DataFrame) -> "Scale":
-        """Count once (footers only for a bare Parquet scan)."""
-        return Scale(df.count(), rows_per_task(df.sparkSession))
+    def of(df: DataFrame, *keys: str) -> "Scale":
+        """Count once (footers only for a bare Parquet scan).
+
+        Only when there are more rows than a task should hold is the largest
+        value of each key column measured, in one pass over that column.
+        """
+        limit, rows = rows_per_task(df.sparkSession), df.count()
+        bounds = ()
+        if rows > limit:
+            bounds = tuple((key, largest_group(df, key)) for key in keys)
+        return Scale(rows, limit, bounds)
+
+
+def largest_group(df: DataFrame, key: str) -> int:
+    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    return counts.agg(F.max("n")).first()[0] or 0
 
 
 def rows_per_task(spark: SparkSession) -> int:

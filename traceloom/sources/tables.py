@@ -62,15 +62,24 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return df.withColumns({n: F.col(n).cast("timestamp") for n in naive}) if naive else df
 
 
-_SIZES: dict[tuple, int] = {}
+_SCALES: dict[tuple, Scale] = {}
+# the column whose values become cases, sessions, variants and chains of each table
+_CASE_KEY = {"events": "user_id", "conversations": "conv_id", "lineitem": "l_orderkey"}
+_DERIVED = ("case_id", "variant_id", "chain_id")
 
 
 def table_scale(spark: SparkSession, folder: str, name: str) -> Scale:
-    """Row count of a table, counted once per application (Parquet footers)."""
-    key = (spark.sparkContext.applicationId, folder, name)
-    if key not in _SIZES:
-        _SIZES[key] = spark.read.parquet(f"{folder}/{name}.parquet").count()
-    return Scale(_SIZES[key], rows_per_task(spark))
+    """Size of a table, measured once per application: rows from the footers and,
+    for a large table, the most rows of one case key, in one pass over that column."""
+    limit = rows_per_task(spark)
+    key = (spark.sparkContext.applicationId, folder, name, limit)
+    if key not in _SCALES:
+        column = _CASE_KEY.get(name)
+        scale = Scale.of(spark.read.parquet(f"{folder}/{name}.parquet"), *([column] if column else []))
+        # cases, sessions and the variants of their sequences are parts of one value of the column
+        derived = tuple((c, n) for _, n in scale.bounds for c in _DERIVED)
+        _SCALES[key] = Scale(scale.rows, limit, scale.bounds + derived)
+    return _SCALES[key]
 
 
 def pick(index: Column, values: tuple[str, ...]) -> Column:
@@ -250,11 +259,10 @@ def order_log(spark: SparkSession, folder: str) -> EventLog:
         F.lit(None).cast("long").alias("actor_id"),
     )
     size = table_scale(spark, folder, "lineitem")
-    return EventLog(
-        placed.unionByName(shipped),
-        cases,
-        Scale(size.rows + table_scale(spark, folder, "orders").rows, size.limit),
-    )
+    rows = size.rows + table_scale(spark, folder, "orders").rows
+    # an order has one more event than lines
+    bounds = tuple((c, n + 1) for c, n in size.bounds)
+    return EventLog(placed.unionByName(shipped), cases, Scale(rows, size.limit, bounds))
 
 
 def turn_log(spark: SparkSession, folder: str) -> DataFrame:
