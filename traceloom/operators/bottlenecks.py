@@ -159,6 +159,7 @@ def slow_transitions(stats: DataFrame, spec: MiningSpec, scale: Scale) -> DataFr
     frequent = stats.where(
         (F.col("frequency") >= spec.min_transition) & F.col("hours_median").isNotNull()
     )
+    # one row per pair of activities: bounded by the vocabulary, whatever the log's size
     base = summarise(frequent, [], "hours_median", (0.5,), Scale(0)).select(
         F.col("median").alias("comparison")
     )

@@ -11,7 +11,7 @@ from ..functions.calendar import business_hours, hours_between
 from ..functions.ordered import scan
 from ..operators import mining, quality, timeline
 from ..operators.intervals import fifo_pairs, merge_intervals, next_match
-from ..operators.metrics import METRICS, metric_provenance, metrics_long
+from ..operators.metrics import BOOLEAN_METRICS, METRICS, metric_provenance, metrics_long
 from ..sources.tables import (
     order_log,
     session_cases,
@@ -469,9 +469,20 @@ def case_metrics_(spark, folder):
     )
 
 
-@query("metrics_long")
+def _long_row(metric: str) -> str:
+    flag = metric in BOOLEAN_METRICS
+    number = "CAST(NULL AS DOUBLE)" if flag else f"round(CAST({metric} AS DOUBLE), 6)"
+    return (
+        f"SELECT case_id, '{metric}' AS metric, {number} AS number, {metric if flag else 'CAST(NULL AS BOOLEAN)'} AS flag, "
+        f"{metric}_status AS status, CASE WHEN {metric}_status = 'calculated' THEN 'exact' "
+        f"WHEN {metric}_status IN ('estimated', 'partial') THEN {metric}_status ELSE 'unavailable' END AS precision FROM cm"
+    )
+
+
+@query("metrics_long", with_(q.CM, " UNION ALL ".join(_long_row(m) for m in METRICS)))
 def metrics_long_(spark, folder):
-    return tidy(metrics_long(Workspace.of_sessions(spark, folder).wide))
+    got = metrics_long(Workspace.of_sessions(spark, folder).wide)
+    return tidy(got.select("case_id", "metric", "number", "flag", "status", "precision"))
 
 
 @query(

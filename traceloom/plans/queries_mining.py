@@ -10,7 +10,7 @@ from ..operators import bottlenecks as bn
 from ..operators import cohorts, conformance, mining, quality, variants
 from ..operators.review import percentile_nearest
 from ..sources.tables import session_log, table, table_scale
-from ..spec import MiningSpec, ReferenceModel
+from ..spec import MiningSpec, ReferenceModel, governed_model
 from . import sql as q
 from .registry import joined, query, tidy
 from .sql import with_
@@ -707,12 +707,17 @@ SHOP = ReferenceModel(
 )
 
 
-def _shop_sql() -> str:
-    """The replay of one label at a time, places as columns."""
-    states = SHOP.states
+RAW_SESSIONS = q.EV.strip() + """,
+rs AS (SELECT user_id || '-' || session_no AS case_id, ts AS event_at, event_id, raw_type FROM typed)"""
+
+
+def replay_sql(model: ReferenceModel) -> str:
+    """CTEs `walk` and `scored`: one label of `u` (case_id, p, act) at a time, places as columns."""
+    states = tuple(f"s_{s}" for s in model.states)
+    start, end = f"s_{model.start}", f"s_{model.end}"
 
     def fire(name: str) -> dict[str, str]:
-        options = [(a, b) for a, b, step in SHOP.steps if step == name]
+        options = [(f"s_{a}", f"s_{b}") for a, b, step in model.steps if step == name]
         tests = [f"{a} > 0" for a, _ in options]
         moves = {}
         for state in states:
@@ -728,13 +733,11 @@ def _shop_sql() -> str:
     columns = {}
     for column in (*states, "missing"):
         columns[column] = (
-            "CASE u.act " + " ".join(f"WHEN '{n}' THEN {fire(n)[column]}" for n in SHOP.labels) + f" ELSE {column} END"
+            "CASE u.act " + " ".join(f"WHEN '{n}' THEN {fire(n)[column]}" for n in model.labels) + f" ELSE {column} END"
         )
-    known = q.quoted(SHOP.labels)
-    return f"""WITH RECURSIVE {RAW_SESSIONS},
-u AS (SELECT case_id, row_number() OVER (PARTITION BY case_id ORDER BY event_at, event_id) AS p, raw_type AS act FROM rs),
-walk AS (
-  SELECT case_id, CAST(0 AS BIGINT) AS p, {', '.join(f"{int(s == SHOP.start)} AS {s}" for s in states)}, 0 AS missing, 0 AS fired
+    known = q.quoted(model.labels)
+    return f"""walk AS (
+  SELECT case_id, CAST(0 AS BIGINT) AS p, {', '.join(f"{int(s == start)} AS {s}" for s in states)}, 0 AS missing, 0 AS fired
   FROM (SELECT DISTINCT case_id FROM u)
   UNION ALL
   SELECT w.case_id, u.p, {', '.join(columns[s] for s in states)}, {columns['missing']},
@@ -743,18 +746,22 @@ walk AS (
 ),
 final AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY p DESC) AS r FROM walk),
 scored AS (
-  SELECT case_id, missing + CASE WHEN {SHOP.end} > 0 THEN 0 ELSE 1 END AS missing,
-    {' + '.join(states)} - CASE WHEN {SHOP.end} > 0 THEN 1 ELSE 0 END AS remaining, fired + 1 AS moved FROM final WHERE r = 1
-)
-SELECT case_id, CAST(missing AS BIGINT) AS missing, CAST(remaining AS BIGINT) AS remaining,
-  round(0.5 * (1 - missing / moved) + 0.5 * (1 - remaining / moved), 6) AS fitness FROM scored"""
+  SELECT case_id, missing + CASE WHEN {end} > 0 THEN 0 ELSE 1 END AS missing,
+    {' + '.join(states)} - CASE WHEN {end} > 0 THEN 1 ELSE 0 END AS remaining, fired + 1 AS moved FROM final WHERE r = 1
+),
+fit AS (SELECT case_id, CAST(missing AS BIGINT) AS missing, CAST(remaining AS BIGINT) AS remaining,
+  0.5 * (1 - missing / moved) + 0.5 * (1 - remaining / moved) AS fitness FROM scored)"""
 
 
-RAW_SESSIONS = q.EV.strip() + """,
-rs AS (SELECT user_id || '-' || session_no AS case_id, ts AS event_at, event_id, raw_type FROM typed)"""
+_FIT = "SELECT case_id, missing, remaining, round(fitness, 6) AS fitness FROM fit"
 
 
-@query("token_replay", _shop_sql())
+@query(
+    "token_replay",
+    f"""WITH RECURSIVE {RAW_SESSIONS},
+u AS (SELECT case_id, row_number() OVER (PARTITION BY case_id ORDER BY event_at, event_id) AS p, raw_type AS act FROM rs),
+{replay_sql(SHOP)} {_FIT}""",
+)
 def token_replay(spark, folder):
     from ..functions.ordered import scan
     from ..sources.tables import sessionise
@@ -773,9 +780,19 @@ def token_replay(spark, folder):
     return tidy(cases.join(replay, "variant_id").select("case_id", "missing", "remaining", "fitness"))
 
 
-@query("token_replay_governed")
+GOVERNED = (
+    "RECURSIVE "
+    + q.VAR
+    + ",\nu AS (SELECT case_id, pos + 1 AS p, activity AS act FROM pl),\n"
+    + replay_sql(governed_model())
+)
+
+
+@query("token_replay_governed", with_(GOVERNED, _FIT))
 def token_replay_governed(spark, folder):
-    return tidy(Workspace.of_sessions(spark, folder).governed_replay)
+    ws = Workspace.of_sessions(spark, folder)
+    got = ws.case_variants.join(ws.governed_replay, "variant_id")
+    return tidy(got.select("case_id", "missing", "remaining", "fitness"))
 
 
 _STRICT = q._list(vocab.STRICT_SEQUENCE)
@@ -860,10 +877,33 @@ def conformance_status(spark, folder):
     return ws.strict_status.select("variant_id", (F.col("conformance") == "fully_conforming").alias("fits"))
 
 
-@query("conformance_summary")
+_GROUPS = (("overall", "'all'"), ("status", "status"), ("referral_source", "referral_source"), ("service_line", "service_line"))
+
+
+@query(
+    "conformance_summary",
+    with_(
+        "RECURSIVE "
+        + STRICT_DEV
+        + GOV_DEV_FROM_STRICT
+        + GOVERNED[len("RECURSIVE " + q.VAR):]
+        + """,
+bad AS (SELECT DISTINCT variant_id FROM gdev WHERE category <> 'scheduling_retry'),
+rg AS (SELECT f.fitness, f.fitness = 1 AND cv.variant_id NOT IN (SELECT variant_id FROM bad) AS fits, c.status, c.referral_source,
+  c.service_line FROM fit f JOIN cv USING (case_id) JOIN cases c USING (case_id))""",
+        " UNION ALL ".join(
+            f"""SELECT '{d}' AS dimension, {v} AS value, count(*) AS cases, count(fitness) AS available, round(avg(fitness), 6) AS mean_fitness,
+  round(median(fitness), 6) AS median_fitness, round(avg(CAST(fits AS INT)), 6) AS full_rate FROM rg GROUP BY 2"""
+            for d, v in _GROUPS
+        ),
+    ),
+)
 def conformance_summary(spark, folder):
     ws = Workspace.of_sessions(spark, folder, store=True)
-    return tidy(conformance.conformance_summary(ws.results(ws.governed_status), ws.scale))
+    got = conformance.conformance_summary(ws.results(ws.governed_status), ws.scale)
+    return tidy(
+        got.select("dimension", "value", "cases", "available", "mean_fitness", "median_fitness", "full_rate")
+    )
 
 
 @query(
