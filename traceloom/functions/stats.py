@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -24,26 +24,39 @@ def summarise(
     *,
     prefix: str = "",
     extra: Sequence[Column] = (),
+    also: Mapping[str, str] | None = None,
 ) -> DataFrame:
     """n, mean, median, min, max and linear-interpolated percentiles per group.
 
-    Nulls do not count.  ``extra`` adds further aggregates of the same grouping
-    (small form and large form give the same columns).
+    Nulls do not count.  ``also`` (prefix → column) summarises further columns and
+    ``extra`` adds other aggregates, in the same pass.  Small form and large form
+    give the same columns.
     """
     wanted = tuple(dict.fromkeys((0.5, *probs)))
-    basics = [
-        F.count(value).alias(f"{prefix}n"),
-        F.avg(value).alias(f"{prefix}mean"),
-        F.min(value).alias(f"{prefix}min"),
-        F.max(value).alias(f"{prefix}max"),
-        *extra,
-    ]
+    values = {prefix: value, **(also or {})}
+    basics = [*extra]
+    for p, v in values.items():
+        basics += [
+            F.count(v).alias(f"{p}n"),
+            F.avg(v).alias(f"{p}mean"),
+            F.min(v).alias(f"{p}min"),
+            F.max(v).alias(f"{p}max"),
+        ]
     if scale.small:
-        quantiles = F.percentile(value, F.array(*[F.lit(float(q)) for q in wanted]))
-        got = df.groupBy(*by).agg(*basics, quantiles.alias("_q"))
-        return got.withColumns(_named(wanted, prefix, lambda i: F.col("_q")[i])).drop("_q")
+        points = F.array(*[F.lit(float(q)) for q in wanted])
+        quantiles = [F.percentile(v, points).alias(f"_q_{p}") for p, v in values.items()]
+        got = df.groupBy(*by).agg(*basics, *quantiles)
+        for p in values:
+            got = got.withColumns(_named(wanted, p, lambda i, p=p: F.col(f"_q_{p}")[i])).drop(f"_q_{p}")
+        return got
+
+    out = df.groupBy(*by).agg(*basics)
+    for p, v in values.items():
+        out = _with_quantiles(out, df, by, v, wanted, scale, p)
+    return out
+
 
-    basic = df.groupBy(*by).agg(*basics)
+def _with_quantiles(basic, df, by, value, wanted, scale, prefix) -> DataFrame:
     exact = quantiles_by_rank(df, by, value, wanted, scale)
     named = exact.select(
         *by, *[c.alias(n) for n, c in _named(wanted, prefix, lambda i: F.col(f"_q{i}")).items()]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import vocab
@@ -117,44 +117,51 @@ def trace_count(log: DataFrame) -> DataFrame:
 
 
 def transition_stats(log: DataFrame, spec: MiningSpec, scale: Scale) -> DataFrame:
-    """One row per edge: counts, shares, elapsed and working-time summaries, rates."""
-    pairs = edges(log).withColumn(
-        "work",
-        business_micros(F.col("event_at"), F.col("next_at"), spec.calendar)
-        / F.lit(float(MICROS_HOUR)),
+    """One row per edge: counts, shares, elapsed and working-time summaries, rates.
+
+    One pass over the log.  The last event of each trace has no target, so the
+    groups without a target count the traces; the first occurrence of an edge
+    inside its case is marked in the case's own partition, so cases are counted
+    without a distinct aggregate.
+    """
+    rows = log.withColumns(
+        {
+            "source": F.col("activity"),
+            "target": F.col("next_activity"),
+            "hours": hours_between(F.col("event_at"), F.col("next_at")),
+            "work": business_micros(F.col("event_at"), F.col("next_at"), spec.calendar)
+            / F.lit(float(MICROS_HOUR)),
+        }
     )
+    marked = scan(rows, ["case_id", "source", "target"], ["pos"], scale, position="_nth")
     rework = F.col("target").isin(*spec.rework_activities) | (F.col("source") == F.col("target"))
-    by = ["source", "target"]
-    elapsed = summarise(
-        pairs,
-        by,
+    got = summarise(
+        marked,
+        ["source", "target"],
         "hours",
         spec.percentiles,
         scale,
         prefix="hours_",
+        also={"work_": "work"},
         extra=[
             F.count(F.lit(1)).alias("frequency"),
+            F.count_if(F.col("_nth") == 0).alias("cases"),
             F.avg((F.col("manual") | F.col("next_manual")).cast("int")).alias("manual_rate"),
             F.avg(handoff(spec).cast("int")).alias("handoff_rate"),
             F.avg(rework.cast("int")).alias("rework_rate"),
         ],
     )
-    work = summarise(pairs, by, "work", spec.percentiles, scale, prefix="work_")
-    # already clustered by case: the first level needs no shuffle, the second is tiny
-    cases = pairs.groupBy(*by, "case_id").agg(F.lit(1)).groupBy(*by).agg(
-        F.count(F.lit(1)).alias("cases")
-    )
+    # one row per pair of activities: a window over all of them is small for any log
+    everything = Window.partitionBy(F.lit(1))
+    traces = F.sum(F.when(F.col("target").isNull(), F.col("frequency"))).over(everything)
     return (
-        elapsed.join(work, by)
-        .join(cases, by)
-        .crossJoin(F.broadcast(trace_count(log)))
-        .select(
-            transition_id(F.col("source"), F.col("target")).alias("transition_id"),
-            *[c for c in elapsed.columns],
-            *[c for c in work.columns if c not in by],
-            "cases",
-            F.try_divide(F.col("cases"), F.col("traces")).alias("case_share"),
-            F.col("target").isin(*spec.terminal_activities).alias("terminal"),
+        got.withColumn("case_share", F.try_divide(F.col("cases"), traces))
+        .where(F.col("target").isNotNull())
+        .withColumns(
+            {
+                "transition_id": transition_id(F.col("source"), F.col("target")),
+                "terminal": F.col("target").isin(*spec.terminal_activities),
+            }
         )
     )
 
