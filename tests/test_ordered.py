@@ -62,6 +62,12 @@ def test_scan_matches_loop(spark, limit):
             assert r["all"] == sum(values) and r.best == max(values)
 
 
+def test_scan_with_null_keys(spark):
+    df = spark.createDataFrame([(None if i % 2 else "a", i) for i in range(60)], "k string, i int")
+    got = scan(df, ["k"], ["i"], Scale(60, 10), position="p").collect()
+    assert len(got) == 60 and all(r.p == r.i // 2 for r in got)
+
+
 @pytest.mark.parametrize("limit", [10_000, 20])
 def test_fifo_matches_greedy(spark, limit):
     rnd = random.Random(5)

@@ -66,18 +66,20 @@ def scan(
     if scale.fits(*key):
         return _plain(df, list(key), list(order), position, parts)
 
-    counts = df.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > scale.limit)
-    hot = pin(counts)
+    # a struct key, because its equality also matches keys with nulls in the joins below
+    keyed = df.withColumn("_key", F.struct(*key))
+    counts = keyed.groupBy("_key").agg(F.count(F.lit(1)).alias("_n"))
+    hot = pin(counts.where(F.col("_n") > scale.limit))
     hot_rows = hot.agg(F.sum("_n")).first()[0]
     if not hot_rows:
         return _plain(df, list(key), list(order), position, parts)
-    keys = hot.select(*key)
-    cold = _plain(df.join(keys, list(key), "left_anti"), list(key), list(order), position, parts)
+    keys = hot.select("_key")
+    cold = _plain(keyed.join(keys, "_key", "left_anti"), ["_key"], list(order), position, parts)
     split = max(2, -(-2 * hot_rows // scale.limit))
     wide = _chunked(
-        df.join(keys, list(key), "left_semi"), list(key), list(order), position, parts, int(split)
+        keyed.join(keys, "_key", "left_semi"), ["_key"], list(order), position, parts, int(split)
     )
-    return cold.unionByName(wide.select(*cold.columns))
+    return cold.unionByName(wide.select(*cold.columns)).drop("_key")
 
 
 def _oversized(df: DataFrame, key: Sequence[str], scale: Scale) -> bool:
