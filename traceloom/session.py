@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from dataclasses import dataclass
 
@@ -31,17 +30,16 @@ def local_session(cores: str | int = "*", partitions: int = 8) -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder the cluster names; a temporary one only on one machine."""
+    """The checkpoint folder the cluster names; where none is named, one in the warehouse.
+
+    Both are places that every executor reaches; no machine-local folder is ever used.
+    """
     context = spark.sparkContext
     current = context.getCheckpointDir()
     if current:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    if not configured:
-        if not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-        configured = tempfile.mkdtemp(prefix="traceloom-")
-    context.setCheckpointDir(configured)
+    context.setCheckpointDir(configured or f"{spark.conf.get('spark.sql.warehouse.dir')}/stages")
     return context.getCheckpointDir()
 
 
