@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from traceloom.llm import quality_rules
+from traceloom.llm import packing, quality_rules, tokens
 from traceloom.llm.shared import held_apart, table
+from traceloom.session import pin
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -61,3 +62,9 @@ def op4_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
         (~quality_rules.kept(quality_rules.BASE)).alias("base_failed"),
         quality_rules.kept(quality_rules.STANDARD).alias("kept"),
     )
+
+
+@_query("op1_best_fit_packing")
+def op1_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    pieces = packing.cut(table(spark, folder, "documents"), tokens.vocabulary())
+    return packing.place(pin(pieces))
