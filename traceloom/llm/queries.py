@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from traceloom.llm import packing, quality_rules, tokens
+from traceloom.llm import near_dedup, packing, quality_rules, tokens
 from traceloom.llm.shared import held_apart, table
 from traceloom.session import pin
 
@@ -68,3 +68,8 @@ def op4_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 def op1_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     pieces = packing.cut(table(spark, folder, "documents"), tokens.vocabulary())
     return packing.place(pin(pieces))
+
+
+@_query("op5_simhash_near_dedup")
+def op5_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, folder, "documents"))
