@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 ROWS_CONF = "spark.traceloom.rowsPerTask"
 ROWS_DEFAULT = 2_000_000
+CLEANUP_CONF = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def local_session(cores: str | int = "*", partitions: int = 8) -> SparkSession:
@@ -49,9 +50,16 @@ def pin(df: DataFrame) -> DataFrame:
     Cuts the lineage in a way that survives executor loss, and gives later steps
     column pruning, pushdown and sizes to plan with.
     """
-    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    # nobody reads the write's own shuffle files once the table is there
+    before = spark.conf.get(CLEANUP_CONF, None)
+    spark.conf.set(CLEANUP_CONF, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP_CONF) if before is None else spark.conf.set(CLEANUP_CONF, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 @dataclass(frozen=True)
