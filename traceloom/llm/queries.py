@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from traceloom.llm import near_dedup, packing, quality_rules, substring_dedup, tokens
+from traceloom.llm import decontamination, near_dedup, packing, quality_rules, substring_dedup, tokens
 from traceloom.llm.shared import held_apart, table
 from traceloom.session import pin
 
@@ -91,3 +91,36 @@ FROM w LEFT JOIN per USING (doc_id)""",
 def op2_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     cut = substring_dedup.remove_repeats(table(spark, folder, "documents"))
     return cut.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
+#: Windows aligned on a shared shingle, held against all items of their size; needs documents as decontam_docs.
+LEAK_SQL = r"""
+leak_docs AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS w FROM decontam_docs),
+leak_items AS (
+  SELECT *, len(w) AS m, list_transform(range(1, len(w) - 3), lambda i: array_to_string(list_slice(w, i, i + 4), ' ')) AS s FROM (
+    SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS w FROM benchmark) WHERE len(w) >= 5),
+leak_seeds AS (SELECT DISTINCT m, unnest(s) AS g, unnest(range(0, len(s))) AS q FROM leak_items),
+leak_at AS (
+  SELECT doc_id, p, array_to_string(list_slice(w, p + 1, p + 5), ' ') AS g, len(w) AS n
+  FROM (SELECT doc_id, w, unnest(range(0, len(w) - 4)) AS p FROM leak_docs)),
+leak_windows AS (
+  SELECT DISTINCT doc_id, m, greatest(0, least(p - q, n - m)) AS start FROM leak_at JOIN leak_seeds USING (g)),
+leak_pairs AS (
+  SELECT x.doc_id, i.item_id, x.m, x.start, i.s AS b,
+    list_transform(range(x.start + 1, least(x.start + x.m, len(d.w)) - 3), lambda k: array_to_string(list_slice(d.w, k, k + 4), ' ')) AS a
+  FROM leak_windows x JOIN leak_docs d USING (doc_id) JOIN leak_items i USING (m)),
+leak_common AS (
+  SELECT *, list_sum(list_transform(list_distinct(a), lambda g: least(
+    len(list_filter(a, lambda y: y = g)), len(list_filter(b, lambda y: y = g))))) AS c FROM leak_pairs),
+leaks AS (
+  SELECT doc_id, item_id, m, max(c / (len(a) + len(b) - c)) AS sim, arg_min(start, (-(c / (len(a) + len(b) - c)), start)) AS start
+  FROM leak_common WHERE c / (len(a) + len(b) - c) >= 0.8 GROUP BY ALL)"""
+
+
+@_query(
+    "op10_benchmark_decontamination",
+    f"""WITH decontam_docs AS (SELECT * FROM documents), {LEAK_SQL}
+SELECT doc_id, item_id, round(sim, 6) AS similarity, start::BIGINT AS start, m::BIGINT AS n_words FROM leaks""",
+)
+def op10_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontamination.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
