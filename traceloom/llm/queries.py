@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from traceloom.llm import decontamination, near_dedup, packing, quality_rules, substring_dedup, tokens
+from traceloom.llm import decontamination, language_id, near_dedup, packing, quality_qda, quality_rules, secret_scan, substring_dedup, tokens
 from traceloom.llm.shared import held_apart, table
 from traceloom.session import pin
 
@@ -124,3 +124,32 @@ SELECT doc_id, item_id, round(sim, 6) AS similarity, start::BIGINT AS start, m::
 )
 def op10_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontamination.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@_query("op6_quality_classifier")
+def op6_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    measured = pin(quality_qda.measure(table(spark, folder, "documents")).withColumn("held_out", held_apart(F.col("doc_id"), 5, 0)))
+    labels = table(spark, folder, "labels").select("doc_id", F.col("quality").alias("label"))
+    model = quality_qda.train(measured.where(~F.col("held_out")).join(labels, "doc_id"))
+    scored = quality_qda.score(measured, model)
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@_query("op7_language_id")
+def op7_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").withColumn("held_out", held_apart(F.col("doc_id"), 4, 2))
+    known = language_id.profiles(docs.where(~F.col("held_out")))
+    return language_id.predict(docs, known, keep=("doc_id", "held_out"))
+
+
+@_query("op8_secret_scan")
+def op8_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    found = secret_scan.scan(table(spark, folder, "documents").select("doc_id", "text")).drop("text")
+    count = lambda kind: F.size(F.filter("secrets", lambda s: s["kind"] == kind)).cast("long")
+    base = secret_scan.joined(F.col("secrets"), secret_scan.KINDS[:3])
+    return found.select(
+        "doc_id",
+        *[count(k).alias(f"n_{k}") for k in secret_scan.KINDS],
+        F.sha2(base.cast("binary"), 256).alias("base_sha256"),
+        secret_scan.joined(F.col("secrets"), secret_scan.KINDS).alias("spans"),
+    )
