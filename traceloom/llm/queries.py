@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from traceloom.llm import decontamination, language_id, near_dedup, packing, quality_qda, quality_rules, secret_scan, substring_dedup, tokens
+from traceloom.llm import decontamination, language_id, near_dedup, packing, quality_qda, quality_rules, secret_scan, substring_dedup, token_counts, tokens, toxicity
 from traceloom.llm.shared import held_apart, table
-from traceloom.session import pin
+from traceloom.session import pin, shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -153,3 +154,26 @@ def op8_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2(base.cast("binary"), 256).alias("base_sha256"),
         secret_scan.joined(F.col("secrets"), secret_scan.KINDS).alias("spans"),
     )
+
+
+@_query("op3_toxicity")
+def op3_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return toxicity.score(docs, toxicity.train(docs, table(spark, folder, "labels")))
+
+
+@_query("op9_token_counts")
+def op9_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Totals after three batches: all documents come in; white space is squeezed; later copies go."""
+    squeezed = F.regexp_replace("text", r"[\x20\x09-\x0D]+", " ")
+    docs = table(spark, folder, "documents").select("doc_id", "source", "lang", F.md5("text").alias("body"), "text", squeezed.alias("squeezed"))
+    counts = pin(token_counts.counted(docs, tokens.vocabulary(), {"text": "n", "squeezed": "m"}))
+    counts = counts.withColumn("tokenizer_version", F.lit("byte_bpe_50k"))
+    first = pin(counts.groupBy("body").agg(F.min("doc_id").alias("first")))
+    copies = counts.join(first, "body").where("doc_id > first")
+    none = F.lit(None).cast("long")
+    store = f"{shared_folder(spark)}/rollup-{uuid.uuid4().hex}"
+    token_counts.commit(counts.withColumns({"before": none, "after": F.col("n")}), store, "load")
+    token_counts.commit(counts.where("n <> m").withColumns({"before": F.col("n"), "after": F.col("m")}), store, "squeeze")
+    token_counts.commit(copies.withColumns({"before": F.col("m"), "after": none}), store, "copies")
+    return token_counts.totals(spark, store)
