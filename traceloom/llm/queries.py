@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from traceloom.llm import decontamination, language_id, near_dedup, packing, quality_qda, quality_rules, secret_scan, substring_dedup, token_counts, tokens, toxicity
 from traceloom.llm.shared import held_apart, table
 from traceloom.session import pin, shared_folder
@@ -177,3 +178,8 @@ def op9_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     token_counts.commit(counts.where("n <> m").withColumns({"before": F.col("n"), "after": F.col("m")}), store, "squeeze")
     token_counts.commit(copies.withColumns({"before": F.col("m"), "after": none}), store, "copies")
     return token_counts.totals(spark, store)
+
+
+QUERIES["pipeline"] = corpus_pipeline.run
+if corpus_pipeline.ORACLE_SQL:
+    CHECKS["pipeline"] = corpus_pipeline.ORACLE_SQL
