@@ -1,0 +1,317 @@
+"""The corpus operators against SQL, brute force and plain Python versions."""
+
+import hashlib
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import duckdb
+import numpy as np
+import pandas as pd
+import pytest
+import xxhash
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+import __spark_entry__ as contract
+from traceloom.llm import near_dedup, packing, quality_rules, secret_scan, substring_dedup, token_counts, tokens, toxicity
+from traceloom.llm.components import components
+
+SMALL = "/root/testdata/sf0.001"
+WORDS = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def documents(folder=SMALL):
+    return pd.read_parquet(f"{folder}/documents.parquet").sort_values("doc_id")
+
+
+@pytest.mark.parametrize("name", ["op2_substring_dedup", "op4_quality_rules", "op10_benchmark_decontamination"])
+def test_matches_sql(spark, name):
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SMALL}/{t}.parquet'")
+    got = contract.queries()[name](spark, SMALL).toPandas()
+    want = con.execute(contract.oracle_sql()[name]).df()
+    columns = sorted(got.columns)
+    assert columns == sorted(want.columns) and len(got) == len(want) > 0
+    a, b = (x[columns].sort_values(columns).astype(str).to_numpy().tolist() for x in (got, want))
+    assert a == b
+
+
+# packing
+
+
+def test_packing_is_gapless_and_near_its_bound(spark):
+    got = contract.queries()["op1_best_fit_packing"](spark, SMALL).toPandas()
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(tokens.vocabulary() + ".json")
+    for doc, text in zip(documents().doc_id, documents().text):
+        ids = np.array(plain.encode(text or "", add_special_tokens=False).ids + [2], "<u4")
+        mine = got[got.doc_id == doc].sort_values("piece")
+        assert mine.length.sum() == len(ids) and list(mine.start) == [0, *np.cumsum(mine.length)[:-1]]
+        assert len(mine) == -(-len(ids) // 1024) and (mine.length.iloc[1:] == 1024).all()
+        assert [zlib.crc32(ids[s : s + n].tobytes()) for s, n in zip(mine.start, mine.length)] == list(mine.ids_crc32)
+    for _, s in got.groupby("sequence_id"):
+        s = s.sort_values("offset")
+        assert list(s.offset) == [0, *np.cumsum(s.length)[:-1]] and s.length.sum() <= 1024
+    assert got.sequence_id.nunique() <= 1.03 * -(-got.length.sum() // 1024) + 1
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.dictionaries(st.integers(1, 20), st.integers(1, 6), max_size=8))
+def test_pack_uses_every_piece_once(histogram):
+    patterns = packing.pack(histogram, 20)
+    used = Counter()
+    for pattern, times in patterns:
+        assert sum(length * each for length, each in pattern) <= 20 and times > 0
+        for length, each in pattern:
+            used[length] += each * times
+    assert used == Counter(histogram)
+    counts = np.bincount([x for x, n in histogram.items() for _ in range(n)], minlength=21) if histogram else np.zeros(21, int)
+    assert sum(n for _, n in patterns) >= packing.lower_bound(counts, 20)
+
+
+def test_pack_beats_best_fit_where_a_search_pays():
+    # best fit decreasing puts 6 + 4 and leaves 5, 3, 2 badly; two sequences of 10 are enough
+    assert sum(n for _, n in packing.pack({6: 1, 5: 1, 3: 1, 2: 3}, 10)) == 2
+
+
+def test_encoding_equals_tokenizers():
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(tokens.vocabulary() + ".json")
+    odd = ["", None, " ", "a \nb", "a\n  b  c\t d", "<|endoftext|> hi<|endoftext|>", "it's we'll  don't", "é è\x1c a\x85b  z 12 34", "tab\t\tx \r\n", "x" * 3000]
+    for text in [*odd, *documents().text.head(50)]:
+        assert tokens.encode(text, tokens.vocabulary()).tolist() == plain.encode(text or "", add_special_tokens=False).ids
+
+
+def test_sequences_hold_the_ids(spark):
+    docs = spark.createDataFrame([(1, "one two three"), (2, "four"), (3, None)], "doc_id long, text string")
+    placed = packing.place(packing.cut(docs, tokens.vocabulary(), limit=4, with_ids=True), limit=4)
+    rows = packing.sequences(placed).collect()
+    whole = sorted(x for r in rows for x in r["ids"])
+    want = [x for t in ("one two three", "four", None) for x in [*tokens.encode(t, tokens.vocabulary()).tolist(), 2]]
+    assert whole == sorted(want) and max(r["n_tokens"] for r in rows) <= 4
+
+
+# near-duplicates
+
+
+def plain_fingerprint(text):
+    w = [x.encode() for x in WORDS.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))]
+    grams = [b" ".join(w[i : i + 4]) for i in range(max(1, len(w) - 3))] if w else []
+    h = [xxhash.xxh64_intdigest(g, 42) for g in grams]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def test_keys_meet_for_all_pairs_within_the_radius():
+    rng = np.random.default_rng(5)
+    a = rng.integers(-(2**63), 2**63 - 1, 20_000)
+    b = a.copy()
+    for _ in range(4):
+        b ^= np.int64(1) << rng.integers(0, 64, len(a))
+    (ra, ka), (rb, kb) = near_dedup.keys(a), near_dedup.keys(b)
+    assert len({*zip(ra.tolist(), ka.tolist())} & {*zip(rb.tolist(), kb.tolist())}) > 0
+    met = {*zip(ra.tolist(), ka.tolist())} & {*zip(rb.tolist(), kb.tolist())}
+    assert {r for r, _ in met} == set(range(len(a)))
+
+
+def linked_by_force(fps):
+    parent = list(range(len(fps)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(len(fps)):
+        for j in range(i):
+            if (fps[i] ^ fps[j]).bit_count() <= 4:
+                parent[root(i)] = root(j)
+    return [root(i) for i in range(len(fps))]
+
+
+def test_near_duplicates_equal_brute_force(spark):
+    docs = documents()
+    got = contract.queries()["op5_simhash_near_dedup"](spark, SMALL).toPandas().sort_values("doc_id")
+    fps = [plain_fingerprint(t) for t in docs.text]
+    assert [int(x, 16) for x in got.fingerprint] == fps
+    roots = linked_by_force(fps)
+    least = {}
+    for doc, r in zip(docs.doc_id, roots):
+        least[r] = min(least.get(r, doc), doc)
+    assert list(got.component_id) == [least[r] for r in roots]
+
+
+def test_chains_of_fingerprints_are_one_component(spark):
+    rng = np.random.default_rng(3)
+    chain = [int(rng.integers(0, 2**62))]
+    for _ in range(60):
+        flips = rng.choice(62, 4, replace=False)
+        chain.append(chain[-1] ^ sum(1 << int(f) for f in flips))
+    star = [int(rng.integers(0, 2**62))]
+    star += [star[0] ^ (1 << int(i)) ^ (1 << int(j)) for i in range(20) for j in range(i)]
+    fps = sorted({*chain, *star})
+    found = dict(near_dedup.linked(spark.createDataFrame([(x,) for x in fps], "fp long")).collect())
+    roots = linked_by_force(fps)
+    groups, want = defaultdict(set), defaultdict(set)
+    for fp, r in zip(fps, roots):
+        groups[found.get(fp, fp)].add(fp)
+        want[r].add(fp)
+    assert sorted(map(sorted, groups.values())) == sorted(map(sorted, want.values()))
+
+
+def test_components(spark):
+    edges = [(i, i + 1) for i in range(40)] + [(100, 101), (102, 101), (7, 7), (200, None)]
+    got = dict(components(spark.createDataFrame(edges, "a long, b long")).collect())
+    assert {got[i] for i in range(41)} == {0} and got[102] == got[101] == 100 and 200 not in got
+
+
+# substring dedup
+
+
+def test_substrings_equal_brute_force(spark):
+    rng = np.random.default_rng(1)
+    pool = [[f"w{rng.integers(0, 9)}" for _ in range(30)] for _ in range(6)]
+    texts = []
+    for _ in range(40):
+        parts = [pool[rng.integers(0, 6)][rng.integers(0, 10) : rng.integers(15, 30)] if rng.random() < 0.6 else [f"u{rng.integers(0, 99)}" for _ in range(12)] for _ in range(4)]
+        texts.append(" ".join(x for p in parts for x in p))
+    texts += [texts[3], texts[3], "w1 " * 60, "w1 " * 80, None, ""]
+    rows = list(enumerate(texts))
+    got = {r["doc_id"]: r for r in substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    seen = set()
+    for doc, text in rows:
+        w = (text or "").split()
+        gone = set()
+        for i in range(len(w) - 12):
+            if tuple(w[i : i + 13]) in seen:
+                gone |= set(range(i, i + 13))
+        seen |= {tuple(w[i : i + 13]) for i in range(len(w) - 12)}
+        assert got[doc]["n_words"] == len(w) and got[doc]["n_removed"] == len(gone)
+        assert got[doc]["kept_text"] == " ".join(x for i, x in enumerate(w) if i not in gone)
+        assert {i for s in got[doc]["spans"] for i in range(s["start"], s["end"])} == gone
+
+
+# quality
+
+
+def test_policies_and_ablation(spark):
+    texts = ["one two", "a fine text of ten words or more than that here", "x " * 40, "### $$$ %%% ||| &&& some words here to make ten of them"]
+    book = quality_rules.ledger(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    kept = {r["doc_id"]: (r["base_v1"], r["standard_v1"]) for r in quality_rules.judge(book, (quality_rules.BASE, quality_rules.STANDARD)).collect()}
+    assert kept[0] == (False, False) and kept[1] == (True, True) and kept[2][0] is False and kept[3] == (True, False)
+    lost = {r["rule"]: r for r in quality_rules.ablation(book, quality_rules.STANDARD).collect()}
+    removed = sum(not k[1] for k in kept.values())
+    for rule in lost.values():
+        assert rule["removed_without"] + rule["failed_only_here"] == removed and rule["failed_only_here"] <= rule["failed"]
+    assert lost["symbols"]["failed_only_here"] == 1
+
+
+def test_classifiers_on_held_out_rows(spark):
+    labels = pd.read_parquet("/root/testdata/sf0.01/labels.parquet")
+    docs = documents("/root/testdata/sf0.01")
+    crc = np.array([zlib.crc32(str(i).encode()) for i in docs.doc_id])
+    quality = contract.queries()["op6_quality_classifier"](spark, "/root/testdata/sf0.01").toPandas().merge(labels, on="doc_id")
+    assert (quality.held_out == quality.doc_id.map(dict(zip(docs.doc_id, crc % 5 == 0)))).all()
+    held = quality[quality.held_out]
+    assert (held.predicted == held.quality).mean() > 0.9 and quality.score.between(0, 1).all()
+    lang = contract.queries()["op7_language_id"](spark, "/root/testdata/sf0.01").toPandas().merge(docs, on="doc_id")
+    held = lang[lang.held_out]
+    assert (lang.held_out == lang.doc_id.map(dict(zip(docs.doc_id, crc % 4 == 2)))).all()
+    assert (held.lang == held.lang_pred).mean() > 0.97 and lang.score.between(0, 1).all()
+
+
+def test_toxic_documents_are_found(spark):
+    rng = np.random.default_rng(2)
+    prose = lambda: [f"{'abcdefgh'[rng.integers(0, 8)]}{'klmnop'[rng.integers(0, 6)]}{'rst'[rng.integers(0, 3)]}" for _ in range(60)]
+    rows, labels = [], []
+    for i in range(300):
+        w = prose()
+        bad = i % 5 == 0
+        if bad:
+            for _ in range(2 + i % 4):
+                w[rng.integers(0, 60)] = ["vile", "nasty"][rng.integers(0, 2)]
+        rows.append((i, " ".join(w)))
+        if i < 200:
+            labels.append((i, int(bad)))
+    docs = spark.createDataFrame([*rows, (1000, None), (1001, "")], "doc_id long, text string")
+    model = toxicity.train(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert list(model.thresholds) == sorted(model.thresholds) and len(model.thresholds) == 2
+    got = {r["doc_id"]: r for r in toxicity.score(docs, model).collect()}
+    assert all(got[i]["toxic"] == (i % 5 == 0) for i in range(300)) and not got[1000]["toxic"] and not got[1001]["toxic"]
+    assert all(0 <= r["severity"] <= 2 for r in got.values())
+
+
+# secrets
+
+
+def plain_spans(text):
+    out = []
+    assign = r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+    out += [(m.start(), 0, m.end()) for m in re.finditer(assign, text, re.I | re.A) if len(m[2]) >= 8]
+    out += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 16]
+    out += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 32]
+    return sorted(out)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from(["token", "Secret", "passwd", " =", ": ", "'", '"', "abcd1234", "deadbeef" * 4, "AKIA", "AKIAABCDEFGHIJKL12", "x", "é", "\n", "=", "api_key", "ſecret"]), max_size=14))
+def test_base_spans_equal_the_plain_patterns(parts):
+    text = "".join(parts)
+    assert secret_scan.base_spans(text) == plain_spans(text)
+
+
+def test_novelty_tells_keys_from_names():
+    key = "aG9x7Kq2Lw8ZpR4tYv1NcB6m"
+    text = f"the bearer is {key} and goes on. session path is configuration_of_the_server2 for the configuration of the server"
+    found = [text[s:e] for s, _, e, _ in secret_scan.novel_spans(text, [])]
+    assert found == [key]
+    assert secret_scan.novel_spans(f"no such word near it: {key}", []) == []
+
+
+def test_redaction(spark):
+    text = 'é token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" end'
+    rows = [(1, text, len(text)), (2, "clean", 5), (3, None, None), (4, "", 0)]
+    got = {r["doc_id"]: r for r in secret_scan.redact(spark.createDataFrame(rows, "doc_id long, text string, n_chars long")).collect()}
+    assert got[1]["text"] == 'é <secret>" end' and got[1]["n_chars"] == len(got[1]["text"])
+    assert got[2]["text"] == "clean" and got[3]["text"] is None and got[4]["text"] == ""
+
+
+def test_secret_digest(spark):
+    got = contract.queries()["op8_secret_scan"](spark, SMALL).toPandas().set_index("doc_id")
+    for doc, text in zip(documents().doc_id, documents().text):
+        spans = plain_spans(text or "")
+        line = ",".join(f"{secret_scan.KINDS[k]}:{a}:{b}" for a, k, b in spans)
+        assert got.base_sha256[doc] == hashlib.sha256(line.encode()).hexdigest()
+        assert (got.n_assign[doc], got.n_access[doc], got.n_hex[doc]) == tuple(sum(k == n for _, k, _ in spans) for n in range(3))
+
+
+# token totals
+
+
+def test_totals_follow_deltas_and_replays_count_once(spark, tmp_path):
+    change = lambda rows: spark.createDataFrame(rows, token_counts.CHANGE)
+    store = str(tmp_path / "totals")
+    load = change([("a", "en", "v1", None, 5), ("a", "en", "v1", None, 7), ("b", None, "v1", None, 3), (None, None, "v1", None, None)])
+    for _ in range(2):
+        token_counts.commit(load, store, "load")
+    token_counts.commit(change([("a", "en", "v1", 7, 4)]), store, "revise")
+    token_counts.commit(change([("b", None, "v1", 3, None)]), store, 3)
+    token_counts.commit(change([]), store, "nothing")
+    assert [tuple(r) for r in token_counts.totals(spark, store).collect()] == [("a", "en", "v1", 2, 9)]
+    with pytest.raises(ValueError):
+        token_counts.commit(load, store, "../x")
+
+
+def test_token_totals_of_the_documents(spark):
+    docs = documents()
+    first, want = {}, Counter()
+    count = lambda t: len(tokens.encode(t, tokens.vocabulary()))
+    for doc, text, lang, source in zip(docs.doc_id, docs.text, docs.lang, docs.source):
+        if first.setdefault(text, doc) == doc:
+            want[source, lang, "d"] += 1
+            want[source, lang, "t"] += count(re.sub(r"[\x20\x09-\x0D]+", " ", text))
+    got = contract.queries()["op9_token_counts"](spark, SMALL).collect()
+    assert {(r["source"], r["lang"]): (r["n_docs"], r["n_tokens"]) for r in got} == {(s, g): (n, want[s, g, "t"]) for (s, g, k), n in want.items() if k == "d"}

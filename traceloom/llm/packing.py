@@ -138,6 +138,8 @@ def pack(histogram: dict[int, int], limit: int = LIMIT) -> list[tuple[Pattern, i
     counts = np.zeros(limit + 1, np.int64)
     for length, n in histogram.items():
         counts[length] = n
+    if not counts.any():
+        return []
     best = _best_fit(counts.copy(), limit)
     best_bins, floor = sum(n for _, n in best), lower_bound(counts, limit)
     sizes = np.arange(limit + 1)

@@ -16,7 +16,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from traceloom.llm.shared import fresh
 
 # fixed values: the patterns of the base kinds, in the order of the report
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -33,7 +32,7 @@ CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}")
 #: Characters on either side that prime the compressor.
 AROUND = 2_000
 #: Least share of a candidate's length that it adds to the compressed size, and least bytes.
-NOVELTY, LEAST_BYTES = 0.5, 10
+NOVELTY, LEAST_BYTES = 0.75, 10
 #: What code and configuration repeat anyway.
 IDENTIFIERS = (
     "abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ 0123456789 true false null none return import class function "
@@ -88,6 +87,14 @@ def novel_spans(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int,
     return out
 
 
+def spans_of(text: str | None) -> list[tuple[int, int, int, int | None]]:
+    """(start, kind number, end, novelty or None) of all spans of a text, by start and kind."""
+    if not text:
+        return []
+    base = base_spans(text)
+    return sorted([*[(*s, None) for s in base], *novel_spans(text, base)], key=lambda s: s[:3])
+
+
 SPAN = T.StructType([T.StructField("kind", T.StringType()), *[T.StructField(n, T.LongType()) for n in ("start", "end", "bytes")]])
 
 
@@ -105,54 +112,48 @@ def scan(docs: DataFrame, text: str = "text", name: str = "secrets") -> DataFram
 
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("bytes", pa.int64())]))
         for batch in batches:
-            out = []
-            for value in batch.column(place):
-                body = value.as_py() or ""
-                base = base_spans(body)
-                spans = sorted([*[(*s, None) for s in base], *novel_spans(body, base)], key=lambda s: s[:3])
-                out.append([{"kind": KINDS[k], "start": a, "end": b, "bytes": n} for a, k, b, n in spans])
+            out = [[{"kind": KINDS[k], "start": a, "end": b, "bytes": n} for a, k, b, n in spans_of(t.as_py())] for t in batch.column(place)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, kind)], names=schema.names)
 
     return docs.mapInArrow(run, schema)
 
 
-def redact(docs: DataFrame, text: str = "text", mark: str = "<secret>") -> DataFrame:
-    """docs with every span replaced by the mark (overlapping spans by one), and n_chars, if there is one, set anew.
+def without(text: str, mark: str) -> str:
+    """The text with every span replaced by the mark, spans that overlap by one."""
+    out, at, reached = [], 0, 0
+    for start, _, end, _ in spans_of(text):
+        if start >= reached:
+            out += [text[at:start], mark]
+        at = reached = max(reached, end)
+    return "".join([*out, text[at:]])
+
 
-    Documents without spans keep text and n_chars as they are.
+def redact(docs: DataFrame, text: str = "text", mark: str = "<secret>", size: str = "n_chars") -> DataFrame:
+    """docs with every span replaced by the mark and, where that happened, the size column (if any) set anew.
+
+    All rows and other columns stay as they are, null texts too.
     """
-    found = fresh(docs, "secrets")
-    spans = F.col(found)
-    step = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))
-    body = F.col(f"`{text}`")
-
-    def take(done, s):
-        between = F.substring(body, (done["at"] + 1).cast("int"), F.greatest(s["start"] - done["at"], F.lit(0)).cast("int"))
-        return F.struct(
-            F.when(s["start"] < done["at"], done["out"]).otherwise(F.concat(done["out"], between, F.lit(mark))).alias("out"),
-            F.greatest(done["at"], s["end"]).alias("at"),
-        )
-
-    def rest(done):
-        return F.concat(done["out"], F.substring(body, (done["at"] + 1).cast("int"), F.length(body)))
-
-    changed = F.when(F.size(spans) > 0, F.aggregate(spans, step, take, rest)).otherwise(body)
-    marked = scan(docs, text, found)
-    columns = []
-    for c in docs.columns:
-        if c == text:
-            columns.append(changed.alias(c))
-        elif c == "n_chars":
-            size = F.length(changed).cast(docs.schema[c].dataType)
-            columns.append(F.when(F.size(spans) > 0, size).otherwise(F.col("n_chars")).alias(c))
-        else:
-            columns.append(F.col(f"`{c}`"))
-    return marked.select(*columns)
+    place = docs.columns.index(text)
+    counted = docs.columns.index(size) if size in docs.columns else None
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            columns = list(batch.columns)
+            before = columns[place].to_pylist()
+            after = [t and without(t, mark) for t in before]
+            columns[place] = pa.array(after, columns[place].type)
+            if counted is not None:
+                kept = columns[counted].to_pylist()
+                sizes = [n if a == b else len(a) for n, a, b in zip(kept, after, before)]
+                columns[counted] = pa.array(sizes, columns[counted].type)
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def joined(spans, kinds: tuple[str, ...]):
     """Spans of some kinds as kind:start:end, joined by commas."""
     wanted = F.filter(spans, lambda s: s["kind"].isin(list(kinds)))
     return F.array_join(F.transform(wanted, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
-
-
