@@ -7,22 +7,24 @@ codewords of 23 bits, and every word lies within 3 bits of exactly one of them:
   u, v at most 1 bit apart: the codeword of u is in near(v).
   u, v at most 2 bits apart: near(u) and near(v) meet (at the codeword of a word between them).
 
-With at most 4 errors in three segments, either two segments have at most 1 error each, or the
-errors are 2, 2 and 0.  Keys of the first kind pair two segments: (codeword of one, a near codeword
-of the other), both ways.  Keys of the second kind are a whole segment and a near codeword of the
-next.  So every pair within 4 bits shares a key; each shared key is verified by counting bits.
+With at most 4 errors in three segments, either one segment has none and another at most 2, or two
+have at most 1 each and the third at most 2.  Keys of the first kind are a whole segment and a near
+codeword of another.  Keys of the second kind pair two segments, (codeword of one, a near codeword
+of the other) both ways, and add one of three parts of the third segment, of which its 2 errors
+leave one whole.  So every pair within 4 bits shares a key, and by chance two fingerprints share a
+given key once in 2^31 or more; each shared key is verified by counting bits.
 
 Copies first become one fingerprint.  Then nobody compares all members of a key: each is held
-against the smallest and the largest fingerprint of its key, the links found are contracted to
-components, and only keys that still hold several components compare the members outside the
-largest of these with the rest.
+against the smallest and the largest fingerprint of its key (for keys of two that is all there is),
+the links found are contracted to components, and only keys that still hold several components
+compare the members outside the largest of these with the rest.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import cache
-from itertools import combinations
+from itertools import combinations, permutations
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -36,6 +38,8 @@ RADIUS, SHINGLE, SEED = 4, 4, 42
 SEGMENTS = ((0, 22), (22, 21), (43, 21))  # first bit, bits
 GENERATOR = 0xC75  # x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1
 CHUNK = 1 << 18
+#: Crowded keys up to which their table (24 bytes each) is broadcast.
+BROADCAST = 1_000_000
 
 
 def fingerprint(text: str | None) -> int:
@@ -111,17 +115,21 @@ def keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     close = [near(w) for w in words]
     rows, found = [], []
 
-    def add(tag: int, left: np.ndarray, right: np.ndarray) -> None:
+    def add(tag: int, left: np.ndarray, right: np.ndarray, rest: np.ndarray | int = 0) -> None:
         row, column = np.nonzero((left >= 0) & (right >= 0) & np.ones((1, 6), bool))
         wide = lambda x: np.broadcast_to(x, (len(fps), 6))[row, column]
         rows.append(row)
-        found.append((tag << 50) | (wide(left) << 24) | wide(right))
-
-    for tag, (a, b) in enumerate(((0, 1), (0, 2), (1, 2))):
-        add(tag, close[a][:, :1], close[b])
-        add(tag, np.where(np.arange(6) == 0, -1, close[a]), close[b][:, :1])  # its own codewords came above
-    for a in range(3):
-        add(3 + a, words[a][:, None], close[(a + 1) % 3])
+        found.append((tag << 50) | (wide(left) << 24) | wide(right) | wide(rest) << 12)
+
+    tag = 0
+    for a, b in permutations(range(3), 2):
+        add(tag := tag + 1, words[a][:, None], close[b])
+    for c, (a, b) in enumerate(((1, 2), (0, 2), (0, 1))):
+        for part in np.array_split(np.arange(SEGMENTS[c][1]), 3):
+            rest = ((words[c] >> part[0]) & ((1 << len(part)) - 1))[:, None]
+            add(tag := tag + 1, close[a][:, :1], close[b], rest)
+            # its own codewords came above
+            add(tag, np.where(np.arange(6) == 0, -1, close[a]), close[b][:, :1], rest)
     return np.concatenate(rows), np.concatenate(found)
 
 
@@ -147,24 +155,29 @@ def _close(a: str, b: str):
 def linked(fps: DataFrame) -> DataFrame:
     """(fp, component) for every fingerprint that has a link, from a table of distinct `fp`."""
     members = _keyed(fps.select("fp"))
-    hubs = members.groupBy("key").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).where("low < high")
-    held = members.join(pin(hubs), "key")
+    shared = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("low"), F.max("fp").alias("high"))
+    shared = pin(shared.where("n > 1"))
+    # most shared keys have two members, and those are at hand
+    ends = shared.where(_close("low", "high")).select(F.col("low").alias("a"), F.col("high").alias("b"))
+    crowded = shared.where("n > 2").select("key", "low", "high")
+    if crowded.count() <= BROADCAST:
+        crowded = F.broadcast(crowded)
+    held = pin(members.join(crowded, "key"))
     to_low = held.where(_close("fp", "low")).select(F.col("fp").alias("a"), F.col("low").alias("b"))
     to_high = held.where(_close("fp", "high")).select(F.col("fp").alias("a"), F.col("high").alias("b"))
-    first = pin(components(to_low.unionAll(to_high).where("a <> b")))
+    first = pin(components(ends.unionAll(to_low).unionAll(to_high).where("a <> b")))
 
     sizes = first.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
     known = pin(first.join(sizes, "component").select(F.col("node").alias("fp"), "component", "n"))
-    named = fps.select("fp").join(known, "fp", "left")
-    named = named.select("fp", F.coalesce("component", "fp").alias("component"), F.coalesce("n", F.lit(1)).alias("n"))
-    members = _keyed(named)
-    mixed = members.groupBy("key").agg(
-        F.min("component").alias("low"),
-        F.max("component").alias("high"),
+    named = held.select("key", "fp").join(known, "fp", "left")
+    named = named.select("key", "fp", F.coalesce("component", "fp").alias("component"), F.coalesce("n", F.lit(1)).alias("n"))
+    mixed = named.groupBy("key").agg(
+        F.min("component").alias("least"),
+        F.max("component").alias("most"),
         F.max(F.struct("n", "component"))["component"].alias("main"),
     )
-    mixed = pin(mixed.where("low < high").select("key", "main"))
-    within = pin(members.join(mixed, "key").select("key", "fp", "component", "main"))
+    mixed = pin(mixed.where("least < most").select("key", "main"))
+    within = pin(named.join(mixed, "key").select("key", "fp", "component", "main"))
     outside = within.where("component <> main").select("key", F.col("fp").alias("fp2"), F.col("component").alias("b"))
     more = within.join(outside, "key").where((F.col("component") != F.col("b")) & _close("fp", "fp2"))
     second = pin(components(more.select(F.col("component").alias("a"), "b").distinct()))
