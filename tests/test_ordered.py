@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from traceloom.functions.ordered import scan
 from traceloom.functions.stats import first_ids, quantiles_by_rank, summarise
+from traceloom.operators.contracts import asof_label
 from traceloom.operators.intervals import fifo_pairs, merge_intervals, next_match
 from traceloom.session import Scale
 
@@ -133,3 +134,25 @@ def test_quantiles_by_rank(spark):
 def test_first_ids(spark):
     df = spark.createDataFrame([("g", f"{i % 40:02d}") for i in range(200)], "g string, i string")
     assert first_ids(df, ["g"], "i", 3, "ids").first().ids == ["00", "01", "02"]
+
+
+def test_value_ahead_is_linear_in_one_key(spark):
+    rows = spark.range(200_000).select(F.lit("k").alias("key"), F.col("id").alias("at"), F.when(F.col("id") % 1000 == 0, F.col("id")).alias("v"))
+    got = scan(rows, ["key"], ["at"], Scale(200_000), ahead={"next": F.col("v")})
+    wrong = got.where(~F.col("next").eqNullSafe(F.when(F.col("at") < 199_000, (F.floor(F.col("at") / 1000) + 1) * 1000)))
+    assert wrong.count() == 0
+
+
+def test_labels_of_a_hot_case_without_pairs(spark):
+    """10,000 facts and 10,000 overlapping labels of one case, against a plain search on a part."""
+    micros = F.timestamp_micros
+    labels = spark.range(10_000).select(
+        F.lit("c").alias("case_id"), F.format_string("%05d", "id").alias("label_id"), micros(F.col("id") * 10).alias("valid_from"),
+        F.when(F.col("id") % 50 != 0, micros(F.col("id") * 10 + (F.col("id") * 7) % 43)).alias("valid_until"), F.concat(F.lit("s"), "id").alias("status"),
+    )
+    facts = spark.range(10_000).select(F.lit("c").alias("case_id"), micros(F.col("id") * 9 - 50).alias("as_of"), "id")
+    got = {r.id: r.label for r in asof_label(facts, labels).collect()}
+    for i in range(0, 10_000, 97):
+        t = i * 9 - 50
+        open_ = [n for n in range(max(0, t // 10 - 60), 10_000) if n * 10 <= t and (n % 50 == 0 or t < n * 10 + n * 7 % 43)]
+        assert got[i] == (f"s{max(open_)}" if open_ else "not_evaluable")

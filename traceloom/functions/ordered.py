@@ -90,16 +90,18 @@ def _oversized(df: DataFrame, key: Sequence[str], scale: Scale) -> bool:
 def _ordered_columns(by, order, position, parts) -> dict[str, Column]:
     w = Window.partitionBy(*by).orderBy(*order)
     upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    after = w.rowsBetween(1, Window.unboundedFollowing)
+    # what lies ahead is what came before in reversed order: a running frame, linear in the rows
+    back = Window.partitionBy(*by).orderBy(*[F.desc_nulls_last(c) for c in order])
+    after = back.rowsBetween(Window.unboundedPreceding, -1)
     out: dict[str, Column] = {}
     if position:
-        out[position] = F.row_number().over(w) - 1
+        out[position] = (F.row_number().over(w) - 1).cast("long")
     out |= {n: F.lag(e).over(w) for n, e in parts["previous"].items()}
     out |= {n: F.lead(e).over(w) for n, e in parts["following"].items()}
     out |= {n: F.sum(e).over(upto) for n, e in parts["running"].items()}
     out |= {n: F.max(e).over(upto) for n, e in parts["peak"].items()}
     out |= {n: F.last(e, ignorenulls=True).over(upto) for n, e in parts["carry"].items()}
-    out |= {n: F.first(e, ignorenulls=True).over(after) for n, e in parts["ahead"].items()}
+    out |= {n: F.last(e, ignorenulls=True).over(after) for n, e in parts["ahead"].items()}
     return out
 
 
@@ -138,7 +140,8 @@ def _chunked(df, key, order, position, parts, split: int) -> DataFrame:
 
     w = Window.partitionBy(*key).orderBy("_chunk")
     before = w.rowsBetween(Window.unboundedPreceding, -1)
-    after = w.rowsBetween(1, Window.unboundedFollowing)
+    back = Window.partitionBy(*key).orderBy(F.desc("_chunk"))
+    after = back.rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*key)
     state: dict[str, Column] = {"_offset": F.coalesce(F.sum("_size").over(before), F.lit(0))}
     if edge:
@@ -149,7 +152,7 @@ def _chunked(df, key, order, position, parts, split: int) -> DataFrame:
         f"_b_{n}": F.last(f"_last_{n}", ignorenulls=True).over(before) for n in parts["carry"]
     }
     state |= {
-        f"_b_{n}": F.first(f"_first_{n}", ignorenulls=True).over(after) for n in parts["ahead"]
+        f"_b_{n}": F.last(f"_first_{n}", ignorenulls=True).over(after) for n in parts["ahead"]
     }
     state |= {n: F.sum(f"_sum_{n}").over(whole) for n in parts["totals"]}
     state |= {n: F.max(f"_max_{n}").over(whole) for n in parts["highest"]}
@@ -160,7 +163,7 @@ def _chunked(df, key, order, position, parts, split: int) -> DataFrame:
     joined = rows_local.join(borders, [*key, "_chunk"])
     out: dict[str, Column] = {}
     if position:
-        out[position] = (F.col("_local") + F.col("_offset")).cast("int")
+        out[position] = (F.col("_local") + F.col("_offset")).cast("long")
     first, last = F.col("_local") == 0, F.col("_local") == F.col("_size") - 1
     for name in parts["previous"]:
         out[name] = F.when(first, F.col(f"_in.{name}")).otherwise(F.col(name))

@@ -6,115 +6,54 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import vocab
+from ..functions.fold import fold
 from ..functions.ordered import scan
 from ..functions.stats import summarise
-from ..session import Scale, pin
+from ..session import Scale
 from ..spec import ReferenceModel
 
-FOLD_BLOCK = 10_000
 
-
-def _model_map(model: ReferenceModel) -> Column:
-    """label → array of (source state number, target state number) in declared order."""
-    number = {state: i for i, state in enumerate(model.states)}
-    entries = []
-    for name in model.labels:
-        options = [
-            F.struct(F.lit(number[a]).alias("src"), F.lit(number[b]).alias("dst"))
-            for a, b, step in model.steps
-            if step == name
-        ]
-        entries += [F.lit(name), F.array(*options)]
-    return F.create_map(*entries)
-
-
-def _start(model: ReferenceModel) -> Column:
-    tokens = F.array(*[F.lit(1 if s == model.start else 0) for s in model.states])
-    return F.struct(
-        tokens.alias("tokens"),
-        F.lit(0).cast("long").alias("missing"),
-        F.lit(0).cast("long").alias("fired"),
-    )
-
-
-def _fold(items: Column, state: Column, model: ReferenceModel) -> Column:
-    """Replay an array of labels from a state.
-
-    A label fires its first enabled transition; if none is enabled a missing
-    token is put before its first declared transition.  Labels the model does
-    not know are skipped.
-    """
-    options_of = _model_map(model)
-    # one lookup per event, before the fold
-    known = F.filter(F.transform(items, lambda a: options_of[a]), lambda o: o.isNotNull())
-
-    def fire(acc: Column, options: Column, hit: Column) -> Column:
-        first = F.get(options, F.lit(0))
-        dst = F.coalesce(hit["dst"], first["dst"])
-        moved = F.transform(
-            acc["tokens"],
-            lambda x, i: x
-            + F.when(i == dst, 1).otherwise(0)
-            - F.when(i == hit["src"], 1).otherwise(0),
-        )
-        return F.struct(
-            moved.alias("tokens"),
-            (acc["missing"] + F.when(hit.isNull(), 1).otherwise(0)).alias("missing"),
-            (acc["fired"] + 1).alias("fired"),
-        )
-
-    def step(acc: Column, options: Column) -> Column:
-        enabled = F.filter(options, lambda o: F.get(acc["tokens"], o["src"]) > 0)
-        # a one-element array binds the chosen transition, so it is worked out once per event
-        bound = F.array(F.get(enabled, F.lit(0)))
-        return F.get(F.transform(bound, lambda hit: fire(acc, options, hit)), F.lit(0))
-
-    return F.aggregate(known, state, step)
-
-
-def token_replay(
-    steps: DataFrame, model: ReferenceModel, scale: Scale, block: int = FOLD_BLOCK
-) -> DataFrame:
+def token_replay(steps: DataFrame, model: ReferenceModel) -> DataFrame:
     """Fitness of each sequence of flat (variant_id, pos, activity) rows.
 
     With a state machine as the model every fired step consumes and produces one
-    token.  Sequences longer than `block` are folded block by block with the
-    state carried over, so no row holds a whole long sequence.  Fractional
-    fitness follows the published definition; ties in choosing the missing token
-    can make it differ from other tools, a fitness of exactly 1 cannot.
+    token.  A label fires its first enabled transition; if none is enabled a missing
+    token is put before its first declared transition.  Labels the model does not
+    know are skipped.  The marking is carried along each sequence in order, so no
+    task holds a whole one.  Fractional fitness follows the published definition;
+    ties in choosing the missing token can make it differ from other tools, a
+    fitness of exactly 1 cannot.
     """
-    blocks = steps.groupBy("variant_id", F.floor(F.col("pos") / block).alias("block")).agg(
-        F.transform(
-            F.array_sort(F.collect_list(F.struct("pos", "activity"))), lambda x: x["activity"]
-        ).alias("items")
-    )
-    if scale.bound("variant_id") <= block:
-        state = blocks.select("variant_id", _fold(F.col("items"), _start(model), model).alias("s"))
-    else:
-        blocks = pin(blocks)
-        last = blocks.agg(F.max("block")).first()[0] or 0
-        state = blocks.where(F.col("block") == 0).select(
-            "variant_id", _fold(F.col("items"), _start(model), model).alias("s")
-        )
-        for number in range(1, int(last) + 1):
-            nxt = blocks.where(F.col("block") == number).select("variant_id", "items")
-            state = state.join(nxt, "variant_id", "left").select(
-                "variant_id",
-                _fold(F.coalesce("items", F.array()), F.col("s"), model).alias("s"),
-            )
-            if number % 20 == 0:
-                state = pin(state)
-    end = model.states.index(model.end)
-    at_end = F.get(F.col("s.tokens"), F.lit(end))
-    left = F.aggregate("s.tokens", F.lit(0), lambda acc, x: acc + x)
-    no_end = F.when(at_end > 0, 0).otherwise(1)
-    missing = F.col("s.missing") + no_end
-    remaining = left - F.when(at_end > 0, 1).otherwise(0)
-    moved = F.col("s.fired") + 1
-    return state.select(
+    number = {state: i for i, state in enumerate(model.states)}
+    options = {
+        name: [(number[a], number[b]) for a, b, step in model.steps if step == name] for name in model.labels
+    }
+    start, final, places = number[model.start], number[model.end], len(model.states)
+
+    def step(state, row):
+        if state is None:
+            state = ([int(i == start) for i in range(places)], [0, 0])
+        tokens, (missing, fired) = state
+        moves = options.get(row[0])
+        if moves:
+            enabled = next((m for m in moves if tokens[m[0]] > 0), None)
+            if enabled:
+                tokens[enabled[0]] -= 1
+            tokens[(enabled or moves[0])[1]] += 1
+            state[1][:] = missing + (enabled is None), fired + 1
+        return state, None
+
+    def end(state):
+        tokens, (missing, fired) = state
+        reached = tokens[final] > 0
+        return missing + (not reached), sum(tokens) - reached, fired + 1
+
+    got = fold(steps, "variant_id", ["pos"], ["activity"], "missing long, remaining long, moved long", step, end)
+    missing, remaining, moved = F.col("missing"), F.col("remaining"), F.col("moved")
+    return got.select(
         "variant_id",
-        missing.alias("missing"),
-        remaining.cast("long").alias("remaining"),
+        "missing",
+        "remaining",
         moved.alias("consumed"),
         moved.alias("produced"),
         (F.lit(0.5) * (1 - missing / moved) + F.lit(0.5) * (1 - remaining / moved)).alias("fitness"),

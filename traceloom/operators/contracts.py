@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import vocab
 from ..functions.calendar import plus_micros
+from ..functions.fold import fold
 from ..functions.ordered import scan
 from ..functions.stats import first_ids
 from ..session import Scale
@@ -92,19 +93,36 @@ def asof_label(facts: DataFrame, labels: DataFrame) -> DataFrame:
     """Label valid at each fact's time: (case_id, as_of) plus `label`.
 
     The last interval by (valid_from, label_id) wins; no interval gives
-    'not_evaluable'.  The case is an equi key, the interval a residual predicate.
+    'not_evaluable'.  Intervals and facts of a case pass by in time order once,
+    and only the intervals that are open at that time are held.
     """
-    hit = (
-        facts.select("case_id", "as_of")
-        .distinct()
-        .join(labels, "case_id")
-        .where(
-            (F.col("valid_from") <= F.col("as_of"))
-            & (F.col("valid_until").isNull() | (F.col("as_of") < F.col("valid_until")))
-        )
-        .groupBy("case_id", "as_of")
-        .agg(F.max_by("status", F.struct("valid_from", "label_id")).alias("label"))
-    )
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    none = F.lit(None)
+    opened = labels.where("valid_from is not null").select(
+        "case_id", micros("valid_from").alias("at"), F.lit(0).alias("kind"),
+        F.col("label_id").cast("string").alias("label_id"), F.col("status"), micros("valid_until").alias("until"),
+    )
+    asked = facts.where("as_of is not null").select(
+        "case_id", micros("as_of").alias("at"), F.lit(1).alias("kind"),
+        none.cast("string").alias("label_id"), none.cast("string").alias("status"), none.cast("long").alias("until"),
+    ).distinct()
+
+    def step(state, row):
+        at, kind, _, status, until = row
+        state = [] if state is None else state
+        if kind == 0:
+            # arrivals are in order of (valid_from, label_id); those below that end no later can never win again
+            while state and state[-1][0] is not None and (until is None or state[-1][0] <= until):
+                state.pop()
+            state.append((until, status))
+            return state, None
+        while state and state[-1][0] is not None and state[-1][0] <= at:
+            state.pop()
+        return state, ((at, state[-1][1]) if state else None)
+
+    order = ["at", "kind", "label_id"]
+    hit = fold(opened.unionByName(asked), "case_id", order, [*order, "status", "until"], "at long, label string", step)
+    hit = hit.withColumn("as_of", F.timestamp_micros("at").cast(facts.schema["as_of"].dataType)).drop("at")
     return facts.join(hit, ["case_id", "as_of"], "left").withColumn(
         "label", F.coalesce("label", F.lit("not_evaluable"))
     )

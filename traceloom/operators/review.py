@@ -8,12 +8,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.ids import SEP
+from ..functions.fold import fold
 from ..functions.ordered import scan
 from ..session import Scale
 from ..spec import ReviewSpec
 from .quality import violations
 
-SEGMENT = 1000
 OPEN_STATES = ("awaiting_review", "edited", "approved")
 AUDIT_COLUMNS = (
     "audit_id",
@@ -357,80 +357,46 @@ def _link(payload: Column, previous: Column) -> Column:
     return F.sha2(F.concat(payload, F.coalesce(previous, F.lit(""))), 256)
 
 
-def audit_build(records: DataFrame, scale: Scale, segment: int = SEGMENT) -> DataFrame:
+def audit_build(records: DataFrame, scale: Scale) -> DataFrame:
     """Hash-linked records, one chain per chain_id, numbered by (occurred_at, audit_id).
 
-    Each record's fingerprint covers its content and its predecessor's
-    fingerprint.  A chain is folded in segments of bounded length; the first
-    record of a later segment links to the seal of the segment before, a hash
-    of all contents in it.  Short chains are ordinary hash chains.
+    Each record's fingerprint covers its content and its predecessor's fingerprint, so the last one
+    depends on every record.  A chain is written in order, record by record; checking it is parallel.
     """
     numbered = scan(
         records.drop("seq"), ["chain_id"], ["occurred_at", "audit_id"], scale, position="_p"
     ).withColumn("seq", (F.col("_p") + 1).cast("long"))
-    rows = numbered.withColumns(
-        {"payload": _payload(), "segment": F.floor((F.col("seq") - 1) / segment)}
-    ).select(*AUDIT_COLUMNS, "payload", "segment")
-    sealed = rows.groupBy("chain_id", "segment").agg(
-        F.array_sort(
-            F.collect_list(
-                F.struct("seq", "payload", "audit_id", "occurred_at", "actor_role", "action", "object_id")
-            )
-        ).alias("items")
-    ).withColumn(
-        "seal", F.sha2(F.concat_ws("", F.transform("items", lambda x: x["payload"])), 256)
-    )
-    linked = scan(sealed, ["chain_id"], ["segment"], scale, previous={"before": F.col("seal")})
-
-    def step(acc: Column, item: Column) -> Column:
-        mark = _link(item["payload"], F.get(acc, F.size(acc) - 1))
-        return F.concat(acc, F.array(mark))
-
-    # the accumulator starts with the predecessor's mark and grows by one mark per record
-    marks = F.aggregate("items", F.array(F.col("before")), step)
-    out = F.zip_with(
-        F.zip_with("items", F.slice(marks, F.lit(2), F.size("items")), lambda i, m: F.struct(i.alias("i"), m.alias("m"))),
-        F.slice(marks, F.lit(1), F.size("items")),
-        lambda x, p: F.struct(x["i"].alias("i"), x["m"].alias("fingerprint"), p.alias("previous_fingerprint")),
-    )
-    return linked.select("chain_id", F.inline(out)).select(
-        "i.audit_id", "chain_id", "i.seq", "i.occurred_at", "i.actor_role", "i.action", "i.object_id",
-        "previous_fingerprint", "fingerprint",
-    )
+    rows = numbered.withColumn("payload", _payload()).drop("_p")
+    kept = ["audit_id", "seq", "occurred_at", "actor_role", "action", "object_id"]
+
+    def step(before, row):
+        import hashlib
+
+        mark = hashlib.sha256((row[0] + (before or "")).encode()).hexdigest()
+        return mark, (*row[1:], before, mark)
+
+    kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in kept)
+    out = f"{kinds}, previous_fingerprint string, fingerprint string"
+    linked = fold(rows, "chain_id", ["seq"], ["payload", *kept], out, step)
+    return linked.select("audit_id", "chain_id", *kept[1:], "previous_fingerprint", "fingerprint")
 
 
-def audit_verify(chain: DataFrame, scale: Scale, segment: int = SEGMENT) -> DataFrame:
+def audit_verify(chain: DataFrame, scale: Scale) -> DataFrame:
     """Adds `broken` to each record: wrong number, wrong link, or changed content.  Parallel."""
-    rows = chain.withColumns(
-        {"payload": _payload(), "segment": F.floor((F.col("seq") - 1) / segment)}
-    )
-    seals = rows.groupBy("chain_id", "segment").agg(
-        F.sha2(
-            F.concat_ws(
-                "", F.transform(F.array_sort(F.collect_list(F.struct("seq", "payload"))), lambda x: x["payload"])
-            ),
-            256,
-        ).alias("seal_before")
-    )
-    heads = seals.withColumn("segment", F.col("segment") + 1)
     looked = scan(
-        rows,
+        chain.withColumn("payload", _payload()),
         ["chain_id"],
         ["seq", "audit_id"],
         scale,
         position="_p",
         previous={"fp_before": F.col("fingerprint")},
-    ).join(heads, ["chain_id", "segment"], "left")
-    head = F.pmod(F.col("seq") - 1, F.lit(segment)) == 0
-    expected = F.when(head, F.col("seal_before")).otherwise(F.col("fp_before"))
+    )
     broken = (
         (F.col("seq") != F.col("_p") + 1)
-        | ~F.col("previous_fingerprint").eqNullSafe(expected)
+        | ~F.col("previous_fingerprint").eqNullSafe(F.col("fp_before"))
         | (_link(F.col("payload"), F.col("previous_fingerprint")) != F.col("fingerprint"))
     )
-    return looked.withColumn("broken", broken).drop(
-        "payload", "segment", "_p", "fp_before", "seal_before"
-    )
+    return looked.withColumn("broken", broken).drop("payload", "_p", "fp_before")
 
 
 def audit_summary(verified: DataFrame) -> DataFrame:

@@ -7,13 +7,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.fold import fold
 from ..functions.ordered import scan
 from ..functions.stats import first_ids, label, summarise
 from ..session import Scale
 from ..spec import MiningSpec
 
-BLOCK = 1000
-
 # fixed values: marker of each activity
 MARKERS = {
     "Missing information requested": "missing_information",
@@ -25,57 +24,35 @@ MARKERS = {
 }
 
 
-def _blocks(rows: DataFrame, by: str, value: str, block: int) -> DataFrame:
-    """Ordered arrays of at most `block` values: one row per (by, block)."""
-    return rows.groupBy(by, F.floor(F.col("pos") / block).alias("block")).agg(
-        F.transform(
-            F.array_sort(F.collect_list(F.struct("pos", value))), lambda x: x[value]
-        ).alias("items")
-    )
+def case_digests(log: DataFrame, version: str = "activity-map-v1") -> DataFrame:
+    """(case_id, digest, length): a hash of the whole sequence, by one rule for every length.
 
+    The hash is fed activity by activity in order, so no task holds a sequence.
+    """
+    quoted = F.to_json(F.array("activity"))
+    pieces = log.select("case_id", "pos", F.substring(quoted, F.lit(2), F.length(quoted) - 2).alias("piece"))
+    close = f'],"activity_mapping_version":"{version}"}}'.encode()
 
-def case_digests(
-    log: DataFrame, scale: Scale, version: str = "activity-map-v1", block: int = BLOCK
-) -> DataFrame:
-    """(case_id, digest, length): a hash of the whole sequence, whatever its length.
+    def step(state, row):
+        import hashlib
 
-    Sequences are hashed in blocks, blocks of block hashes are hashed again, and
-    so on, so no task ever holds more than `block` items of one case.  A case
-    that fits one block keeps the plain hash of its sequence.
-    """
-    text = F.concat(
-        F.lit('{"activities":'),
-        F.to_json("items"),
-        F.lit(f',"activity_mapping_version":"{version}"}}'),
-    )
-    level = _blocks(log, "case_id", "activity", block).select(
-        "case_id", F.col("block").alias("pos"), F.sha2(text, 256).alias("digest"),
-        F.size("items").cast("long").alias("length"),
-    )
-    reach = block
-    while reach < scale.bound("case_id"):  # which bounds the number of levels
-        grouped = level.groupBy("case_id", F.floor(F.col("pos") / block).alias("block")).agg(
-            F.array_sort(F.collect_list(F.struct("pos", "digest"))).alias("items"),
-            F.sum("length").alias("length"),
-        )
-        joined = F.concat_ws(",", F.transform("items", lambda x: x["digest"]))
-        level = grouped.select(
-            "case_id",
-            F.col("block").alias("pos"),
-            F.when(
-                (F.size("items") == 1) & (F.col("block") == 0), F.col("items")[0]["digest"]
-            ).otherwise(F.sha2(joined, 256)).alias("digest"),
-            "length",
-        )
-        reach *= block
-    return level.select("case_id", "digest", "length")
+        if state is None:
+            state = [hashlib.sha256(b'{"activities":['), 0]
+        state[0].update((b"," if state[1] else b"") + row[0].encode())
+        state[1] += 1
+        return state, None
+
+    def end(state):
+        state[0].update(close)
+        return state[0].hexdigest(), state[1]
+
+    return fold(pieces, "case_id", ["pos"], ["piece"], "digest string, length long", step, end)
 
 
-def case_variants(log: DataFrame, spec: MiningSpec, scale: Scale, block: int = BLOCK) -> DataFrame:
-    return case_digests(log, scale, spec.mapping_version, block).select(
-        "case_id",
-        F.concat(F.lit("variant-"), F.substring("digest", 1, 16)).alias("variant_id"),
-        "length",
+def case_variants(log: DataFrame, spec: MiningSpec) -> DataFrame:
+    """(case_id, variant_id, length); the id has the whole digest, so different sequences never share one."""
+    return case_digests(log, spec.mapping_version).select(
+        "case_id", F.concat(F.lit("variant-"), "digest").alias("variant_id"), "length"
     )
 
 

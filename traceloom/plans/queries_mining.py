@@ -774,9 +774,9 @@ def token_replay(spark, folder):
         "event_id",
     )
     log = scan(rows, ["case_id"], ["event_at", "event_id"], scale, position="pos")
-    cases = variants.case_variants(log, MiningSpec(), scale)
+    cases = variants.case_variants(log, MiningSpec())
     cores = variants.variant_cores(cases, MiningSpec())
-    replay = conformance.token_replay(variants.variant_events(log, cores), SHOP, scale)
+    replay = conformance.token_replay(variants.variant_events(log, cores), SHOP)
     return tidy(cases.join(replay, "variant_id").select("case_id", "missing", "remaining", "fitness"))
 
 

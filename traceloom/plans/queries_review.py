@@ -265,7 +265,7 @@ def compare_process(spark, folder):
         return variants.complexity(log, cases, variants.variant_cores(cases, MINING), ws.wide, ws.scale)
 
     part = ws.plog.where("referral_source = 'gp_practice'")
-    some = variants.case_variants(part, MINING, ws.scale)
+    some = variants.case_variants(part, MINING)
     got = whatif.compare_process(measures(ws.plog, ws.case_variants), measures(part, some))
     return tidy(got.where("measure = 'distinct_variant_count'"))
 

@@ -336,8 +336,8 @@ seqs AS (
   SELECT case_id, list(activity ORDER BY pos) AS acts, count(*) AS length FROM pl GROUP BY 1
 ),
 cv AS (
-  SELECT case_id, length, acts, 'variant-' || substr(sha256('{"activities":["' || array_to_string(acts, '","') ||
-         '"],"activity_mapping_version":"activity-map-v1"}'), 1, 16) AS variant_id FROM seqs
+  SELECT case_id, length, acts, 'variant-' || sha256('{"activities":["' || array_to_string(acts, '","') ||
+         '"],"activity_mapping_version":"activity-map-v1"}') AS variant_id FROM seqs
 ),
 cores AS (
   SELECT variant_id, count(*) AS cases, min(case_id) AS representative, max(length) AS length,

@@ -107,7 +107,7 @@ class Workspace:
 
     @cached_property
     def case_variants(self) -> DataFrame:
-        return self._kept(variants.case_variants(self.plog, self.mspec, self.scale))
+        return self._kept(variants.case_variants(self.plog, self.mspec))
 
     @cached_property
     def cores(self) -> DataFrame:
@@ -127,11 +127,11 @@ class Workspace:
 
     @cached_property
     def strict_replay(self) -> DataFrame:
-        return conformance.token_replay(self.steps, self.strict, self.scale)
+        return conformance.token_replay(self.steps, self.strict)
 
     @cached_property
     def governed_replay(self) -> DataFrame:
-        return self._kept(conformance.token_replay(self.steps, self.governed, self.scale))
+        return self._kept(conformance.token_replay(self.steps, self.governed))
 
     @cached_property
     def strict_deviations(self) -> DataFrame:
