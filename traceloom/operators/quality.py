@@ -111,8 +111,11 @@ def top_level_forbidden(column: str, keys=vocab.FORBIDDEN_KEYS) -> Column:
     return F.arrays_overlap(F.json_object_keys(column), F.array(*[F.lit(k) for k in keys]))
 
 
-# text every match of a pattern must contain: a plain search that spares most regex runs
-PATTERN_HINTS = {"email": ("@",), "identifier": ("nhs", "patient")}
+# pattern -> text that every match of it must contain: a plain search that spares most regex runs
+PATTERN_HINTS = {
+    vocab.SENSITIVE_PATTERNS["email"]: ("@",),
+    vocab.SENSITIVE_PATTERNS["identifier"]: ("nhs", "patient"),
+}
 
 
 def text_safety_scan(
@@ -127,9 +130,9 @@ def text_safety_scan(
     checks = {f"term:{t}": text.contains(t) for t in terms}
     for name, pattern in patterns.items():
         test = text.rlike(pattern)
-        if name in hints:
+        if pattern in hints:
             likely = F.lit(False)
-            for part in hints[name]:
+            for part in hints[pattern]:
                 likely = likely | text.contains(part)
             test = likely & test
         checks[f"pattern:{name}"] = test

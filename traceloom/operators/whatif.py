@@ -330,7 +330,8 @@ def compare_metrics(a: DataFrame, b: DataFrame, effects=None) -> DataFrame:
         "dimension", "value", "metric", F.col("observed").alias("simulated"), F.col("sample").alias("denominator")
     )
     diff = F.col("simulated") - F.col("baseline")
-    return left.join(right, ["dimension", "value", "metric"]).select(
+    # a cohort of one run only stays, without a difference
+    return left.join(right, ["dimension", "value", "metric"], "full_outer").select(
         "dimension",
         "value",
         "metric",
@@ -357,7 +358,7 @@ def run_summary(values: DataFrame, metrics: tuple[str, ...]) -> DataFrame:
 def compare_process(a: DataFrame, b: DataFrame) -> DataFrame:
     """Two (measure, number) tables side by side."""
     return a.withColumnRenamed("number", "baseline").join(
-        b.withColumnRenamed("number", "simulated"), "measure"
+        b.withColumnRenamed("number", "simulated"), "measure", "full_outer"
     ).withColumn("absolute_difference", F.col("simulated") - F.col("baseline"))
 
 
@@ -392,7 +393,8 @@ def compare_burden(
     )
     got = (
         hours(a, "baseline_hours")
-        .join(hours(b, "simulated_hours"), ["dimension", "value"])
+        # a cohort of one run only counts with no hours in the other
+        .join(hours(b, "simulated_hours"), ["dimension", "value"], "full_outer")
         .join(operating, ["dimension", "value"], "left")
         .na.fill(0.0)
         .withColumn("operating_hours", F.col("review_hours") + F.col("fallback_hours") + F.col("recovery_hours"))

@@ -530,7 +530,9 @@ c AS (SELECT count(*) FILTER (WHERE predicted AND positive) AS tp, count(*) FILT
   count(*) FILTER (WHERE positive IS NULL) AS unlabelled, count(*) FILTER (WHERE predicted IS NULL) AS unpredicted
   FROM p FULL JOIN t USING (id))
 SELECT *, round(tp / nullif(tp + fp, 0), 6) AS precision, round(tp / nullif(tp + fn, 0), 6) AS recall,
-  round(tn / nullif(tn + fp, 0), 6) AS specificity, round(2 * tp / nullif(2 * tp + fp + fn, 0), 6) AS f1,
+  round(tn / nullif(tn + fp, 0), 6) AS specificity, round(fp / nullif(tn + fp, 0), 6) AS false_positive_rate,
+  round(fn / nullif(tp + fn, 0), 6) AS false_negative_rate, round(tn / nullif(tn + fn, 0), 6) AS negative_predictive_value,
+  round(2 * tp / nullif(2 * tp + fp + fn, 0), 6) AS f1,
   round((tp + fp) / nullif(tp + fp + tn + fn, 0), 6) AS coverage FROM c""",
 )
 def confusion_metrics(spark, folder):
@@ -538,11 +540,7 @@ def confusion_metrics(spark, folder):
     docs = table(spark, folder, "documents").select(F.col("doc_id").alias("id"), (F.col("n_chars") > 1000).alias("predicted"))
     truth = table(spark, folder, "labels").select(F.col("doc_id").alias("id"), (F.col("quality") == 1).alias("positive"))
     got = review.confusion_metrics(docs, truth)
-    return tidy(
-        got.select(
-            "tp", "fp", "tn", "fn", "unlabelled", "unpredicted", "precision", "recall", "specificity", "f1", "coverage"
-        )
-    )
+    return tidy(got)
 
 
 # --- lineage ------------------------------------------------------------------------

@@ -35,14 +35,24 @@ TERMINAL_EVENTS = (
 )
 TERMINAL_ACTIVITIES = tuple(ACTIVITY_LABELS[e] for e in TERMINAL_EVENTS)
 
-# Everything moves a case forward except the submission itself, a failed
-# booking attempt and an unanswered contact.
-NOT_PROGRESS = (
-    "referral_submitted",
-    "appointment_scheduling_failed",
-    "patient_no_response",
+# Events that move a case forward.
+PROGRESS_EVENTS = (
+    "referral_received",
+    "completeness_check_completed",
+    "missing_information_requested",
+    "missing_information_received",
+    "referral_categorised",
+    "referral_recategorised",
+    "clinical_team_assigned",
+    "clinical_team_reassigned",
+    "appointment_scheduling_started",
+    "appointment_booked",
+    "patient_notified",
+    "referral_completed",
+    "referral_cancelled",
+    "referral_rejected",
+    "referral_closed_other",
 )
-PROGRESS_EVENTS = tuple(e for e in EVENT_TYPES if e not in NOT_PROGRESS)
 
 # --- fixed values: case vocabulary ------------------------------------------
 OPEN_STATUSES = (
