@@ -629,8 +629,8 @@ WHERE NOT timeout OR date_trunc('milliseconds', evaluated_at + INTERVAL 1 MILLIS
     ),
 )
 def stream_detector(spark, folder):
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", mo.ROCKSDB)
-    got = mo.run_to_end(det.detect_stream(_stream(spark, folder), sn.contract_forms(spark), DET))
+    with mo.state_store(spark):
+        got = mo.run_to_end(det.detect_stream(_stream(spark, folder), sn.contract_forms(spark), DET))
     return got.select(
         "case_id", "snapshot_id", "evaluated_at", "outcome", (F.col("reasons") == det.EXPIRED).alias("timeout")
     )
@@ -641,9 +641,9 @@ def stream_detector(spark, folder):
     with_(SNAP, "SELECT delivery, 1 AS rows FROM sn GROUP BY 1"),
 )
 def stream_retry_dedup(spark, folder):
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", mo.ROCKSDB)
-    # the watermark delay spans the log, so each delivery is kept exactly once
-    got = mo.run_to_end(mo.retry_dedup(_stream(spark, folder), "400 days"))
+    # a retry comes within a day; older state goes with the watermark
+    with mo.state_store(spark):
+        got = mo.run_to_end(mo.retry_dedup(_stream(spark, folder), "1 day"))
     return got.groupBy(
         F.concat_ws("|", "source_record_identifier", F.col("source_record_version").cast("string")).alias("delivery")
     ).agg(F.count(F.lit(1)).alias("rows"))
@@ -711,15 +711,18 @@ def stream_expiry(spark, folder):
 
 @query(
     "stream_stuck",
-    """SELECT user_id AS case_id, max(ts) FILTER (WHERE event_type IN ('view', 'click', 'signup')) AS progress_at,
-  date_diff('microsecond', max(ts) FILTER (WHERE event_type IN ('view', 'click', 'signup')), TIMESTAMP '2024-02-01') >= 172800000000 AS stuck
-FROM events GROUP BY 1""",
+    """SELECT case_id, progress_at, date_diff('microsecond', progress_at, TIMESTAMP '2024-02-01') >= 172800000000 AS stuck FROM (
+  SELECT user_id || '|' || strftime(ts, '%Y-%m-%d') AS case_id, max(ts) FILTER (WHERE event_type IN ('view', 'click', 'signup')) AS progress_at
+  FROM events GROUP BY 1 HAVING NOT bool_or(event_type = 'purchase'))""",
 )
 def stream_stuck(spark, folder):
+    """A user's day is a case; a purchase ends it."""
     rows = mo.stream_table(spark, folder, "events").select(
-        F.col("user_id").alias("case_id"), "event_type", F.col("ts").alias("event_at")
+        F.concat_ws("|", F.col("user_id").cast("string"), F.date_format("ts", "yyyy-MM-dd")).alias("case_id"),
+        "event_type",
+        F.col("ts").alias("event_at"),
     )
-    emitted = mo.run_to_end(mo.last_progress(rows, ("view", "click", "signup"), ("closed",)), "update")
+    emitted = mo.run_to_end(mo.last_progress(rows, ("view", "click", "signup"), ("purchase",)), "update")
     latest = mo.latest_update(emitted, ["case_id"])
     return mo.stuck(latest, F.lit(datetime(2024, 2, 1)).cast("timestamp"), 48).select("case_id", "progress_at", "stuck")
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,6 +23,18 @@ def stream_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return raw.withColumns({n: F.col(n).cast("timestamp") for n in naive}) if naive else raw
 
 
+@contextmanager
+def state_store(spark: SparkSession, provider: str = ROCKSDB):
+    """Streams started inside use this state store; afterwards the session's own choice holds again."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, provider)
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def run_to_end(stream: DataFrame, mode: str = "append", checkpoint: str | None = None) -> DataFrame:
     """Process all available input and return what was emitted, with its batch number.
 
