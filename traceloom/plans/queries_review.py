@@ -558,7 +558,7 @@ h1 AS (SELECT h, count(*) AS n, sha256(h || ':' || count(*)) AS d FROM h0 GROUP
     return level + f"\nSELECT n AS rows, d AS fingerprint FROM {last}"
 
 
-_FP = ["event_id", "user_id", "event_type", "props"]
+_FP = ["event_id", "ts", "user_id", "event_type", "value", "props"]
 
 
 @query("dataset_fingerprint", _fingerprint_sql("events", _FP))
