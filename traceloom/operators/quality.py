@@ -141,16 +141,21 @@ def text_safety_scan(
 
 
 def log_quality(
-    events: DataFrame, cases: DataFrame, spec: BaselineSpec, scale: Scale
+    events: DataFrame, cases: DataFrame, spec: BaselineSpec, scale: Scale, mapped=tuple(vocab.ACTIVITY_LABELS)
 ) -> DataFrame:
-    """One row: what was received, kept, and left out, and why."""
-    flags = case_flags(events, cases, spec, scale)
-    ok = F.col("supported") & (F.col("events") > 0)
+    """One row: what was received, kept, and left out, and why.
+
+    Events whose type has no activity are left out of the log and counted as unsupported mappings.
+    """
+    flags = case_flags(events, cases, spec, scale, mapped)
+    included = F.col("events") - F.col("unmapped")
+    ok = F.col("supported") & (included > 0)
     if spec.reject_duplicates:
         ok = ok & (F.col("duplicates") == 0)
     per_case = flags.agg(
         F.count_if(ok).alias("traces_included"),
-        F.coalesce(F.sum(F.when(ok, F.col("events"))), F.lit(0)).alias("events_included"),
+        F.coalesce(F.sum(F.when(ok, included)), F.lit(0)).alias("events_included"),
+        F.coalesce(F.sum("unmapped"), F.lit(0)).alias("unsupported_mappings"),
         F.coalesce(F.sum("duplicates"), F.lit(0)).alias("duplicate_events"),
         F.count_if(F.col("events") == 0).alias("empty_cases"),
         F.count_if(~F.col("supported")).alias("unsupported_cases"),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -123,11 +125,15 @@ def flag_aggregates(spec: BaselineSpec) -> list[Column]:
 
 
 def case_flags(
-    events: DataFrame, cases: DataFrame, spec: BaselineSpec, scale: Scale
+    events: DataFrame, cases: DataFrame, spec: BaselineSpec, scale: Scale, mapped: Sequence[str] | None = None
 ) -> DataFrame:
-    """One row per case of the period, also for cases without events."""
+    """One row per case of the period, also for cases without events.
+
+    mapped: event types that have an activity; other events count as `unmapped` (none if not given).
+    """
     rows = timeline(events, cases, spec, scale, known_only=bool(spec.period_start or spec.period_end))
-    flags = rows.groupBy("case_id").agg(*flag_aggregates(spec))
+    unmapped = F.lit(False) if mapped is None else ~F.coalesce(F.col("event_type").isin(*mapped), F.lit(False))
+    flags = rows.groupBy("case_id").agg(*flag_aggregates(spec), F.count_if(unmapped).alias("unmapped"))
     copies = (
         events.groupBy(*IDENTITY)
         .agg((F.count(F.lit(1)) - 1).alias("_extra"))
@@ -143,6 +149,7 @@ def case_flags(
             "case_id",
             F.coalesce("events", F.lit(0)).alias("events"),
             F.coalesce("duplicates", F.lit(0)).alias("duplicates"),
+            F.coalesce("unmapped", F.lit(0)).alias("unmapped"),
             F.coalesce("identical_timestamps", F.lit(False)).alias("identical_timestamps"),
             F.coalesce("out_of_order", F.lit(False)).alias("out_of_order"),
             (
