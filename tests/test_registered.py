@@ -15,7 +15,7 @@ SELECTED = (
     "sessionise case_metrics m_waiting_time join_fifo_pairing interval_merge business_hours findings transition_stats "
     "variants complexity token_replay strict_deviations contradictions snapshot_validation contract_quality "
     "stream_detector_batch observability_taxonomy event_overlay audit_build dataset_fingerprint confusion_metrics "
-    "join_asof_label workload_metrics"
+    "join_asof_label workload_metrics log_quality stream_stuck variant_conformance"
 ).split()
 
 

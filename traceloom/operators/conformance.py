@@ -195,6 +195,19 @@ def conformance_status(
     )
 
 
+def variant_conformance(cores: DataFrame, strict: DataFrame, governed: DataFrame) -> DataFrame:
+    """(variant_id, cases) with mean fitness and the share of fully conforming cases against both models.
+
+    All cases of a variant replay alike, so its means are the values of the variant.
+    """
+    out = cores.select("variant_id", "cases")
+    for name, status in (("strict", strict), ("governed", governed)):
+        full = F.when(F.col("conformance") == "fully_conforming", 1.0).otherwise(0.0)
+        part = status.select("variant_id", F.col("fitness").alias(f"{name}_fitness"), full.alias(f"{name}_full_rate"))
+        out = out.join(part, "variant_id", "left")
+    return out
+
+
 def case_conformance(cases: DataFrame, status: DataFrame) -> DataFrame:
     """Carry the variant results back to the cases; a variant without replay is unavailable."""
     return cases.join(status, "variant_id", "left").withColumn(

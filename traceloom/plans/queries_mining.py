@@ -10,7 +10,7 @@ from ..operators import bottlenecks as bn
 from ..operators import cohorts, conformance, mining, quality, variants
 from ..operators.review import percentile_nearest
 from ..sources.tables import session_log, table, table_scale
-from ..spec import MiningSpec, ReferenceModel, governed_model
+from ..spec import MiningSpec, ReferenceModel, governed_model, strict_model
 from . import sql as q
 from .registry import joined, query, tidy
 from .sql import with_
@@ -857,6 +857,29 @@ def governed_deviations(spark, folder):
     )
 
 
+def _renamed(sql: str, suffix: str) -> str:
+    """The replay's tables under other names, for a second model in one statement."""
+    import re
+
+    return re.sub(r"\b(walk|final|scored|fit)\b(?!ness)", rf"\1_{suffix}", sql)
+
+
+@query(
+    "variant_conformance",
+    with_(
+        GOVERNED.replace(q.VAR, STRICT_DEV + GOV_DEV_FROM_STRICT) + ",\n" + _renamed(replay_sql(strict_model()), "strict"),
+        f"""SELECT cv.variant_id, count(*) AS cases, round(avg(s.fitness), 6) AS strict_fitness,
+  avg(CASE WHEN s.fitness = 1 AND cv.variant_id NOT IN (SELECT variant_id FROM sdev) THEN 1.0 ELSE 0.0 END) AS strict_full_rate,
+  round(avg(g.fitness), 6) AS governed_fitness, avg(CASE WHEN g.fitness = 1 AND cv.variant_id NOT IN
+    (SELECT variant_id FROM gdev WHERE category <> 'scheduling_retry') THEN 1.0 ELSE 0.0 END) AS governed_full_rate
+FROM cv JOIN fit g USING (case_id) JOIN fit_strict s USING (case_id) GROUP BY 1""",
+    ),
+)
+def variant_conformance(spark, folder):
+    ws = Workspace.of_sessions(spark, folder, store=True)
+    return tidy(conformance.variant_conformance(ws.cores, ws.strict_status, ws.governed_status))
+
+
 @query(
     "deviation_counts",
     with_(
