@@ -223,7 +223,9 @@ def test_classifiers_on_held_out_rows(spark):
     assert (held.lang == held.lang_pred).mean() > 0.97 and lang.score.between(0, 1).all()
 
 
-def test_toxic_documents_are_found(spark):
+@pytest.mark.parametrize("broadcast", [toxicity.BROADCAST, 0])
+def test_toxic_documents_are_found(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(toxicity, "BROADCAST", broadcast)
     rng = np.random.default_rng(2)
     prose = lambda: [f"{'abcdefgh'[rng.integers(0, 8)]}{'klmnop'[rng.integers(0, 6)]}{'rst'[rng.integers(0, 3)]}" for _ in range(60)]
     rows, labels = [], []

@@ -32,6 +32,8 @@ CANDIDATES, FEATURES = 6_000, 1_500
 #: Contexts that a feature needs, and from how many on it has its full scale.
 CONTEXTS, FULL = 5, 60
 FIT_ROWS = 20_000
+#: Labels up to which they are broadcast (some 16 bytes each) and the texts stay where they are.
+BROADCAST = 2_000_000
 #: Log odds from which a word counts as a marker.
 MARKER = 2.0
 RIDGE, STEPS = 5e-4, 400
@@ -113,7 +115,10 @@ def train(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "t
     """
     marks = labels.select(F.col(f"`{id}`").alias("_id"), F.col(f"`{label}`").cast("int").alias("_label")).where("_label in (0, 1)")
     source = docs.select(F.col(f"`{id}`").alias("_id"), F.col(f"`{text}`").cast("string").alias("_text")).where("_text is not null")
-    labelled = source.join(marks, "_id").select("_id", "_text", "_label")
+    if marks.count() <= BROADCAST:
+        labelled = source.join(F.broadcast(marks), "_id").select("_id", "_text", "_label")
+    else:  # the texts are shuffled once and read three times
+        labelled = pin(source.join(marks, "_id").select("_id", "_text", "_label"))
     sizes = {r["_label"]: r["count"] for r in labelled.select("_label").groupBy("_label").count().collect()}
     if len(sizes) < 2:
         return None
