@@ -1,5 +1,7 @@
 """Nulls, empty and very long texts, ties, repeated rows, empty tables and clashing columns."""
 
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -91,6 +93,35 @@ def test_an_edited_passage_is_a_leak(spark, items):
     assert got == {(1, round(17 / 19, 6)), (3, 1.0)}
 
 
+def leaks_by_force(docs, items):
+    """Best similarity over all windows of the size of an item, by (doc, item)."""
+    grams = lambda w: Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
+    out = {}
+    for doc, text in docs:
+        for item, other in items:
+            w, m = text.split(), len(other.split())
+            b = grams(other.split())
+            windows = [grams(w[s : s + m]) for s in range(max(0, len(w) - m) + 1)]
+            best = max(((a & b).total() / (a | b).total() for a in windows), default=0)
+            if best >= 0.8:
+                out[doc, item] = round(best, 6)
+    return out
+
+
+def test_parts_in_another_order_are_a_leak(spark):
+    item = [f"i{k}" for k in range(104)]
+    foreign = [f"f{k}" for k in range(300)]
+    thirds = [*item[70:], *item[:35], *item[35:70]]
+    texts = [(1, foreign[:150] + item[52:] + item[:52] + foreign[150:]), (2, thirds + foreign), (3, foreign + item[:52]), (4, foreign + item[:10] + item)]
+    texts = [(d, " ".join(w)) for d, w in texts]
+    items = [(7, " ".join(item)), (8, " ".join(item[::-1])), (9, "a b c d e f a b c d e f a b c d e f")]
+    texts += [(5, "x a b c d e f a b c d e f a b c d e y f"), (6, "a b c d e f " * 9), (7, None)]
+    frames = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r["similarity"] for r in decontamination.leaks(*frames).collect()}
+    assert got == leaks_by_force(texts[:-1], items) and got[1, 7] == round(96 / 104, 6) and {d for d, _ in got} == {1, 2, 4, 5, 6}
+    assert {r["doc_id"] for r in decontamination.remove_leaks(*frames).collect()} == {3, 7}
+
+
 def test_items_in_blocks(spark, docs, items, monkeypatch):
     whole = sorted(map(tuple, decontamination.leaks(docs, items).collect()), key=str)
     monkeypatch.setattr(decontamination, "BLOCK", 15)

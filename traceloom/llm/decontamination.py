@@ -1,29 +1,31 @@
-"""Benchmark decontamination with SimHash windows of the size of the items.
+"""Benchmark decontamination with windows of the size of the items, all of them counted exactly.
 
-Words are runs of letters and digits, in lower case; shingles are five words.  A window that shares
-no shingle with an item has similarity zero to it, so only windows aligned on a shared shingle are
-built: if a document's shingle at p is an item's at q, the window starts at p - q and is as long as
-the item.  Each window gets a SimHash of its words.  Window and item fingerprints of one size meet
-over a multi-index: `RADIUS` + 1 blocks of bits, of which one is equal for any two fingerprints
-within the radius.  Candidates within the radius are verified by the exact weighted similarity
-of their shingles (sum of smaller over sum of larger counts).
+Words are runs of letters and digits, in lower case; shingles are five words.  A document's windows
+are as long as the item (or the document, if that is shorter), at every start.  Similarity is the
+exact weighted one of the shingles: sum of smaller over sum of larger counts.
+
+Only shingles that an item holds leave the scan (`hits`).  A window of similarity 0.8 shares four
+fifths of the item's shingles, so it shares one of any fifth and one more: documents meet an item
+only over that many of its rarest shingles, which loses nothing.  Then a hit at p counts in the
+windows that start in one interval: from the first that reaches p, and beyond as many earlier copies
+of the shingle as the item holds, to p itself.  The sum of these intervals is the common count of
+every start, so parts in another order and edits anywhere are counted like any other.
 
 Everything is DataFrame functions.  Items come in blocks whose shingles are few enough to be
-broadcast; the documents meet a block in the stage that reads them, which keeps only the words of
-the windows found, so neither texts nor shingles are shuffled.
+broadcast; the documents meet a block in the stage that reads them, so neither texts nor their
+other shingles are shuffled.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from traceloom.session import pin
 
 SHINGLE, SIMILARITY = 5, 0.8
-RADIUS = 11
 #: Most shingles of items in one broadcast table (some 40 bytes each).
 BLOCK = 500_000
 
@@ -41,33 +43,12 @@ def _shingles(hashes: str) -> Column:
     )
 
 
-def _simhash(hashes: str) -> Column:
-    """A bit is 1 if it is set in over half of the hashes."""
-    ones = f"size(filter({hashes}, x -> (shiftright(x, b) & 1L) = 1L))"
-    return F.expr(f"aggregate(sequence(0, 63), 0L, (f, b) -> f | if(2 * {ones} > size({hashes}), shiftleft(1L, b), 0L))")
-
-
-def _blocks(fp: str) -> Column:
-    """(block number, its bits) for RADIUS + 1 blocks that share out the 64 bits."""
-    borders = [64 * n // (RADIUS + 1) for n in range(RADIUS + 2)]
-    cells = [
-        f"struct({n} as block, shiftrightunsigned({fp}, {a}) & {(1 << (b - a)) - 1}L as bits)"
-        for n, (a, b) in enumerate(zip(borders, borders[1:]))
-    ]
-    return F.expr(f"array({', '.join(cells)})")
-
-
-def _common(a: str, b: str) -> Column:
-    """Sum over shingles of the smaller of the two counts."""
-    count = lambda side: f"size(filter({side}, x -> x = s))"
-    return F.expr(f"aggregate(array_distinct({a}), 0, (t, s) -> t + least({count(a)}, {count(b)}))")
-
-
 def leaks(docs: DataFrame, items: DataFrame, id: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
     """One row per document id and item that meet: id, item, similarity, start, n_words.
 
-    The similarity is the best over the windows, at least 0.8, rounded to 6 digits; start is the
-    first word of the first such window, n_words the item's length.  A document shorter than the
+    The similarity is the best over all windows, at least 0.8, rounded to 6 digits; n_words is the
+    item's length.  start is the first word of the first best window in which a shared shingle stands
+    where it does in the item, or else of the first best window.  A document shorter than the
     item is one window.  Items of fewer than five words have no shingle and meet nothing, and so do
     null and empty texts.  Null ids are ids like others; rows that repeat an id give one row.  Other
     columns are ignored.
@@ -75,17 +56,19 @@ def leaks(docs: DataFrame, items: DataFrame, id: str = "doc_id", text: str = "te
     prepared = items.select(
         F.col(f"`{item}`").alias("item"), F.transform(words(F.col(f"`{item_text}`").cast("string")), lambda w: F.xxhash64(w)).alias("hashes")
     ).distinct()
-    prepared = prepared.select("item", F.size("hashes").alias("m"), _shingles("hashes").alias("shingles"), _simhash("hashes").alias("fp")).where("m >= 5")
-    prepared = pin(prepared)
+    prepared = prepared.select("item", F.size("hashes").alias("m"), _shingles("hashes").alias("shingles")).where("m >= 5")
+    prepared = pin(prepared.withColumn("no", F.monotonically_increasing_id()))
     number = prepared.agg(F.sum("m")).first()[0] or 0
     parts = -(-number // BLOCK) or 1
 
     hashed = docs.select(
         F.col(f"`{id}`").alias("doc"), F.transform(words(F.col(f"`{text}`").cast("string")), lambda w: F.xxhash64(w)).alias("hashes")
     )
-    hashed = hashed.select("doc", "hashes", _shingles("hashes").alias("shingles"))
+    # rows that repeat an id stay apart; null ids are equal inside a struct
+    key = F.struct("doc", F.xxhash64("hashes").alias("row"), F.size("hashes").alias("n"))
+    hashed = hashed.select(key.alias("key"), _shingles("hashes").alias("shingles"))
     found = [_meet(hashed, prepared.where(F.pmod(F.xxhash64("item"), F.lit(parts)) == n)) for n in range(parts)]
-    best = reduce(DataFrame.unionAll, found).groupBy("doc", "item", "m").agg(F.max(F.struct("similarity", (-F.col("start")).alias("back"))).alias("best"))
+    best = reduce(DataFrame.unionAll, found).groupBy("doc", "item", "m").agg(F.max("best").alias("best"))
     return best.select(
         F.col("doc").alias(id),
         F.col("item").alias(item),
@@ -95,23 +78,40 @@ def leaks(docs: DataFrame, items: DataFrame, id: str = "doc_id", text: str = "te
     )
 
 
+def _seeds(items: DataFrame) -> DataFrame:
+    """Per item and shingle its places qs, and if it is one of the rarest, of which every window similar enough holds one."""
+    per = items.select("no", "m", F.posexplode("shingles").alias("q", "shingle")).groupBy("no", "m", "shingle").agg(F.collect_list("q").alias("qs"))
+    per = per.withColumn("holders", F.count(F.lit(1)).over(Window.partitionBy("shingle")))
+    rarer = F.sum(F.size("qs")).over(Window.partitionBy("no").orderBy("holders", "shingle").rowsBetween(Window.unboundedPreceding, -1))
+    number = F.col("m") - (SHINGLE - 1)
+    spare = number - F.ceil(F.round(number * SIMILARITY, 6))  # as many may be missing
+    return per.select("no", "m", "shingle", "qs", (F.coalesce(rarer, F.lit(0)) <= spare).alias("probe"))
+
+
 def _meet(hashed: DataFrame, items: DataFrame) -> DataFrame:
-    seeds = items.select("m", F.posexplode("shingles").alias("q", "shingle")).distinct()
+    """(doc, item, m, best): best is (similarity, aligned, back), back the negative start."""
+    seeds = pin(_seeds(items))
     # outer: else a filter on the size of the array would be moved below and compute it anew per word
-    at = hashed.select("doc", "hashes", F.posexplode_outer("shingles").alias("p", "shingle"))
-    # BLOCK bounds the broadcast side; only the matches' own words leave this stage
-    start = F.greatest(F.lit(0), F.least(F.col("p") - F.col("q"), F.size("hashes") - F.col("m")))
-    aligned = at.join(F.broadcast(seeds), "shingle").select("doc", "m", start.alias("start"), F.slice("hashes", start + 1, F.col("m")).alias("hashes"))
-    windows = aligned.distinct().select("doc", "m", "start", _simhash("hashes").alias("fp"), _shingles("hashes").alias("shingles"))
-    keyed = pin(windows).withColumn("key", F.explode(_blocks("fp"))).select("doc", "m", "start", "fp", "shingles", "key.*")
-    index = items.select("item", "m", F.col("fp").alias("item_fp"), F.col("shingles").alias("item_shingles"), F.explode(_blocks("fp")).alias("key"))
-    index = index.select("item", "m", "item_fp", "item_shingles", "key.*")
-    candidates = keyed.join(F.broadcast(index), ["m", "block", "bits"]).where(F.bit_count(F.expr("fp ^ item_fp")) <= RADIUS)
-    # a pair may share several blocks: once is enough
-    pairs = candidates.select("doc", "item", "m", "start", "shingles", "item_shingles").distinct()
-    pairs = pairs.withColumn("common", _common("shingles", "item_shingles"))
-    similarity = F.col("common") / (F.size("shingles") + F.size("item_shingles") - F.col("common"))
-    return pairs.select("doc", "item", "m", "start", similarity.alias("similarity")).where(F.col("similarity") >= SIMILARITY)
+    at = hashed.select("key", F.posexplode_outer("shingles").alias("p", "shingle"))
+    # BLOCK bounds the broadcast side; only the hits leave this stage
+    hits = pin(at.join(F.broadcast(seeds.select("shingle").distinct()), "shingle", "left_semi"))
+    pairs = hits.join(F.broadcast(seeds.where("probe").select("shingle", "no")), "shingle").select("key", "no").distinct()
+    held = hits.join(pairs, "key").join(F.broadcast(seeds.drop("probe")), ["no", "shingle"])
+    held = held.groupBy("key", "no", "m", "shingle").agg(F.sort_array(F.collect_list("p")).alias("ps"), F.first("qs").alias("qs"))
+    last, size = "greatest(0, key.n - m)", f"(least(key.n, m) - {SHINGLE - 1})"
+    counts = f"greatest(0, p - {size} + 1, if(i < size(qs), 0, ps[i - size(qs)] + 1))"
+    steps = f"""flatten(transform(ps, (p, i) -> concat(
+        if({counts} <= least(p, {last}), array(
+            struct({counts} as start, 1 as step, 0 as aligned), struct(least(p, {last}) + 1 as start, -1 as step, 0 as aligned)),
+          cast(array() as array<struct<start: int, step: int, aligned: int>>)),
+        transform(qs, q -> struct(greatest(0, least(p - q, {last})) as start, 0 as step, 1 as aligned)))))"""
+    steps = held.select("key", "no", "m", F.explode(F.expr(steps)).alias("s")).groupBy("key", "no", "m", "s.start")
+    steps = steps.agg(F.sum("s.step").alias("step"), F.max("s.aligned").alias("aligned"))
+    common = F.sum("step").over(Window.partitionBy("key", "no", "m").orderBy("start"))
+    windows = steps.withColumn("common", common).where(F.expr(f"start <= {last}"))
+    windows = windows.withColumn("similarity", F.expr(f"common / ({size} + m - {SHINGLE - 1} - common)")).where(F.col("similarity") >= SIMILARITY)
+    best = windows.groupBy("key", "no", "m").agg(F.max(F.struct("similarity", "aligned", (-F.col("start")).alias("back"))).alias("best"))
+    return best.join(F.broadcast(items.select("no", "item")), "no").select("key.doc", "item", "m", "best")
 
 
 def remove_leaks(docs: DataFrame, items: DataFrame, id: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
