@@ -1,6 +1,7 @@
 """Nulls, empty and very long texts, ties, repeated rows, empty tables and clashing columns."""
 
 from collections import Counter
+from random import Random
 
 import pytest
 from pyspark.sql import functions as F
@@ -122,6 +123,28 @@ def test_parts_in_another_order_are_a_leak(spark):
     assert {r["doc_id"] for r in decontamination.remove_leaks(*frames).collect()} == {3, 7}
 
 
+def test_edge_and_run_edits_down_to_the_threshold_are_leaks(spark):
+    r = Random(7)
+    vocabulary = [f"w{k}" for k in range(3000)]
+    texts, items = [], []
+    for number, m in enumerate((49, 94, 200)):
+        item = r.choices(vocabulary, k=m)
+        items.append((number, " ".join(item)))
+        k = m - 4
+        for case in range(30):
+            most = k - -(-8 * k // 9)  # shingles that may differ in a window of the item's size
+            run = r.randint(1, most - 4 if case % 3 == 2 else most)
+            at = {0: 0, 1: m - run, 2: r.randint(4, m - run - 4)}[case % 3]
+            edited = [*item[:at], *r.choices(vocabulary, k=run), *item[at + run :]]
+            if case % 5 == 4:
+                edited = item[: m - k // 5]  # a document shorter than the item
+            around = [] if case % 5 == 4 else r.choices(vocabulary, k=60)
+            texts.append((100 * number + case, " ".join(around[:30] + edited + around[30:])))
+    frames = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r["similarity"] for r in decontamination.leaks(*frames).collect()}
+    assert got == leaks_by_force(texts, items) and len(got) == len(texts)
+
+
 def test_items_in_blocks(spark, docs, items, monkeypatch):
     whole = sorted(map(tuple, decontamination.leaks(docs, items).collect()), key=str)
     monkeypatch.setattr(decontamination, "BLOCK", 15)
