@@ -1,7 +1,9 @@
 """Secrets by pattern and by zstandard novelty.
 
 Three fixed patterns give the base spans.  Beyond them, a candidate is a long run of token
-characters with letters and digits near a sensitive word.  Its novelty is what it adds to the
+characters with letters and digits near a sensitive word, before or after it.  Candidates with
+nothing but blanks and punctuation between them are a run, such as the lines of a wrapped key, and
+what is sensitive for one of a run is so for all.  The novelty of a candidate is what it adds to the
 compressed size of its surroundings: bytes of (before + candidate + after) less bytes of
 (before + after), with a compressor primed by an identifier dictionary and the rest of the
 neighbourhood.  Names, paths and prose repeat what is around them and add little; a key cannot be
@@ -25,10 +27,16 @@ KINDS = ("assign", "access", "hex", "novel")
 ASSIGN_LEAST, ACCESS_LEAST = 8, 16
 HINTS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
-#: Sensitive surroundings of a candidate, and how far before it they may stand.
+#: Sensitive surroundings of a candidate, and how far before or after it they may stand.
 SENSITIVE = re.compile(r"passw|passwd|pwd|secret|token|api.?key|credential|bearer|private|auth|signature|session|login", re.I)
 REACH = 80
 CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}")
+#: Between the candidates of a run; \\n may be spelt out.
+GAP = re.compile(r"(?:[\W_]|\\[rnt])*")
+#: The end of a wrapped key, too short for a candidate: a line of its own after the last one.
+TAIL = re.compile(r"""["',+\\\x20\t]*(?:\r?\n|\\r\\n|\\n)(?:[\x20\t"'>|#]|\+(?=[\x20"']))*([A-Za-z0-9+/_-]{1,15}={0,2})(?=["',;+\x20\t]*(?:[\r\n\\]|\Z))""")
+#: A PEM block up to its end, with whatever headers.
+ARMOR = re.compile(r"-----BEGIN ([^\n-]*)-----")
 #: Characters on either side that prime the compressor.
 AROUND = 2_000
 #: Least share of a candidate's length that it adds to the compressed size, and least bytes.
@@ -68,22 +76,57 @@ def novelty(text: str, start: int, end: int) -> int:
     return len(compressor.compress(near + body.encode())) - len(compressor.compress(near))
 
 
+def enough(body: str) -> float:
+    """Bytes a candidate must add."""
+    return max(LEAST_BYTES, NOVELTY * len(body))
+
+
+def _runs(text: str) -> list[list[re.Match]]:
+    """Candidates in runs; one without letters or without digits counts as a further line of a run only."""
+    out: list[list[re.Match]] = []
+    last = None
+    for m in CANDIDATE.finditer(text):
+        mixed = any(c.isdigit() for c in m[0]) and any(c.isalpha() for c in m[0])
+        follows = last is not None and GAP.fullmatch(text, last.end(), m.start())
+        if follows and (mixed or re.search(r"[\r\n\\]", text[last.end() : m.start()])):
+            out[-1].append(m)
+        elif mixed:
+            out.append([m])
+        else:
+            continue
+        last = m
+    return out
+
+
 def novel_spans(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int]]:
     """(start, kind number, end, bytes) of incompressible candidates in sensitive surroundings, beside the taken spans."""
     if not SENSITIVE.search(text):
         return []
+    blocks = [(m.end(), text.find("-----END", m.end())) for m in ARMOR.finditer(text) if SENSITIVE.search(m[1])]
+
+    def hit(start: int, end: int) -> list[int]:
+        return [kind for a, kind, b in taken if a < end and start < b]
+
+    def sensitive(m: re.Match) -> bool:
+        near = SENSITIVE.search(text, max(0, m.start() - REACH), m.start()) or SENSITIVE.search(text, m.end(), m.end() + REACH)
+        return bool(near) or 0 in hit(m.start(), m.end()) or any(a <= m.start() < b for a, b in blocks)
+
     out = []
-    for m in CANDIDATE.finditer(text):
-        body = m[0]
-        if not (any(c.isdigit() for c in body) and any(c.isalpha() for c in body)):
-            continue
-        if any(a < m.end() and m.start() < b for a, _, b in taken):
-            continue
-        if not SENSITIVE.search(text[max(0, m.start() - REACH) : m.start()]):
+    for run in _runs(text):
+        if not any(map(sensitive, run)):
             continue
-        size = novelty(text, m.start(), m.end())
-        if size >= max(LEAST_BYTES, NOVELTY * len(body)):
-            out.append((m.start(), 3, m.end(), size))
+        secret = 0
+        for m in run:
+            found = bool(hit(m.start(), m.end()))
+            if not found:
+                size = novelty(text, m.start(), m.end())
+                found = size >= enough(m[0])
+                if found:
+                    out.append((m.start(), 3, m.end(), size))
+            secret = secret + 1 if found else 0
+        tail = TAIL.match(text, run[-1].end()) if secret else None
+        if tail and re.search("[A-Za-z0-9]", tail[1]) and (secret > 1 or re.search("[0-9+/=]", tail[1])) and not hit(*tail.span(1)):
+            out.append((tail.start(1), 3, tail.end(1), novelty(text, *tail.span(1))))
     return out
 
 
