@@ -298,6 +298,19 @@ def test_sensitive_words_after_a_key():
     assert secret_scan.without("a1b2c3d4e5f6a7b8\nregards\nlogin", "*").endswith("\nregards\nlogin")
 
 
+@pytest.mark.parametrize(
+    "letters",
+    ["0123456789ABCDEF", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "abcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "0A1B2C3D", None],
+)
+def test_long_keys_of_any_alphabet_are_found(letters):
+    for size in (64, 96, 128, 256, 512, 2048):
+        for seed in range(20):
+            key = random_text(seed, size, letters) if letters else random_text(seed, size)
+            text = f"the private key is {key} and goes on"
+            assert secret_scan.without(text, "*") == "the private key is * and goes on", (size, seed)
+    assert secret_scan.novel_spans("bearer " + "ab12" * 40 + " " + "x" * 200 + "1", []) == []
+
+
 def test_redaction(spark):
     text = 'é token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" end'
     rows = [(1, text, len(text)), (2, "clean", 5), (3, None, None), (4, "", 0)]

@@ -12,6 +12,7 @@ compressed and adds most of its entropy.
 
 from __future__ import annotations
 
+import math
 import re
 
 from pyspark.sql import DataFrame
@@ -39,8 +40,15 @@ TAIL = re.compile(r"""["',+\\\x20\t]*(?:\r?\n|\\r\\n|\\n)(?:[\x20\t"'>|#]|\+(?=[
 ARMOR = re.compile(r"-----BEGIN ([^\n-]*)-----")
 #: Characters on either side that prime the compressor.
 AROUND = 2_000
-#: Least share of a candidate's length that it adds to the compressed size, and least bytes.
-NOVELTY, LEAST_BYTES = 0.75, 10
+#: Least share of a candidate's length that it adds to the compressed size, and least bytes.  Of
+#: a small alphabet it needs no more than its characters' entropy and the least cost of their code.
+NOVELTY, LEAST_BYTES, CODE = 0.75, 10, 6
+#: Sizes of the alphabets keys are written in; from LONG characters on, those that occur are counted.
+ALPHABETS = tuple(
+    (re.compile(p), n)
+    for p, n in ((r"[0-9]+", 10), (r"[0-9A-F]+|[0-9a-f]+", 16), (r"(?:[A-Z2-7]+|[a-z2-7]+)=*", 32), (r"[0-9A-Z]+|[0-9a-z]+", 36), (r"[0-9A-Za-z]+", 62))
+)
+LONG = 64
 #: What code and configuration repeat anyway.
 IDENTIFIERS = (
     "abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ 0123456789 true false null none return import class function "
@@ -77,8 +85,9 @@ def novelty(text: str, start: int, end: int) -> int:
 
 
 def enough(body: str) -> float:
-    """Bytes a candidate must add."""
-    return max(LEAST_BYTES, NOVELTY * len(body))
+    """Bytes a candidate must add: what random characters of its alphabet would, at the least."""
+    letters = len(set(body)) if len(body) >= LONG else next((n for p, n in ALPHABETS if p.fullmatch(body)), 64)
+    return max(LEAST_BYTES, min(NOVELTY * len(body), len(body) * math.log2(letters) / 8 + CODE))
 
 
 def _runs(text: str) -> list[list[re.Match]]:
