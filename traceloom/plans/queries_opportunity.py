@@ -236,14 +236,9 @@ def portfolio(spark, folder) -> Portfolio:
     ),
 )
 def union_evidence(spark, folder):
-    got = portfolio(spark, folder).evidence
-    # without the two counts that rest on fractional replay fitness or on the log quality row
-    keep = (F.col("record_id") != "unexpected_order") & (F.col("source_type") != "process_quality")
-    keep = keep & ~F.col("metric").isin(
-        "high_frequency_slow_transition", "variant_elevated_duration", "nonconforming_path_duration"
-    )
+    # the statement has no twin of process_quality, unexpected_order and three candidate metrics
     return tidy(
-        got.where(keep).select(
+        portfolio(spark, folder).evidence.select(
             "evidence_id", "source_type", "record_id", "metric", "dimension", "value", "observed", "sample_size",
             "materiality", "confidence",
         )
@@ -267,12 +262,8 @@ def evidence_registry(spark, folder):
     ),
 )
 def evidence_quality(spark, folder):
-    got = op.evidence_quality(portfolio(spark, folder).evidence)
-    return got.where(
-        F.col("source_type").isin(
-            "baseline_finding", "cohort_metric", "process_transition", "process_variant", "research_observation"
-        )
-    )
+    # the statement covers five of the source types
+    return op.evidence_quality(portfolio(spark, folder).evidence)
 
 
 @query("distinct_pairs", f"WITH {OBS.strip()} SELECT left_id, right_id FROM clash")

@@ -459,7 +459,8 @@ _GATED = [g for g in review.GATES if g[2] in _WORK and isinstance(g[4], str)]
 )
 def gates(spark, folder):
     got = review.evaluate_gates(_workload(spark, folder), review.gate_table(spark, REVIEW))
-    return got.where(F.col("gate").isin(*[g[0] for g in _GATED])).select("gate", "status")
+    # the statement covers _GATED
+    return got.select("gate", "status")
 
 
 @query("gate_assessment")
