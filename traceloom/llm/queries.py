@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from traceloom.llm import decontamination, language_id, near_dedup, packing, quality_qda, quality_rules, secret_scan, substring_dedup, token_counts, tokens, toxicity
+from traceloom.llm import decontamination, filter_audit, language_id, mixing, near_dedup, packing, quality_qda, quality_rules, secret_scan, substring_dedup, token_counts, tokens, toxicity
 from traceloom.llm.shared import held_apart, table
 from traceloom.session import pin, shared_folder
 
@@ -180,6 +180,60 @@ def op9_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts.totals(spark, store)
 
 
+@_query(
+    "op11_filter_interaction_audit",
+    r"""WITH audit_docs AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+    min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS least FROM documents),
+audit_labels AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id),
+audit_patterns AS (
+  SELECT part, (len(w) < 200)::INT + 2 * (100 * len(list_distinct(w)) < 50 * len(w))::INT
+      + 4 * (100 * len(regexp_extract_all(t, '[A-Z]')) > 3 * length(t))::INT + 8 * regexp_matches(t, '[#$%&*|]')::INT
+      + 16 * coalesce(doc_id > least, FALSE)::INT AS mask,
+    count(*) AS n, sum(coalesce(good, 0)) AS good, sum(coalesce(toxic, 0)) AS toxic
+  FROM audit_docs LEFT JOIN audit_labels USING (doc_id) GROUP BY ALL),
+audit_letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS l),
+audit_orders AS (
+  SELECT a.l || b.l || c.l || d.l || e.l AS filter_order
+  FROM audit_letters a, audit_letters b, audit_letters c, audit_letters d, audit_letters e
+  WHERE len(list_distinct([a.l, b.l, c.l, d.l, e.l])) = 5),
+audit_steps AS (
+  SELECT filter_order, step, 1 << (instr('ABCDE', filter_order[step]) - 1) AS own,
+    list_sum(list_transform(range(1, step), lambda i: 1 << (instr('ABCDE', filter_order[i]) - 1))) AS earlier
+  FROM audit_orders, (SELECT unnest(range(1, 6)) AS step)),
+audit_cases AS (
+  SELECT part, filter_order, step, own, coalesce(earlier, 0)::BIGINT AS earlier, mask, n, good, toxic FROM audit_steps, audit_patterns),
+audit AS (
+  SELECT part, filter_order, step, own,
+    sum(CASE WHEN mask & (earlier | own) = 0 THEN n ELSE 0 END) AS kept,
+    sum(CASE WHEN mask & earlier = 0 AND mask & own <> 0 THEN n ELSE 0 END) AS removed,
+    sum(CASE WHEN mask & earlier <> 0 AND mask & own <> 0 THEN n ELSE 0 END) AS redundant,
+    sum(CASE WHEN mask = own THEN n ELSE 0 END) AS unique_fails,
+    sum(CASE WHEN mask & earlier = 0 AND mask & own <> 0 THEN good ELSE 0 END) AS good_lost,
+    sum(CASE WHEN mask & earlier = 0 AND mask & own <> 0 THEN toxic ELSE 0 END) AS toxic_lost
+  FROM audit_cases GROUP BY ALL)
+SELECT part, filter_order, step::INT AS step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant,
+  unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost,
+  (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley FROM audit""",
+)
+def op11_filter_interaction_audit(spark: SparkSession, folder: str) -> DataFrame:
+    return filter_audit.audit(filter_audit.patterns(table(spark, folder, "documents"), table(spark, folder, "labels")))
+
+
+@_query("op13_source_mixing")
+def op13_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    shares = mixing.shares(pin(mixing.sized(table(spark, folder, "documents"))))
+    zero = F.lit(0).cast("long")
+    return shares.select(
+        F.col("id").alias("doc_id"),
+        "size",
+        "source_size",
+        "target",
+        F.aggregate("parts", zero, lambda a, p: a + p["words"]).alias("taken"),
+        F.array_join(F.transform("parts", lambda p: p["shard"].cast("string")), ",").alias("shards"),
+    )
+
+
 QUERIES["pipeline"] = corpus_pipeline.run
 if corpus_pipeline.ORACLE_SQL:
     CHECKS["pipeline"] = corpus_pipeline.ORACLE_SQL
