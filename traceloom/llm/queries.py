@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from traceloom.llm import decontamination, filter_audit, language_id, mixing, near_dedup, packing, quality_qda, quality_rules, secret_scan, substring_dedup, token_counts, tokens, toxicity
+from traceloom.llm import decontamination, filter_audit, language_id, mixing, near_dedup, packing, prefix_trie, quality_qda, quality_rules, secret_scan, substring_dedup, token_counts, tokens, toxicity
 from traceloom.llm.shared import held_apart, table
 from traceloom.session import pin, shared_folder
 
@@ -220,6 +220,38 @@ def op11_filter_interaction_audit(spark: SparkSession, folder: str) -> DataFrame
     return filter_audit.audit(filter_audit.patterns(table(spark, folder, "documents"), table(spark, folder, "labels")))
 
 
+#: crc32 of a list of character codes, bit by bit.
+_CRC32 = """xor(4294967295, list_reduce({codes}, lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0],
+    lambda x, y: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END), 4294967295::BIGINT))"""
+
+
+@_query(
+    "op12_conversation_prefix_trie",
+    f"""WITH turn_lists AS (
+  SELECT conv_id AS c, list({{'r': coalesce(role, ''), 't': coalesce(text, '')}} ORDER BY turn NULLS FIRST, role, text) AS own
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+heads AS (
+  SELECT c, own, {_CRC32.format(codes="list_transform(string_split(c::VARCHAR, ''), lambda k: ord(k)::BIGINT)")} % 9 AS h FROM turn_lists),
+whole AS (
+  SELECT a.c, list_concat(coalesce(b.own, [])[1:a.h], a.own[a.h + 1:]) AS seq FROM heads a LEFT JOIN turn_lists b ON b.c = a.c - a.c % 5),
+prefixes AS (SELECT c, d, seq[1:d] AS p, seq[1:d - 1] AS up, len(seq) AS l FROM (SELECT c, seq, unnest(range(0, len(seq) + 1)) AS d FROM whole)),
+nodes AS (
+  SELECT p, d, any_value(CASE WHEN d > 0 THEN up END) AS up, min(c) AS c, count(*) AS n, max(l) = d AS leaf,
+    CASE WHEN d > 0 THEN (count(*) - 1) * strlen(p[d].t) ELSE 0 END AS saved,
+    sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (WHERE l = d), '')) AS ends
+  FROM prefixes GROUP BY p, d),
+below AS (
+  SELECT p, d, sum(saved) AS saved, count(*) FILTER (WHERE leaf) AS leaves
+  FROM (SELECT p[1:e] AS p, e AS d, saved, leaf FROM (SELECT p, saved, leaf, unnest(range(0, d + 1)) AS e FROM nodes)) GROUP BY ALL),
+under AS (SELECT up AS p, d - 1 AS d, count(*) AS k FROM nodes WHERE d > 0 GROUP BY ALL)
+SELECT n.c AS conv_id, n.d::BIGINT AS depth, u.c AS parent_conv_id, n.n AS n_convs, coalesce(k, 0)::BIGINT AS n_children,
+  leaves AS n_leaves, b.saved::BIGINT AS saved_tokens, n.ends AS ends_sha256
+FROM nodes n JOIN below b ON b.p = n.p AND b.d = n.d LEFT JOIN under k ON k.p = n.p AND k.d = n.d LEFT JOIN nodes u ON u.p = n.up AND u.d = n.d - 1""",
+)
+def op12_conversation_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return prefix_trie.trie(prefix_trie.rebuilt(prefix_trie.sequences(table(spark, folder, "conversations"))))
+
+
 @_query("op13_source_mixing")
 def op13_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
     shares = mixing.shares(pin(mixing.sized(table(spark, folder, "documents"))))
