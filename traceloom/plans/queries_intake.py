@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
 from datetime import datetime
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import vocab
@@ -391,14 +394,11 @@ def _detected(spark, folder, as_of=None):
 
 
 # the detector as a walk over each case with its state in columns
-DETECT = (
-    "RECURSIVE "
-    + SNAP
-    + f""",
+WALK = f""",
 base AS (
-  SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY available_at, snapshot_id) AS p,
-    EXISTS (SELECT 1 FROM fm o WHERE o.case_id = fm.case_id AND o.delivery = fm.delivery
-            AND (o.available_at, o.snapshot_id) < (fm.available_at, fm.snapshot_id)) AND update_type = 'retry' AS rep,
+  SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY place, available_at, snapshot_id) AS p,
+    EXISTS (SELECT 1 FROM placed o WHERE o.case_id = placed.case_id AND o.delivery = placed.delivery
+            AND (o.place, o.available_at, o.snapshot_id) < (placed.place, placed.available_at, placed.snapshot_id)) AND update_type = 'retry' AS rep,
     CASE WHEN form_no IS NULL OR form_version NOT IN ('INTAKE-1', 'INTAKE-2')
            OR source_system NOT IN {q.quoted(vocab.CONTRACT_SOURCES)} OR contract <> 'requirements-v2' THEN 'abstain'
          WHEN conflict = 'detected' OR freshness <> 'fresh' OR applies IS NULL
@@ -408,7 +408,7 @@ base AS (
          WHEN state IN ('conflicting', 'stale') THEN 'abstain'
          WHEN review IN ('started', 'completed') OR warned THEN 'observe_only'
          ELSE 'recommend' END AS b
-  FROM fm
+  FROM placed
 ),
 walk(case_id, p, active, pend, due, snapshot_id, seen_at, outcome, fired, fired_due) AS (
   SELECT case_id, CAST(0 AS BIGINT), false, CAST(NULL AS VARCHAR), CAST(NULL AS TIMESTAMP), CAST(NULL AS VARCHAR),
@@ -418,28 +418,28 @@ walk(case_id, p, active, pend, due, snapshot_id, seen_at, outcome, fired, fired_
   SELECT w.case_id, n.p,
     CASE WHEN n.rep THEN w.active WHEN n.b IN ('recommend', 'observe_only') THEN true
          WHEN n.b = 'resolved' AND n.superseded IS NOT NULL AND w.active THEN false ELSE w.active END,
-    CASE WHEN n.rep THEN CASE WHEN n.available_at > w.due THEN NULL ELSE w.pend END
+    CASE WHEN n.rep THEN CASE WHEN n.place > w.due THEN NULL ELSE w.pend END
          WHEN n.b = 'pending' THEN n.snapshot_id
          WHEN n.b IN ('recommend', 'observe_only') OR (n.b = 'resolved' AND n.superseded IS NOT NULL AND w.active)
-           OR n.available_at > w.due THEN NULL ELSE w.pend END,
-    CASE WHEN n.rep THEN CASE WHEN n.available_at > w.due THEN NULL ELSE w.due END
-         WHEN n.b = 'pending' THEN n.available_at + INTERVAL 180 MINUTE
+           OR n.place > w.due THEN NULL ELSE w.pend END,
+    CASE WHEN n.rep THEN CASE WHEN n.place > w.due THEN NULL ELSE w.due END
+         WHEN n.b = 'pending' THEN n.place + INTERVAL 180 MINUTE
          WHEN n.b IN ('recommend', 'observe_only') OR (n.b = 'resolved' AND n.superseded IS NOT NULL AND w.active)
-           OR n.available_at > w.due THEN NULL ELSE w.due END,
+           OR n.place > w.due THEN NULL ELSE w.due END,
     n.snapshot_id, n.available_at,
     CASE WHEN n.rep THEN 'no_recommendation'
          WHEN n.b = 'resolved' AND n.superseded IS NOT NULL AND w.active THEN 'retract'
          WHEN n.b = 'resolved' THEN 'no_recommendation' ELSE n.b END,
-    CASE WHEN n.available_at > w.due THEN w.pend END, CASE WHEN n.available_at > w.due THEN w.due END
+    CASE WHEN n.place > w.due THEN w.pend END, CASE WHEN n.place > w.due THEN w.due END
   FROM walk w JOIN base n ON n.case_id = w.case_id AND n.p = w.p + 1
 ),
 res AS (
-  SELECT case_id, snapshot_id, seen_at AS evaluated_at, outcome, false AS timeout FROM walk WHERE p > 0
-  UNION ALL SELECT case_id, fired, fired_due, 'abstain', true FROM walk WHERE fired IS NOT NULL
-  UNION ALL SELECT case_id, pend, due, 'abstain', true FROM
+  SELECT case_id, snapshot_id, seen_at AS evaluated_at, outcome, false AS timeout, false AS running FROM walk WHERE p > 0
+  UNION ALL SELECT case_id, fired, fired_due, 'abstain', true, false FROM walk WHERE fired IS NOT NULL
+  UNION ALL SELECT case_id, pend, due, 'abstain', true, true FROM
     (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY p DESC) AS r FROM walk) WHERE r = 1 AND pend IS NOT NULL
 )"""
-)
+DETECT = "RECURSIVE " + SNAP + ",\nplaced AS (SELECT *, available_at AS place FROM fm)" + WALK
 
 
 @query(
@@ -663,23 +663,74 @@ def stream_tumbling_quality(spark, folder):
     return mo.latest_update(emitted, ["window_start"])
 
 
+# late: older than the newest source time that the case has seen; 30 minutes late is still put in order
+LATE = replace(DET, event_time="source_event_at", allowed_lateness_minutes=30)
+POLICIES = ("apply_with_warning", "abstain")
+PLACED = (
+    "RECURSIVE "
+    + SNAP
+    + """,
+arrived AS (
+  SELECT *, max(source_event_at) OVER (PARTITION BY case_id ORDER BY available_at, snapshot_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS mark
+  FROM fm
+),
+judged AS (
+  SELECT *, coalesce(source_event_at < mark, false) AS late, coalesce(source_event_at < mark - INTERVAL 30 MINUTE, false) AS beyond FROM arrived
+),
+placed AS (
+  SELECT * REPLACE (policy || '|' || case_id AS case_id), CASE WHEN beyond THEN mark ELSE source_event_at END AS place
+  FROM judged, (SELECT unnest(['apply_with_warning', 'abstain']) AS policy) WHERE policy <> 'abstain' OR NOT beyond
+)"""
+)
+
+
+def _arrivals(spark, folder, policy):
+    """The detector over snapshots that arrive in three portions, judged by their source time."""
+    spec = replace(LATE, late_policy=policy)
+    forms = sn.contract_forms(spark)
+    with mo.state_store(spark):
+        return mo.replay(_snaps(spark, folder), "available_at", 3, lambda rows: det.detect_stream(rows, forms, spec)), spec
+
+
 @query(
     "stream_late_policy",
     with_(
-        q.EV,
-        """SELECT late, count(*) AS events FROM (SELECT event_at < max(event_at) OVER (PARTITION BY case_id ORDER BY ingested_at, event_id
-  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS late FROM ev) GROUP BY 1""",
+        PLACED + WALK,
+        """SELECT split_part(r.case_id, '|', 1) AS policy, split_part(r.case_id, '|', 2) AS case_id, r.snapshot_id, evaluated_at, outcome, timeout,
+  NOT timeout AND coalesce(late, false) AS late
+FROM res r LEFT JOIN base b ON b.case_id = r.case_id AND b.snapshot_id = r.snapshot_id AND b.available_at = r.evaluated_at
+WHERE NOT running OR date_trunc('milliseconds', evaluated_at + INTERVAL 1 MILLISECOND) <= (SELECT max(ts) FROM events)
+UNION ALL SELECT 'abstain', case_id, snapshot_id, available_at, 'abstain', false, true FROM judged WHERE beyond""",
     ),
 )
 def stream_late_policy(spark, folder):
-    """Late rows as the stream tags them: older than the newest event its case had seen on arrival."""
-    from ..functions.ordered import scan
-
-    scale = _scale(spark, folder)
-    order = ["ingested_at", "event_id"]
-    rows = scan(session_events(spark, folder), ["case_id"], order, scale, peak={"_top": F.col("event_at")})
-    seen = scan(rows, ["case_id"], order, scale, previous={"latest": F.col("_top")})
-    return seen.groupBy((F.col("event_at") < F.col("latest")).alias("late")).agg(F.count(F.lit(1)).alias("events"))
+    """The last word of the stream on every evaluation, corrections done, under both policies."""
+    found = []
+    for policy in POLICIES:
+        emitted, _ = _arrivals(spark, folder, policy)
+        found.append(det.settled(emitted).withColumn("policy", F.lit(policy)))
+    return reduce(DataFrame.unionByName, found).select(
+        "policy", "case_id", "snapshot_id", "evaluated_at", "outcome", F.col("reasons").eqNullSafe(det.EXPIRED).alias("timeout"), "late"
+    )
+
+
+@query(
+    "stream_late_arrivals",
+    with_(
+        PLACED,
+        """SELECT policy, case_id, snapshot_id, available_at AS arrived_at, source_event_at AS event_at, mark,
+  date_diff('microsecond', source_event_at, mark) / 60000000.0 AS behind_minutes,
+  CASE WHEN NOT beyond THEN 'placed_by_event_time' WHEN policy = 'abstain' THEN 'abstained' ELSE 'applied_with_warning' END AS done
+FROM judged, (SELECT unnest(['apply_with_warning', 'abstain']) AS policy) WHERE late""",
+    ),
+)
+def stream_late_arrivals(spark, folder):
+    """The stream's second output: the late rows, what they were behind of, and what was done with them."""
+    found = []
+    for policy in POLICIES:
+        emitted, spec = _arrivals(spark, folder, policy)
+        found.append(det.late_arrivals(emitted, spec).withColumn("policy", F.lit(policy)))
+    return reduce(DataFrame.unionByName, found)
 
 
 @query(

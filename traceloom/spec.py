@@ -183,6 +183,10 @@ class DetectorSpec:
     suppress_under_review: bool = True
     late_policy: str = "apply_with_warning"
     allowed_lateness_minutes: int = 0
+    #: the time that lateness is judged by; snapshots arrive in order of available_at
+    event_time: str = "available_at"
+    #: how long a delivery is remembered for its retries
+    retry_days: int = 62
 
 
 @dataclass(frozen=True)

@@ -31,6 +31,9 @@ OUTPUT = (
 COLUMNS = tuple(part.strip().split(" ")[0] for part in OUTPUT.split(","))
 EXPIRED = "pending_update_not_confirmed"
 REPEATED = "duplicate_delivery_suppressed"
+LATE = "late_snapshot"
+#: Outcome of a correction that takes an expiry back: what confirmed it in time had not arrived yet.
+WITHDRAWN = "withdrawn"
 
 
 def decide(snapshots: DataFrame, forms: DataFrame, spec: DetectorSpec) -> DataFrame:
@@ -86,6 +89,7 @@ def decide(snapshots: DataFrame, forms: DataFrame, spec: DetectorSpec) -> DataFr
         "case_id",
         "snapshot_id",
         "available_at",
+        F.col(spec.event_time).alias("event_at"),
         F.concat_ws("|", "source_record_identifier", F.col("source_record_version").cast("string")).alias(
             "delivery"
         ),
@@ -97,6 +101,21 @@ def decide(snapshots: DataFrame, forms: DataFrame, spec: DetectorSpec) -> DataFr
     )
 
 
+def _placed(rows: DataFrame, spec: DetectorSpec, scale: Scale) -> DataFrame:
+    """Adds mark (the case's newest event time before this arrival), late, beyond (the allowance) and `at`, its place in time.
+
+    A row within the allowance takes its place by event time; one beyond it counts from the mark on.
+    """
+    if spec.event_time == "available_at":  # arrivals are in order of this time by definition
+        return rows.withColumns({"mark": F.lit(None).cast("timestamp"), "late": F.lit(False), "beyond": F.lit(False), "at": F.col("available_at")})
+    rows = scan(rows, ["case_id"], SNAPSHOT_ORDER, scale, peak={"_newest": F.col("event_at")})
+    rows = scan(rows, ["case_id"], SNAPSHOT_ORDER, scale, previous={"mark": F.col("_newest")})
+    late = F.coalesce(F.col("event_at") < F.col("mark"), F.lit(False))
+    horizon = plus_micros(F.col("mark"), F.lit(-spec.allowed_lateness_minutes * 60_000_000))
+    beyond = F.coalesce(F.col("event_at") < horizon, F.lit(False))
+    return rows.withColumns({"late": late, "beyond": beyond, "at": F.when(beyond, F.col("mark")).otherwise(F.col("event_at"))})
+
+
 def detect(
     snapshots: DataFrame,
     forms: DataFrame,
@@ -104,24 +123,32 @@ def detect(
     scale: Scale,
     as_of: Column | None = None,
 ) -> DataFrame:
-    """Batch form.  Timers still running at `as_of` are not reported as expired."""
-    rows = decide(snapshots, forms, spec)
-    counted = scan(rows, ["case_id", "delivery"], SNAPSHOT_ORDER, scale, position="_copy").withColumn(
-        "repeated", (F.col("_copy") > 0) & F.col("retry")
-    )
+    """Batch form.  Timers still running at `as_of` are not reported as expired.
+
+    Rows are judged in the order of their place in time (`spec.event_time`, see `_placed`); late ones
+    beyond the allowance abstain or are applied with a warning, as the policy says.
+    """
+    rows = _placed(decide(snapshots, forms, spec), spec, scale)
+    order = ["at", *SNAPSHOT_ORDER]
+    aside = None
+    if spec.late_policy == "abstain" and spec.event_time != "available_at":
+        aside, rows = rows.where("beyond"), rows.where("not beyond")
+    counted = scan(rows, ["case_id", "delivery"], order, scale, previous={"_copy_at": F.col("at")})
+    known_for = F.lit(spec.retry_days * 86_400_000_000)
+    repeated = F.col("retry") & (F.unix_micros("at") - F.unix_micros("_copy_at") <= known_for)
+    counted = counted.withColumn("repeated", F.coalesce(repeated, F.lit(False)))
     live = ~F.col("repeated")
     positive = live & F.col("base").isin("recommend", "observe_only")
     resets = live & (F.col("base") == "resolved") & F.col("superseding")
     marked = scan(
         counted,
         ["case_id"],
-        SNAPSHOT_ORDER,
+        order,
         scale,
         carry={"_mark": F.when(positive, 1).when(resets, 0)},
+        highest={"_last": F.col("at")},
     )
-    known = scan(
-        marked, ["case_id"], SNAPSHOT_ORDER, scale, previous={"_active": F.col("_mark")}
-    )
+    known = scan(marked, ["case_id"], order, scale, previous={"_active": F.col("_mark")})
     retract = resets & (F.col("_active") == 1)
     outcome = (
         F.when(F.col("repeated"), "no_recommendation")
@@ -135,20 +162,22 @@ def detect(
     timed = scan(
         known,
         ["case_id"],
-        SNAPSHOT_ORDER,
+        order,
         scale,
-        ahead={"_ends_at": F.when(ends, F.col("available_at"))},
-    ).withColumn("due", plus_micros(F.col("available_at"), F.lit(spec.confirm_minutes * 60_000_000)))
+        ahead={"_ends_at": F.when(ends, F.col("at"))},
+    ).withColumn("due", plus_micros(F.col("at"), F.lit(spec.confirm_minutes * 60_000_000)))
     is_pending = F.col("outcome") == "pending"
     expired = is_pending & (F.col("_ends_at").isNull() | (F.col("_ends_at") > F.col("due")))
     if as_of is not None:
-        expired = expired & (F.col("due") < as_of)
+        expired = expired & ((F.col("due") < as_of) | (F.col("_last") > F.col("due")))
+    warned = F.col("beyond") & ~F.col("repeated")
     own = F.struct(
         F.col("available_at").alias("evaluated_at"),
         F.col("outcome").alias("outcome"),
-        F.when(F.col("repeated"), REPEATED).otherwise(F.col("why")).alias("reasons"),
+        F.when(F.col("repeated"), REPEATED).when(warned, F.concat_ws(",", "why", F.lit(LATE))).otherwise(F.col("why")).alias("reasons"),
         F.when(F.col("repeated"), "superseded").otherwise(F.col("stability")).alias("stability"),
         F.when(is_pending, F.col("due")).alias("due_at"),
+        F.col("late"),
     )
     timeout = F.when(
         expired,
@@ -158,10 +187,16 @@ def detect(
             F.lit(EXPIRED).alias("reasons"),
             F.lit("pending").alias("stability"),
             F.col("due").alias("due_at"),
+            F.lit(False).alias("late"),
         ),
     )
     found = F.filter(F.array(own, timeout), lambda x: x.isNotNull())
-    return timed.select("case_id", "snapshot_id", F.inline(found)).withColumn("late", F.lit(False)).select(*COLUMNS)
+    results = timed.select("case_id", "snapshot_id", F.inline(found)).select(*COLUMNS)
+    if aside is None:
+        return results
+    refused = {"outcome": "abstain", "reasons": LATE, "stability": "unknown"}
+    aside = aside.withColumns({"evaluated_at": F.col("available_at"), "due_at": F.lit(None).cast("timestamp"), **{k: F.lit(v) for k, v in refused.items()}})
+    return results.unionByName(aside.select(*COLUMNS))
 
 
 def final_states(results: DataFrame) -> DataFrame:
@@ -179,99 +214,257 @@ def final_states(results: DataFrame) -> DataFrame:
     )
 
 
+#: What the stream emits: `revision` counts corrections of the same evaluation, `mark` is set on late rows.
+STREAMED = (
+    "case_id string, snapshot_id string, evaluated long, outcome string, reasons string, stability string, "
+    "due long, late boolean, event long, mark long, revision int"
+)
+_INPUT = ("at", "event", "snapshot_id", "delivery", "retry", "superseding", "base", "why", "stability")
+_RECENT = (
+    "place long, arrived long, snapshot_id string, delivery string, retry boolean, superseding boolean, base string, why string, "
+    "stability string, late boolean, beyond boolean, told string, revision int, fired boolean, fired_revision int"
+)
+
+
+class _Row:
+    """A row that later arrivals may still be placed before, with what has been told about it."""
+
+    names = tuple(part.strip().split(" ")[0] for part in _RECENT.split(","))
+    __slots__ = names
+
+    def __init__(self, *values) -> None:
+        for name, value in zip(self.names, values):
+            setattr(self, name, value)
+
+    def values(self) -> tuple:
+        return tuple(getattr(self, n) for n in self.names)
+
+
 class _Detector(StatefulProcessor):
-    """State per case: active flag, pending snapshot with its due time, deliveries seen, high-water mark."""
+    """One case: its folded past, and the rows within the allowance, which are folded anew when a late one comes.
+
+    case    the past before these rows: active, the pending snapshot with its due time and whether its
+            expiry has been told; the newest event time; when `seen` is swept next
+    recent  rows that a late one may still be placed before; none if nothing may be late
+    seen    delivery -> when it was last seen, until `retry` later
+    """
 
-    def __init__(self, confirm_micros: int, late_policy: str) -> None:
-        self.confirm, self.late_policy = confirm_micros, late_policy
+    def __init__(self, confirm: int, allowed: int, retry: int, late_policy: str) -> None:
+        self.confirm, self.allowed, self.retry, self.late_policy = confirm, allowed, retry, late_policy
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.case = handle.getValueState(
-            "case", "active boolean, pending string, due long, latest long"
-        )
-        self.seen = handle.getMapState(
-            "seen", StructType().add("delivery", StringType()), StructType().add("one", StringType())
-        )
+        past = "active boolean, pending string, due long, fired boolean, fired_revision int, newest long, sweep long"
+        self.case = handle.getValueState("case", past)
+        self.recent = handle.getListState("recent", _RECENT)
+        self.seen = handle.getMapState("seen", "delivery string", "at long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values(["at", "snapshot_id"], kind="stable")
-        active, pending, due, latest = self.case.get() if self.case.exists() else (False, None, None, None)
-        out = []
-
-        def emit(snapshot, at, outcome, why, stability, due_at=None, late=False):
-            out.append((key[0], snapshot, at, outcome, why, stability, due_at, late))
-
-        for row in batch.itertuples(index=False):
-            late = latest is not None and row.at < latest
-            if pending is not None and row.at > due:
-                emit(pending, due, "abstain", EXPIRED, "pending", due)
-                pending = due = None
-            if row.retry and self.seen.containsKey((row.delivery,)):
-                emit(row.snapshot_id, row.at, "no_recommendation", REPEATED, "superseded", late=late)
-                continue
-            self.seen.updateValue((row.delivery,), ("1",))
-            latest = row.at if latest is None else max(latest, row.at)
-            if late and self.late_policy == "abstain":
-                emit(row.snapshot_id, row.at, "abstain", "late_snapshot", "unknown", late=True)
-                continue
-            outcome = row.base
-            if outcome == "resolved":
-                outcome = "retract" if row.superseding and active else "no_recommendation"
-            why = f"{row.why},late_snapshot" if late else row.why
-            if outcome == "pending":
-                pending, due = row.snapshot_id, row.at + self.confirm
-                self.handle.registerTimer(-(-due // 1000) + 1)
-                emit(row.snapshot_id, row.at, outcome, why, row.stability, due, late)
+        # a case's rows of one micro-batch, whose size the source's trigger limits bound
+        arrived = sorted((row for frame in rows for row in frame[list(_INPUT)].itertuples(index=False, name=None)), key=lambda r: (r[0], r[2]))
+        past = list(self.case.get()) if self.case.exists() else [False, None, None, False, 0, None, None]
+        recent = [_Row(*r) for r in self.recent.get()] if self.recent.exists() else []
+        out: list[tuple] = []
+        for at, event, snapshot, delivery, retry, superseding, base, why, stability in arrived:
+            newest = past[5]
+            late = newest is not None and event < newest
+            beyond = late and event < newest - self.allowed
+            past[5] = event if newest is None else max(newest, event)
+            mark = newest if late else None
+            if beyond and self.late_policy == "abstain":
+                out.append((key[0], snapshot, at, "abstain", LATE, "unknown", None, True, event, mark, 0))
                 continue
-            if outcome in ("recommend", "observe_only"):
-                active, pending, due = True, None, None
-            elif outcome == "retract":
-                active, pending, due = False, None, None
-            emit(row.snapshot_id, row.at, outcome, why, row.stability, late=late)
-        self.case.update((active, pending, due, latest))
-        yield self._frame(out)
+            place = newest if beyond else event
+            row = _Row(place, at, snapshot, delivery, retry, superseding, base, why, stability, late, beyond, None, -1, False, 0)
+            k = len(recent)
+            while k and (recent[k - 1].place, recent[k - 1].arrived, recent[k - 1].snapshot_id) > (place, at, snapshot):
+                k -= 1
+            recent.insert(k, row)
+            self._fold(key[0], past, recent, out, {id(row): (event, mark)})
+            recent = self._settle(past, recent)
+        self.case.update(tuple(past))
+        if recent:
+            self.recent.put([r.values() for r in recent])
+        elif self.recent.exists():
+            self.recent.clear()
+        if out:
+            yield self._frame(out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         if not self.case.exists():
             return
-        active, pending, due, latest = self.case.get()
+        past = list(self.case.get())
+        now = expiredTimerInfo.getExpiryTimeInMs()
+        recent = [_Row(*r) for r in self.recent.get()] if self.recent.exists() else []
+        out: list[tuple] = []
         # an older timer of a pending state that was replaced or ended does nothing
-        if pending is None or -(-due // 1000) + 1 != expiredTimerInfo.getExpiryTimeInMs():
-            return
-        self.case.update((active, None, None, latest))
-        yield self._frame([(key[0], pending, due, "abstain", EXPIRED, "pending", due, False)])
+        pending, due, owner = self._running(past, recent)
+        if pending is not None and self._timer(due) == now:
+            told = past[3] if owner is None else owner.fired
+            if not told:
+                revision = past[4] if owner is None else owner.fired_revision
+                out.append(self._expiry(key[0], pending, due, revision))
+                if owner is None:
+                    past[3], past[4] = True, revision + 1
+                else:
+                    owner.fired, owner.fired_revision = True, revision + 1
+        if past[6] is not None and past[6] <= now:
+            past[6] = self._sweep(now)
+        self.case.update(tuple(past))
+        if recent:
+            self.recent.put([r.values() for r in recent])
+        if out:
+            yield self._frame(out)
 
     def close(self) -> None:
         pass
 
+    @staticmethod
+    def _timer(due: int) -> int:
+        return -(-due // 1000) + 1
+
+    @staticmethod
+    def _expiry(case: str, snapshot: str, due: int, revision: int, outcome: str = "abstain") -> tuple:
+        return (case, snapshot, due, outcome, EXPIRED, "pending", due, False, None, None, revision)
+
+    def _sweep(self, now: int) -> int | None:
+        """Forget deliveries that no retry can follow any more; when to look again."""
+        kept, gone = None, []
+        for (delivery,), (at,) in self.seen.iterator():
+            until = (at + self.retry) // 1000 + 1
+            if until <= now:
+                gone.append(delivery)
+            else:
+                kept = until if kept is None else min(kept, until)
+        for delivery in gone:
+            self.seen.removeKey((delivery,))
+        if kept is not None:
+            self.handle.registerTimer(kept)
+        return kept
+
+    def _steps(self, past: list, recent: list[_Row]):
+        """(row, outcome, why, stability, due, expired pending before it or None) in the order of place, from the past on.
+
+        The expired one is (snapshot, due, its row or None if it lies in the past).
+        """
+        active, pending, due, owner = past[0], past[1], past[2], None
+        copies: dict[str, int] = {}
+        for row in recent:
+            gone = None
+            if pending is not None and row.place > due:
+                gone, pending = (pending, due, owner), None
+            before = copies.get(row.delivery)
+            if before is None and row.retry and self.seen.containsKey((row.delivery,)):
+                before = self.seen.getValue((row.delivery,))[0]
+            copies[row.delivery] = row.place
+            if row.retry and before is not None and row.place - before <= self.retry:
+                yield row, "no_recommendation", REPEATED, "superseded", None, gone, (active, pending, due, owner)
+                continue
+            outcome = row.base
+            if outcome == "resolved":
+                outcome = "retract" if row.superseding and active else "no_recommendation"
+            why = f"{row.why},{LATE}" if row.beyond else row.why
+            own_due = None
+            if outcome == "pending":
+                pending, due, owner = row.snapshot_id, row.place + self.confirm, row
+                own_due = due
+            elif outcome in ("recommend", "observe_only", "retract"):
+                active, pending = outcome != "retract", None
+            yield row, outcome, why, row.stability, own_due, gone, (active, pending, due, owner)
+
+    def _running(self, past: list, recent: list[_Row]):
+        state = (past[0], past[1], past[2], None)
+        for step in self._steps(past, recent):
+            state = step[6]
+        return state[1:]
+
+    def _fold(self, case: str, past: list, recent: list[_Row], out: list[tuple], fresh: dict) -> None:
+        """Walk the recent rows and tell what is new or differs from what was told."""
+        expired: set[int] = set()
+        from_past = False
+        for row, outcome, why, stability, due, gone, state in self._steps(past, recent):
+            if gone:
+                snapshot, at, owner = gone
+                if owner is None:
+                    from_past = True
+                    if not past[3]:
+                        out.append(self._expiry(case, snapshot, at, past[4]))
+                        past[3], past[4] = True, past[4] + 1
+                else:
+                    expired.add(id(owner))
+                    if not owner.fired:
+                        out.append(self._expiry(case, snapshot, at, owner.fired_revision))
+                        owner.fired, owner.fired_revision = True, owner.fired_revision + 1
+            told = f"{outcome}|{why}|{due}"
+            if told != row.told:
+                row.told, row.revision = told, row.revision + 1
+                event, mark = fresh.get(id(row), (None, None))
+                out.append((case, row.snapshot_id, row.arrived, outcome, why, stability, due, row.late, event, mark, row.revision))
+                if due is not None:
+                    self.handle.registerTimer(self._timer(due))
+        running, due, owner = self._running(past, recent)
+        # an expiry that was told stays if its timer still runs: its time had come
+        if past[3] and past[1] is not None and not from_past and not (running is not None and owner is None):
+            out.append(self._expiry(case, past[1], past[2], past[4], WITHDRAWN))
+            past[3], past[4] = False, past[4] + 1
+        for row in recent:
+            if row.fired and id(row) not in expired and not (running is not None and owner is row):
+                out.append(self._expiry(case, row.snapshot_id, row.place + self.confirm, row.fired_revision, WITHDRAWN))
+                row.fired, row.fired_revision = False, row.fired_revision + 1
+
+    def _settle(self, past: list, recent: list[_Row]) -> list[_Row]:
+        """Fold the rows that no allowed late row can be placed before into the past; the others stay."""
+        horizon = past[5] - self.allowed
+        n = 0
+        while n < len(recent) and recent[n].place <= horizon:
+            n += 1
+        if not n:
+            return recent
+        for step in self._steps(past, recent[:n]):
+            state = step[6]
+        for row in recent[:n]:
+            self.seen.updateValue((row.delivery,), (row.place,))
+            if past[6] is None:
+                past[6] = (row.place + self.retry) // 1000 + 1
+                self.handle.registerTimer(past[6])
+        active, pending, due, owner = state
+        past[0] = active
+        if owner is not None or pending is None:
+            past[1], past[2] = (pending, due) if pending is not None else (None, None)
+            past[3], past[4] = (owner.fired, owner.fired_revision) if pending is not None else (False, 0)
+        return recent[n:]
+
     @staticmethod
     def _frame(out: list[tuple]) -> pd.DataFrame:
-        names = ["case_id", "snapshot_id", "evaluated", "outcome", "reasons", "stability", "due", "late"]
+        names = [part.strip().split(" ")[0] for part in STREAMED.split(",")]
         frame = pd.DataFrame(out, columns=names)
-        frame["evaluated"] = frame["evaluated"].astype("int64")
-        frame["due"] = frame["due"].astype("Int64")
-        frame["late"] = frame["late"].astype("bool")
-        return frame
+        kinds = {"evaluated": "int64", "due": "Int64", "late": "bool", "event": "Int64", "mark": "Int64", "revision": "int32"}
+        return frame.astype(kinds)
 
 
 def detect_stream(
     snapshots: DataFrame, forms: DataFrame, spec: DetectorSpec, watermark: str = "0 seconds"
 ) -> DataFrame:
-    """Streaming form of `detect`; needs the RocksDB state store provider."""
+    """Streaming form of `detect`; needs the RocksDB state store provider.
+
+    The clock is the arrival (`available_at`), so no row is lost for its event time.  Where a late row
+    changes what was said about a row after it, that evaluation is sent again with a higher
+    `revision`; `settled` has the last word on each.  `late_arrivals` are the late rows themselves.
+    Memory of deliveries goes `spec.retry_days` after they were last seen, by event-time timers.
+    """
     # the processor travels by value, so workers need not have this package installed
     cloudpickle.register_pickle_by_value(sys.modules[__name__])
     rows = (
         decide(snapshots, forms, spec)
         .withWatermark("available_at", watermark)
-        .withColumn("at", F.unix_micros("available_at"))
+        .withColumns({"at": F.unix_micros("available_at"), "event": F.unix_micros("event_at")})
     )
+    minute = 60_000_000
     got = rows.groupBy("case_id").transformWithStateInPandas(
-        statefulProcessor=_Detector(spec.confirm_minutes * 60_000_000, spec.late_policy),
-        outputStructType=(
-            "case_id string, snapshot_id string, evaluated long, outcome string, reasons string, "
-            "stability string, due long, late boolean"
+        statefulProcessor=_Detector(
+            spec.confirm_minutes * minute, spec.allowed_lateness_minutes * minute, spec.retry_days * 1440 * minute, spec.late_policy
         ),
+        outputStructType=STREAMED,
         outputMode="Append",
         timeMode="EventTime",
     )
@@ -284,4 +477,24 @@ def detect_stream(
         "stability",
         F.timestamp_micros("due").alias("due_at"),
         "late",
+        F.timestamp_micros("event").alias("event_at"),
+        F.timestamp_micros("mark").alias("mark"),
+        "revision",
     )
+
+
+def settled(emitted: DataFrame) -> DataFrame:
+    """The last word on every evaluation of a stream's output; equals `detect` over the same rows."""
+    key = ["case_id", "snapshot_id", "evaluated_at", F.col("reasons").eqNullSafe(EXPIRED).alias("timeout")]
+    rest = F.struct(*[c for c in COLUMNS if c not in ("case_id", "snapshot_id", "evaluated_at")])
+    got = emitted.groupBy(*key).agg(F.max_by(rest, "revision").alias("_r"))
+    return got.select("case_id", "snapshot_id", "evaluated_at", "_r.*").where(F.col("outcome") != WITHDRAWN).select(*COLUMNS)
+
+
+def late_arrivals(emitted: DataFrame, spec: DetectorSpec) -> DataFrame:
+    """The second output: every late row with what it was behind of, by how much, and what was done with it."""
+    behind = F.unix_micros("mark") - F.unix_micros("event_at")
+    beyond = behind > spec.allowed_lateness_minutes * 60_000_000
+    done = F.when(~beyond, "placed_by_event_time").otherwise("abstained" if spec.late_policy == "abstain" else "applied_with_warning")
+    first = emitted.where((F.col("revision") == 0) & F.col("mark").isNotNull())
+    return first.select("case_id", "snapshot_id", F.col("evaluated_at").alias("arrived_at"), "event_at", "mark", (behind / 60_000_000).alias("behind_minutes"), done.alias("done"))

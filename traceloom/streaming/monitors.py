@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 from contextlib import contextmanager
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -62,6 +64,27 @@ def run_to_end(stream: DataFrame, mode: str = "append", checkpoint: str | None =
     return spark.read.schema(schema).option("basePath", out).parquet(out)
 
 
+def replay(rows: DataFrame, order: str, parts: int, build: Callable[[DataFrame], DataFrame], mode: str = "append", checkpoint: str | None = None) -> DataFrame:
+    """Let rows arrive in `parts` portions by the time `order` and run a stream over each; all that was emitted.
+
+    The portions are written one after the other to a folder that the stream reads, each by as many
+    tasks as it needs, and every run goes on from the checkpoint of the one before.
+    """
+    spark = rows.sparkSession
+    base = f"{shared_folder(spark)}/replay-{uuid.uuid4().hex}"
+    source, place = f"{base}/arrived", checkpoint or f"{base}/checkpoint"
+    micros = F.unix_micros(order)
+    cuts = rows.select(micros.cast("double").alias("t")).stat.approxQuantile("t", [i / parts for i in range(1, parts)], 0.001)
+    number = F.lit(0)
+    for cut in cuts:
+        number = number + (micros > F.lit(cut)).cast("int")
+    emitted = []
+    for part in range(parts):
+        rows.where(F.coalesce(number, F.lit(0)) == part).write.mode("append").parquet(source)
+        emitted.append(run_to_end(build(spark.readStream.schema(rows.schema).parquet(source)), mode, place))
+    return reduce(DataFrame.unionByName, emitted)
+
+
 def latest_update(emitted: DataFrame, key: list[str]) -> DataFrame:
     """The last version of each row of an update-mode stream."""
     rest = [c for c in emitted.columns if c not in (*key, "batch")]
