@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import replace
+from dataclasses import astuple, replace
 from datetime import datetime
 from functools import reduce
 
@@ -15,6 +15,7 @@ from ..session import Scale
 from ..sources import snapshots as sn
 from ..sources.tables import session_events, table, table_scale
 from ..spec import BaselineSpec, ContractSpec, DetectorSpec
+from ..streaming import asof, resume, timers
 from ..streaming import detector as det
 from ..streaming import monitors as mo
 from . import sql as q
@@ -733,49 +734,73 @@ def stream_late_arrivals(spark, folder):
     return reduce(DataFrame.unionByName, found)
 
 
+# every fact by the time it happened and by the time it was known, asked for two times of knowledge
+AS_OF = (datetime(2024, 1, 12, 12), datetime(2024, 1, 24, 12))
+
+
 @query(
     "stream_watermark",
     with_(
         q.EV,
-        "SELECT event_type, count(*) AS events FROM ev WHERE ingested_at <= TIMESTAMP '2024-01-15 12:00:00' GROUP BY 1",
+        """SELECT a AS as_of, event_type AS status, count(*) AS cases, sum(n)::BIGINT AS facts FROM (
+  SELECT a, case_id, max_by(event_type, (event_at, event_id)) AS event_type, count(*) AS n
+  FROM ev, (SELECT unnest([TIMESTAMP '2024-01-12 12:00:00', TIMESTAMP '2024-01-24 12:00:00']) AS a) WHERE ingested_at <= a GROUP BY 1, 2)
+GROUP BY 1, 2""",
     ),
 )
 def stream_watermark(spark, folder):
-    as_of = F.lit(datetime(2024, 1, 15, 12)).cast("timestamp")
-    known = mo.known_at(session_events(spark, folder), as_of)
-    return known.groupBy("event_type").agg(F.count(F.lit(1)).alias("events"))
+    """Status of each case as it was known at two times, read from the state of the stream that keeps the facts."""
+    facts = session_events(spark, folder).select(
+        "case_id", F.col("event_id").alias("id"), "event_at", F.col("ingested_at").alias("known_at"), F.col("event_type").alias("status")
+    )
+    place = mo.new_folder(spark, "history")
+    with mo.state_store(spark):
+        mo.replay(facts, "known_at", 3, asof.remember, checkpoint=place)
+        known = asof.facts_known(spark, place)
+    found = []
+    for time in AS_OF:
+        at = F.lit(time).cast("timestamp")
+        rows = asof.as_of(known, at).groupBy("status").agg(F.count(F.lit(1)).alias("cases"), F.sum("facts").alias("facts"))
+        found.append(rows.withColumn("as_of", at))
+    return reduce(DataFrame.unionByName, found)
 
 
 @query(
     "stream_expiry",
-    """SELECT lpad(CAST(event_id AS VARCHAR), 12, '0') AS draft_id, ts + INTERVAL 8 HOUR AS expires_at,
-  ts + INTERVAL 8 HOUR <= TIMESTAMP '2024-01-20' AS expired FROM events WHERE event_type = 'view'""",
+    """WITH marks AS (SELECT *, lead(ts) OVER w AS next_at, lead(event_type) OVER w AS next_kind FROM events
+  WHERE event_type IN ('view', 'click') WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
+SELECT lpad(CAST(event_id AS VARCHAR), 12, '0') AS draft_id, CAST(user_id AS VARCHAR) AS owner, ts AS created_at, ts + INTERVAL 8 HOUR AS expires_at
+FROM marks WHERE event_type = 'view' AND (next_kind IS NULL OR next_kind = 'view' OR next_at >= ts + INTERVAL 8 HOUR)
+  AND date_trunc('milliseconds', ts + INTERVAL 8 HOUR + INTERVAL 1 MILLISECOND) <= (SELECT max(ts) FROM events WHERE event_type IN ('view', 'click'))""",
 )
 def stream_expiry(spark, folder):
-    views = mo.stream_table(spark, folder, "events").where("event_type = 'view'").select(
-        F.lpad(F.col("event_id").cast("string"), 12, "0").alias("draft_id"), F.col("ts").alias("created_at")
+    """A view opens a draft, a click decides on the user's latest one; what is undecided after 8 hours expires."""
+    marks = mo.stream_table(spark, folder, "events").where("event_type in ('view', 'click')").select(
+        F.col("user_id").cast("string").alias("owner"),
+        F.lpad(F.col("event_id").cast("string"), 12, "0").alias("id"),
+        F.when(F.col("event_type") == "view", timers.OPENED).otherwise(timers.DECIDED).alias("kind"),
+        F.col("ts").alias("at"),
     )
-    got = mo.run_to_end(mo.expiry(views, 8))
-    as_of = F.lit(datetime(2024, 1, 20)).cast("timestamp")
-    return got.select("draft_id", "expires_at", (F.col("expires_at") <= as_of).alias("expired"))
+    with mo.state_store(spark):
+        return mo.run_to_end(timers.expired_drafts(marks, 8)).drop("batch")
 
 
 @query(
     "stream_stuck",
-    """SELECT case_id, progress_at, date_diff('microsecond', progress_at, TIMESTAMP '2024-02-01') >= 172800000000 AS stuck FROM (
-  SELECT user_id || '|' || strftime(ts, '%Y-%m-%d') AS case_id, max(ts) FILTER (WHERE event_type IN ('view', 'click', 'signup')) AS progress_at
-  FROM events GROUP BY 1 HAVING NOT bool_or(event_type = 'purchase'))""",
+    """WITH steps AS (SELECT CAST(user_id AS VARCHAR) AS case_id, ts, event_type = 'purchase' AS ended,
+    lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_type = 'purchase') AS next_at
+  FROM events WHERE event_type IN ('view', 'click', 'signup', 'purchase'))
+SELECT case_id, ts AS progress_at, ts + INTERVAL 48 HOUR AS stuck_at FROM steps
+WHERE NOT ended AND (next_at IS NULL OR next_at > ts + INTERVAL 48 HOUR)
+  AND date_trunc('milliseconds', ts + INTERVAL 48 HOUR + INTERVAL 1 MILLISECOND) <=
+    (SELECT max(ts) FROM events WHERE event_type IN ('view', 'click', 'signup', 'purchase'))""",
 )
 def stream_stuck(spark, folder):
-    """A user's day is a case; a purchase ends it."""
-    rows = mo.stream_table(spark, folder, "events").select(
-        F.concat_ws("|", F.col("user_id").cast("string"), F.date_format("ts", "yyyy-MM-dd")).alias("case_id"),
-        "event_type",
-        F.col("ts").alias("event_at"),
-    )
-    emitted = mo.run_to_end(mo.last_progress(rows, ("view", "click", "signup"), ("purchase",)), "update")
-    latest = mo.latest_update(emitted, ["case_id"])
-    return mo.stuck(latest, F.lit(datetime(2024, 2, 1)).cast("timestamp"), 48).select("case_id", "progress_at", "stuck")
+    """A user is a case that views, clicks and signups move on and a purchase ends."""
+    rows = mo.stream_table(spark, folder, "events").where("event_type in ('view', 'click', 'signup', 'purchase')")
+    rows = rows.select(F.col("user_id").cast("string").alias("case_id"), "event_type", F.col("ts").alias("event_at"))
+    with mo.state_store(spark):
+        return mo.run_to_end(timers.stuck(rows, ("view", "click", "signup"), ("purchase",), 48)).drop("batch")
 
 
 @query(
@@ -783,24 +808,57 @@ def stream_stuck(spark, folder):
     with_(q.EV, "SELECT user_id, min(event_at) AS first_at, max(event_at) AS last_at, count(*) AS events FROM ev GROUP BY user_id, session_no"),
 )
 def sessionise_window(spark, folder):
+    """Sessions as a stream merges them from events that arrive in the order of their ingestion, up to 21 days late."""
+    rows = session_events(spark, folder).select("user_id", F.col("event_at").alias("ts"), "ingested_at")
+    # a row of nobody, long after the last one, ends the replay
+    late = rows.agg(F.max("ts").alias("ts")).select(
+        F.lit(None).cast("long").alias("user_id"), (F.col("ts") + F.expr("interval 90 days")).alias("ts"), F.col("ts").alias("ingested_at")
+    )
     # session_window closes a session at the gap itself; one microsecond keeps "longer than" the gap
-    e = table(spark, folder, "events")
-    return mo.sessions(e, "user_id", "ts", "12 hours 1 microsecond")
+    merge = lambda arrived: mo.sessions(arrived, "user_id", "ts", "12 hours 1 microsecond", "21 days")
+    return mo.replay(rows, "ingested_at", 4, merge, closing=late).where("user_id is not null").drop("batch")
+
+
+# --- going on from a checkpoint
+CUT = datetime(2024, 1, 16)
 
 
 @query(
     "stream_checkpoint",
-    "SELECT event_type, count(*) AS events FROM events GROUP BY 1",
+    with_(
+        DETECT,
+        """SELECT CASE WHEN evaluated_at < TIMESTAMP '2024-01-16' THEN 'first run' ELSE 'second run' END AS run, outcome AS what, count(*) AS n
+FROM res WHERE NOT timeout GROUP BY ALL
+UNION ALL SELECT 'cases kept', CASE WHEN a THEN 'active' ELSE 'not active' END, count(*) FROM
+  (SELECT case_id, coalesce(arg_max(active, p), false) AS a FROM walk WHERE p > 0 GROUP BY 1) GROUP BY ALL
+UNION ALL SELECT 'refused', unnest(['detector', 'policy', 'source']), 1""",
+    ),
 )
 def stream_checkpoint(spark, folder):
-    """A stream stopped and started again on one checkpoint continues where it was."""
-    import uuid
-
-    from ..session import shared_folder
-
-    place = f"{shared_folder(spark)}/resume-{uuid.uuid4().hex}"
-    rows = mo.stream_table(spark, folder, "events").select("event_type", "event_id")
-    first = mo.run_to_end(rows, checkpoint=place)
-    second = mo.run_to_end(rows, checkpoint=place)  # nothing is left to read
-    both = first.drop("batch").unionByName(second.drop("batch"))
-    return both.groupBy("event_type").agg(F.count(F.lit(1)).alias("events"))
+    """Two runs on one checkpoint with new files between them, a third without, and three that are refused."""
+    rows, forms = _snaps(spark, folder), sn.contract_forms(spark)
+    place, source = mo.new_folder(spark, "resume"), mo.new_folder(spark, "arrived")
+    cut = F.lit(CUT).cast("timestamp")
+    versions = resume.Versions.of(DET, rows, "snapshots")
+
+    def run(with_versions) -> DataFrame:
+        resume.check(spark, place, with_versions)
+        arrived = spark.readStream.schema(rows.schema).parquet(source)
+        return mo.run_to_end(det.detect_stream(arrived, forms, DET, versions=astuple(with_versions)), checkpoint=place)
+
+    emitted = []
+    with mo.state_store(spark):
+        for name, part in (("first run", F.col("available_at") < cut), ("second run", F.col("available_at") >= cut), ("third run", None)):
+            if part is not None:
+                rows.where(part).write.mode("append").parquet(source)
+            emitted.append(run(versions).where(~F.col("reasons").eqNullSafe(det.EXPIRED)).select(F.lit(name).alias("run"), F.col("outcome").alias("what")))
+        refused = []
+        for other in ("detector", "policy", "source"):
+            try:
+                run(replace(versions, **{other: "another"}))
+            except resume.VersionMismatch as mismatch:
+                refused.append(("refused", str(mismatch).rsplit(" ", 1)[1]))
+        kept = resume.checkpoint_record(spark, place)
+    emitted.append(kept.select(F.lit("cases kept").alias("run"), F.when(F.col("active"), "active").otherwise("not active").alias("what")))
+    emitted.append(spark.createDataFrame(refused, "run string, what string"))
+    return reduce(DataFrame.unionByName, emitted).groupBy("run", "what").agg(F.count(F.lit(1)).alias("n"))

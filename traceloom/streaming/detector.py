@@ -29,6 +29,8 @@ OUTPUT = (
     "reasons string, stability string, due_at timestamp, late boolean"
 )
 COLUMNS = tuple(part.strip().split(" ")[0] for part in OUTPUT.split(","))
+#: Goes up when the detector would judge the same rows differently.
+VERSION = "keyed-detector-2"
 EXPIRED = "pending_update_not_confirmed"
 REPEATED = "duplicate_delivery_suppressed"
 LATE = "late_snapshot"
@@ -247,10 +249,11 @@ class _Detector(StatefulProcessor):
             expiry has been told; the newest event time; when `seen` is swept next
     recent  rows that a late one may still be placed before; none if nothing may be late
     seen    delivery -> when it was last seen, until `retry` later
+    bound   the versions that the case was begun with, if the run has any
     """
 
-    def __init__(self, confirm: int, allowed: int, retry: int, late_policy: str) -> None:
-        self.confirm, self.allowed, self.retry, self.late_policy = confirm, allowed, retry, late_policy
+    def __init__(self, confirm: int, allowed: int, retry: int, late_policy: str, versions: tuple[str, str, str] | None) -> None:
+        self.confirm, self.allowed, self.retry, self.late_policy, self.versions = confirm, allowed, retry, late_policy, versions
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -258,11 +261,15 @@ class _Detector(StatefulProcessor):
         self.case = handle.getValueState("case", past)
         self.recent = handle.getListState("recent", _RECENT)
         self.seen = handle.getMapState("seen", "delivery string", "at long")
+        self.bound = handle.getValueState("bound", "detector string, policy string, source string")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         # a case's rows of one micro-batch, whose size the source's trigger limits bound
         arrived = sorted((row for frame in rows for row in frame[list(_INPUT)].itertuples(index=False, name=None)), key=lambda r: (r[0], r[2]))
-        past = list(self.case.get()) if self.case.exists() else [False, None, None, False, 0, None, None]
+        known = self.case.exists()
+        past = list(self.case.get()) if known else [False, None, None, False, 0, None, None]
+        if self.versions and not known:
+            self.bound.update(self.versions)
         recent = [_Row(*r) for r in self.recent.get()] if self.recent.exists() else []
         out: list[tuple] = []
         for at, event, snapshot, delivery, retry, superseding, base, why, stability in arrived:
@@ -309,7 +316,7 @@ class _Detector(StatefulProcessor):
                 else:
                     owner.fired, owner.fired_revision = True, revision + 1
         if past[6] is not None and past[6] <= now:
-            past[6] = self._sweep(now)
+            past[6] = self._sweep(timerValues.getCurrentWatermarkInMs())
         self.case.update(tuple(past))
         if recent:
             self.recent.put([r.values() for r in recent])
@@ -443,7 +450,11 @@ class _Detector(StatefulProcessor):
 
 
 def detect_stream(
-    snapshots: DataFrame, forms: DataFrame, spec: DetectorSpec, watermark: str = "0 seconds"
+    snapshots: DataFrame,
+    forms: DataFrame,
+    spec: DetectorSpec,
+    watermark: str = "0 seconds",
+    versions: tuple[str, str, str] | None = None,
 ) -> DataFrame:
     """Streaming form of `detect`; needs the RocksDB state store provider.
 
@@ -451,6 +462,7 @@ def detect_stream(
     changes what was said about a row after it, that evaluation is sent again with a higher
     `revision`; `settled` has the last word on each.  `late_arrivals` are the late rows themselves.
     Memory of deliveries goes `spec.retry_days` after they were last seen, by event-time timers.
+    versions (detector, policy, source) are kept with every case, for `resume`.
     """
     # the processor travels by value, so workers need not have this package installed
     cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -462,7 +474,7 @@ def detect_stream(
     minute = 60_000_000
     got = rows.groupBy("case_id").transformWithStateInPandas(
         statefulProcessor=_Detector(
-            spec.confirm_minutes * minute, spec.allowed_lateness_minutes * minute, spec.retry_days * 1440 * minute, spec.late_policy
+            spec.confirm_minutes * minute, spec.allowed_lateness_minutes * minute, spec.retry_days * 1440 * minute, spec.late_policy, versions
         ),
         outputStructType=STREAMED,
         outputMode="Append",

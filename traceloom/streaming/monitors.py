@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from contextlib import contextmanager
+from datetime import datetime
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -64,23 +65,46 @@ def run_to_end(stream: DataFrame, mode: str = "append", checkpoint: str | None =
     return spark.read.schema(schema).option("basePath", out).parquet(out)
 
 
-def replay(rows: DataFrame, order: str, parts: int, build: Callable[[DataFrame], DataFrame], mode: str = "append", checkpoint: str | None = None) -> DataFrame:
+def new_folder(spark: SparkSession, kind: str) -> str:
+    """A name for a folder of its own in the shared folder."""
+    return f"{shared_folder(spark)}/{kind}-{uuid.uuid4().hex}"
+
+
+def replay(
+    rows: DataFrame,
+    order: str,
+    parts: int,
+    build: Callable[[DataFrame], DataFrame],
+    mode: str = "append",
+    checkpoint: str | None = None,
+    closing: DataFrame | None = None,
+    cuts: Sequence[datetime] | None = None,
+) -> DataFrame:
     """Let rows arrive in `parts` portions by the time `order` and run a stream over each; all that was emitted.
 
+    Cuts are the last times of all portions but the last one; without any, portions are of like size.
+
     The portions are written one after the other to a folder that the stream reads, each by as many
-    tasks as it needs, and every run goes on from the checkpoint of the one before.
+    tasks as it needs, and every run goes on from the checkpoint of the one before.  Closing rows
+    come last, on their own: with a late time they let everything that waits for the watermark go.
     """
     spark = rows.sparkSession
-    base = f"{shared_folder(spark)}/replay-{uuid.uuid4().hex}"
+    base = new_folder(spark, "replay")
     source, place = f"{base}/arrived", checkpoint or f"{base}/checkpoint"
     micros = F.unix_micros(order)
-    cuts = rows.select(micros.cast("double").alias("t")).stat.approxQuantile("t", [i / parts for i in range(1, parts)], 0.001)
+    if cuts is not None:
+        ends = [F.unix_micros(F.lit(cut).cast("timestamp")) for cut in cuts]
+    else:
+        shares = [i / parts for i in range(1, parts)]
+        times = rows.select(micros.cast("double").alias("t"))
+        ends = [F.lit(t) for t in (times.stat.approxQuantile("t", shares, 0.001) if shares else [])]
     number = F.lit(0)
-    for cut in cuts:
-        number = number + (micros > F.lit(cut)).cast("int")
+    for end in ends:
+        number = number + (micros > end).cast("int")
+    portions = [rows.where(F.coalesce(number, F.lit(0)) == part) for part in range(parts)]
     emitted = []
-    for part in range(parts):
-        rows.where(F.coalesce(number, F.lit(0)) == part).write.mode("append").parquet(source)
+    for portion in [*portions, closing] if closing is not None else portions:
+        portion.write.mode("append").parquet(source)
         emitted.append(run_to_end(build(spark.readStream.schema(rows.schema).parquet(source)), mode, place))
     return reduce(DataFrame.unionByName, emitted)
 
@@ -122,31 +146,3 @@ def retry_dedup(snapshots: DataFrame, watermark: str = "1 day") -> DataFrame:
     return snapshots.withWatermark("available_at", watermark).dropDuplicatesWithinWatermark(
         ["source_record_identifier", "source_record_version"]
     )
-
-
-def known_at(events: DataFrame, as_of: Column) -> DataFrame:
-    """Only facts that had been ingested by `as_of`."""
-    return events.where(F.col("ingested_at") <= as_of)
-
-
-def last_progress(events: DataFrame, progress: tuple[str, ...], terminal: tuple[str, ...]) -> DataFrame:
-    """Per case: last progress time and whether it has ended (batch, or stream in update mode)."""
-    kind = F.col("event_type")
-    return events.groupBy("case_id").agg(
-        F.max(F.when(kind.isin(*progress), F.col("event_at"))).alias("progress_at"),
-        F.bool_or(kind.isin(*terminal)).alias("ended"),
-    )
-
-
-def stuck(progress: DataFrame, as_of: Column, hours: float) -> DataFrame:
-    limit = int(hours * 3_600_000_000)
-    return progress.where(~F.col("ended")).withColumn(
-        "stuck", F.unix_micros(as_of) - F.unix_micros("progress_at") >= limit
-    )
-
-
-def expiry(drafts: DataFrame, hours: int) -> DataFrame:
-    """Adds expires_at; a draft is expired when the clock reaches it."""
-    return drafts.withColumn(
-        "expires_at", F.timestamp_micros(F.unix_micros("created_at") + hours * 3_600_000_000)
-    )
