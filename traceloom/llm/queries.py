@@ -95,28 +95,26 @@ def op2_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return cut.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
-#: Windows aligned on a shared shingle, held against all items of their size; needs documents as decontam_docs.
+#: All windows of all starts that share a shingle with an item, held against it; needs documents as decontam_docs.
 LEAK_SQL = r"""
 leak_docs AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS w FROM decontam_docs),
 leak_items AS (
-  SELECT *, len(w) AS m, list_transform(range(1, len(w) - 3), lambda i: array_to_string(list_slice(w, i, i + 4), ' ')) AS s FROM (
-    SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS w FROM benchmark) WHERE len(w) >= 5),
-leak_seeds AS (SELECT DISTINCT m, unnest(s) AS g, unnest(range(0, len(s))) AS q FROM leak_items),
+  SELECT *, len(w) AS m, least(len(w), 5) AS k FROM (
+    SELECT DISTINCT item_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS w FROM benchmark) WHERE len(w) >= 1),
+leak_seeds AS (
+  SELECT item_id, m, k, array_to_string(list_slice(w, q, q + k - 1), ' ') AS g, count(*) AS held
+  FROM (SELECT *, unnest(range(1, m - k + 2)) AS q FROM leak_items) GROUP BY ALL),
 leak_at AS (
-  SELECT doc_id, p, array_to_string(list_slice(w, p + 1, p + 5), ' ') AS g, len(w) AS n
-  FROM (SELECT doc_id, w, unnest(range(0, len(w) - 4)) AS p FROM leak_docs)),
-leak_windows AS (
-  SELECT DISTINCT doc_id, m, greatest(0, least(p - q, n - m)) AS start FROM leak_at JOIN leak_seeds USING (g)),
-leak_pairs AS (
-  SELECT x.doc_id, i.item_id, x.m, x.start, i.s AS b,
-    list_transform(range(x.start + 1, least(x.start + x.m, len(d.w)) - 3), lambda k: array_to_string(list_slice(d.w, k, k + 4), ' ')) AS a
-  FROM leak_windows x JOIN leak_docs d USING (doc_id) JOIN leak_items i USING (m)),
+  SELECT doc_id, k, p, array_to_string(list_slice(w, p + 1, p + k), ' ') AS g, len(w) AS n
+  FROM (SELECT doc_id, w, k, unnest(range(0, len(w) - k + 1)) AS p FROM leak_docs, (SELECT DISTINCT k FROM leak_items))),
+leak_cover AS (
+  SELECT doc_id, item_id, m, k, n, g, held, unnest(range(greatest(0, p - (least(n, m) - k)), least(p, greatest(0, n - m)) + 1)) AS start
+  FROM leak_at JOIN leak_seeds USING (k, g)),
 leak_common AS (
-  SELECT *, list_sum(list_transform(list_distinct(a), lambda g: least(
-    len(list_filter(a, lambda y: y = g)), len(list_filter(b, lambda y: y = g))))) AS c FROM leak_pairs),
-leaks AS (
-  SELECT doc_id, item_id, m, max(c / (len(a) + len(b) - c)) AS sim, arg_min(start, (-(c / (len(a) + len(b) - c)), start)) AS start
-  FROM leak_common WHERE c / (len(a) + len(b) - c) >= 0.8 GROUP BY ALL)"""
+  SELECT doc_id, item_id, m, k, n, start, sum(c) AS c FROM (
+    SELECT doc_id, item_id, m, k, n, start, g, least(count(*), any_value(held)) AS c FROM leak_cover GROUP BY doc_id, item_id, m, k, n, start, g) GROUP BY ALL),
+leak_scored AS (SELECT *, c / (least(n, m) - k + 1 + m - k + 1 - c) AS sim FROM leak_common),
+leaks AS (SELECT doc_id, item_id, m, max(sim) AS sim, arg_max(start, (sim, start)) AS start FROM leak_scored WHERE sim >= 0.8 GROUP BY ALL)"""
 
 
 @_query(
