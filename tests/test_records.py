@@ -72,6 +72,29 @@ def test_sinks(spark, tmp_path):
     assert sinks.read_runs(spark, runs, "rows").count() == 10
 
 
+def test_of_two_writers_one_is_published(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    runs, df = str(tmp_path / "runs"), spark.range(50).repartition(3)
+    with ThreadPoolExecutor(4) as pool:
+        said = list(pool.map(lambda _: sinks.write_run(spark, runs, "r", {"a": df, "b": df}, "f"), range(4)))
+    assert sorted(said) == ["unchanged"] * 3 + ["written"]
+    assert sinks.read_runs(spark, runs, "a").count() == sinks.read_runs(spark, runs, "b").count() == 50
+    assert [tuple(r) for r in sinks.run_ledger(spark, runs).collect()] == [("r", "f", "completed", 100)]
+
+
+def test_a_writer_that_dies_leaves_the_published_runs(spark, tmp_path):
+    runs, df = str(tmp_path / "runs"), spark.range(5)
+    sinks.write_run(spark, runs, "old", {"rows": df}, "f")
+    bad = df.select(F.raise_error(F.lit("killed")).alias("id"))
+    for _ in range(2):
+        with pytest.raises(Exception, match="killed"):
+            sinks.write_run(spark, runs, "new", {"rows": df, "more": bad}, "g")
+        assert sinks.read_runs(spark, runs, "rows").select("run_id").distinct().collect()[0][0] == "old"
+    assert sinks.write_run(spark, runs, "new", {"rows": df, "more": df}, "g") == "written"
+    assert sinks.read_runs(spark, runs, "rows").count() == 10 and sinks.read_runs(spark, runs, "more").count() == 5
+
+
 @pytest.mark.parametrize("limit", [1000, 5])
 def test_audit_chain(spark, limit):
     rows = [

@@ -4,15 +4,14 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import vocab
 from ..functions.calendar import plus_micros
-from ..functions.fold import fold
 from ..functions.ordered import scan
 from ..functions.stats import first_ids
-from ..session import Scale
+from ..session import Scale, pin
 from ..spec import ContractSpec
 
 SNAPSHOT_ORDER = ["available_at", "snapshot_id"]
@@ -89,12 +88,47 @@ def required_rules(snapshots: DataFrame, rules: DataFrame) -> DataFrame:
     )
 
 
-def asof_label(facts: DataFrame, labels: DataFrame) -> DataFrame:
+_OPEN = "array<struct<until:bigint,status:string>>"
+
+
+def _merged(earlier: Column, later: Column) -> Column:
+    """Open intervals of two stretches of time: those of the earlier one that outlast all of the later one stay below.
+
+    Both are in order of their start, each ending before the one under it, so an interval that a
+    later one outlasts is gone: it can never be the last one open again.
+    """
+    top = F.get(later, F.lit(0))["until"]
+    outlasts = lambda x: x["until"].isNull() | (top.isNotNull() & (x["until"] > top))
+    return F.when(F.size(later) == 0, earlier).otherwise(F.concat(F.filter(earlier, outlasts), later))
+
+
+def _folded(stacks: Column) -> Column:
+    return F.aggregate(stacks, F.array().cast(_OPEN), _merged)
+
+
+def _before(chunks: DataFrame, most: int, fan: int) -> DataFrame:
+    """(case_id, n, before): what is open when a chunk begins, from (case_id, n, stack), most being the largest n.
+
+    Chunks combine in groups of `fan`, groups in groups again, so nobody holds all chunks of a case.
+    """
+    group = F.floor(F.col("n") / fan).cast("long")
+    earlier = Window.partitionBy("case_id", "g").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
+    rows = chunks.withColumn("g", group).withColumn("before", _folded(F.collect_list("stack").over(earlier)))
+    if most < fan:
+        return rows.select("case_id", "n", "before")
+    whole = F.transform(F.sort_array(F.collect_list(F.struct("n", "stack"))), lambda x: x["stack"])
+    groups = rows.groupBy("case_id", "g").agg(_folded(whole).alias("stack")).withColumnRenamed("g", "n")
+    outer = _before(groups, most // fan, fan).select("case_id", F.col("n").alias("g"), F.col("before").alias("outer"))
+    return rows.join(outer, ["case_id", "g"]).select("case_id", "n", _merged(F.col("outer"), F.col("before")).alias("before"))
+
+
+def asof_label(facts: DataFrame, labels: DataFrame, scale: Scale | None = None, chunk: int = 256, fan: int = 64) -> DataFrame:
     """Label valid at each fact's time: (case_id, as_of) plus `label`.
 
     The last interval by (valid_from, label_id) wins; no interval gives
-    'not_evaluable'.  Intervals and facts of a case pass by in time order once,
-    and only the intervals that are open at that time are held.
+    'not_evaluable'.  Intervals and facts of a case are cut into chunks of consecutive rows; a chunk
+    passes on the intervals that are open and not yet outlasted, and a fact looks at those of the
+    chunks before its own and at its own chunk.
     """
     micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
     none = F.lit(None)
@@ -106,22 +140,34 @@ def asof_label(facts: DataFrame, labels: DataFrame) -> DataFrame:
         "case_id", micros("as_of").alias("at"), F.lit(1).alias("kind"),
         none.cast("string").alias("label_id"), none.cast("string").alias("status"), none.cast("long").alias("until"),
     ).distinct()
-
-    def step(state, row):
-        at, kind, _, status, until = row
-        state = [] if state is None else state
-        if kind == 0:
-            # arrivals are in order of (valid_from, label_id); those below that end no later can never win again
-            while state and state[-1][0] is not None and (until is None or state[-1][0] <= until):
-                state.pop()
-            state.append((until, status))
-            return state, None
-        while state and state[-1][0] is not None and state[-1][0] <= at:
-            state.pop()
-        return state, ((at, state[-1][1]) if state else None)
-
-    order = ["at", "kind", "label_id"]
-    hit = fold(opened.unionByName(asked), "case_id", order, [*order, "status", "until"], "at long, label string", step)
+    rows = opened.unionByName(asked)
+    if scale is None:
+        rows = pin(rows)
+        scale = Scale.of(rows, "case_id")
+    most = scale.bound("case_id")
+    order = ["at", "kind", "label_id", "until", "status"]
+    placed = scan(rows, ["case_id"], order, scale, position="pos").withColumn("n", F.floor(F.col("pos") / chunk).cast("long"))
+    listed = F.sort_array(F.collect_list(F.struct("pos", "at", "kind", "until", "status")))
+    chunks = placed.groupBy("case_id", "n").agg(listed.alias("rows"))
+    starts = F.filter("rows", lambda r: r["kind"] == 0)
+    one = lambda r: F.array(F.struct(r["until"].alias("until"), r["status"].alias("status")))
+    stack = F.aggregate(starts, F.array().cast(_OPEN), lambda a, r: _merged(a, one(r)))
+    chunks = chunks.withColumn("stack", stack)
+    if most > chunk:
+        chunks = pin(chunks)
+        state = _before(chunks.select("case_id", "n", "stack"), most // chunk, fan)
+        chunks = chunks.join(state, ["case_id", "n"])
+    else:
+        chunks = chunks.withColumn("before", F.array().cast(_OPEN))
+
+    def answer(f: Column) -> Column:
+        running = lambda r: r["until"].isNull() | (r["until"] > f["at"])
+        own = F.filter("rows", lambda r: (r["kind"] == 0) & (r["pos"] < f["pos"]) & running(r))
+        old = F.filter("before", running)
+        status = F.when(F.size(own) > 0, F.try_element_at(own, F.lit(-1))["status"]).otherwise(F.try_element_at(old, F.lit(-1))["status"])
+        return F.struct(f["at"].alias("at"), status.alias("label"))
+
+    hit = chunks.select("case_id", F.inline(F.transform(F.filter("rows", lambda r: r["kind"] == 1), answer)))
     hit = hit.withColumn("as_of", F.timestamp_micros("at").cast(facts.schema["as_of"].dataType)).drop("at")
     return facts.join(hit, ["case_id", "as_of"], "left").withColumn(
         "label", F.coalesce("label", F.lit("not_evaluable"))

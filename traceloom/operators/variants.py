@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.fold import fold
 from ..functions.ordered import scan
 from ..functions.stats import first_ids, label, summarise
-from ..session import Scale
+from ..session import Scale, pin
 from ..spec import MiningSpec
 
 # fixed values: marker of each activity
@@ -24,36 +24,72 @@ MARKERS = {
 }
 
 
-def case_digests(log: DataFrame, version: str = "activity-map-v1") -> DataFrame:
-    """(case_id, digest, length): a hash of the whole sequence, by one rule for every length.
+def sequence_keys(log: DataFrame) -> DataFrame:
+    """(case_id, key, length): equal keys for equal sequences.
 
-    The hash is fed activity by activity in order, so no task holds a sequence.
+    The key combines a hash of every (position, activity) with exclusive or, twice with other seeds
+    (128 bits).  It needs neither order nor a whole sequence: parts of a case add up before the
+    shuffle and in any order, however long the case.
+    """
+    mixed = lambda seed: F.bit_xor(F.xxhash64(F.lit(seed), F.col("pos").cast("long"), "activity"))
+    keys = log.groupBy("case_id").agg(mixed(1).alias("a"), mixed(2).alias("b"), F.count(F.lit(1)).alias("length"))
+    return keys.select("case_id", F.struct("a", "b", "length").alias("key"), "length")
+
+
+def sequence_digests(log: DataFrame, version: str, scale: Scale) -> DataFrame:
+    """(case_id, digest): SHA-256 of the sequence as JSON.
+
+    Sequences that one task can hold are joined on the JVM; longer ones are fed to the hash
+    activity by activity in order.
     """
     quoted = F.to_json(F.array("activity"))
     pieces = log.select("case_id", "pos", F.substring(quoted, F.lit(2), F.length(quoted) - 2).alias("piece"))
-    close = f'],"activity_mapping_version":"{version}"}}'.encode()
+    begin, close = '{"activities":[', f'],"activity_mapping_version":"{version}"}}'
+
+    def joined(rows: DataFrame) -> DataFrame:
+        listed = F.transform(F.sort_array(F.collect_list(F.struct("pos", "piece"))), lambda p: p["piece"])
+        text = F.concat(F.lit(begin), F.array_join(listed, ","), F.lit(close))
+        return rows.groupBy("case_id").agg(F.sha2(text.cast("binary"), 256).alias("digest"))
+
+    if scale.fits("case_id"):
+        return joined(pieces)
+    sizes = pieces.groupBy("case_id").agg((F.count(F.lit(1)) > scale.limit).alias("long"))
+    sizes = pin(sizes)
+    if sizes.where("long").isEmpty():
+        return joined(pieces)
 
     def step(state, row):
         import hashlib
 
         if state is None:
-            state = [hashlib.sha256(b'{"activities":['), 0]
+            state = [hashlib.sha256(begin.encode()), False]
         state[0].update((b"," if state[1] else b"") + row[0].encode())
-        state[1] += 1
+        state[1] = True
         return state, None
 
     def end(state):
-        state[0].update(close)
-        return state[0].hexdigest(), state[1]
+        state[0].update(close.encode())
+        return (state[0].hexdigest(),)
 
-    return fold(pieces, "case_id", ["pos"], ["piece"], "digest string, length long", step, end)
+    long = pieces.join(sizes.where("long").select("case_id"), "case_id", "left_semi")
+    short = pieces.join(sizes.where("long").select("case_id"), "case_id", "left_anti")
+    return joined(short).unionByName(fold(long, "case_id", ["pos"], ["piece"], "digest string", step, end))
 
 
-def case_variants(log: DataFrame, spec: MiningSpec) -> DataFrame:
-    """(case_id, variant_id, length); the id has the whole digest, so different sequences never share one."""
-    return case_digests(log, spec.mapping_version).select(
-        "case_id", F.concat(F.lit("variant-"), "digest").alias("variant_id"), "length"
-    )
+def case_digests(log: DataFrame, version: str = "activity-map-v1", scale: Scale | None = None) -> DataFrame:
+    """(case_id, digest, length) of every case, where each one's own SHA-256 is wanted."""
+    digests = sequence_digests(log, version, scale or Scale.of(log, "case_id"))
+    return digests.join(log.groupBy("case_id").agg(F.count(F.lit(1)).alias("length")), "case_id")
+
+
+def case_variants(log: DataFrame, spec: MiningSpec, scale: Scale | None = None) -> DataFrame:
+    """(case_id, variant_id, length); the id shows the whole SHA-256 of the sequence, taken from one case of the variant."""
+    scale = scale or Scale.of(log, "case_id")
+    keys = sequence_keys(log)
+    first = keys.groupBy("key").agg(F.min("case_id").alias("case_id"))
+    digests = sequence_digests(log.join(first.select("case_id"), "case_id", "left_semi"), spec.mapping_version, scale)
+    names = first.join(digests, "case_id").select("key", F.concat(F.lit("variant-"), "digest").alias("variant_id"))
+    return keys.join(names, "key").select("case_id", "variant_id", "length")
 
 
 def variant_class(spec: MiningSpec) -> Column:

@@ -265,7 +265,7 @@ def compare_process(spark, folder):
         return variants.complexity(log, cases, variants.variant_cores(cases, MINING), ws.wide, ws.scale)
 
     part = ws.plog.where("referral_source = 'gp_practice'")
-    some = variants.case_variants(part, MINING)
+    some = variants.case_variants(part, MINING, ws.scale)
     got = whatif.compare_process(measures(ws.plog, ws.case_variants), measures(part, some))
     return tidy(got.where("measure = 'distinct_variant_count'"))
 
@@ -743,11 +743,22 @@ def sink_manifest_tables(spark, folder):
 
 @query(
     "sink_idempotent_run",
-    "SELECT event_type, count(*) AS events FROM events GROUP BY 1",
+    """SELECT event_type, run_id, count(*) AS events, 'written' AS first_load, 'unchanged' AS second_load, 'refused' AS other_load
+FROM events, (SELECT unnest(['run-1', 'run-2']) AS run_id) WHERE run_id = 'run-1' OR event_id % 2 = 0 GROUP BY 1, 2""",
 )
 def sink_idempotent_run(spark, folder):
-    """The same run loaded twice is stored once."""
+    """Two runs: each loaded twice is stored once, other content under its id is refused, what a dead writer left is not read."""
     place, e = _place(spark), table(spark, folder, "events")
-    for _ in range(2):
-        sinks.write_run(spark, place, "run-1", {"events": e}, "fingerprint-1")
-    return sinks.read_runs(spark, place, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("events"))
+    said = []
+    for run, rows in (("run-1", e), ("run-2", e.where("event_id % 2 = 0"))):
+        rows.limit(5).write.parquet(f"{place}/events/run_id={run}/attempt=dead")  # a writer that never published
+        first, second = (sinks.write_run(spark, place, run, {"events": rows}, f"print of {run}") for _ in range(2))
+        try:
+            other = sinks.write_run(spark, place, run, {"events": rows.limit(1)}, "another print")
+        except ValueError:
+            other = "refused"
+        said.append((run, first, second, other))
+    loads = spark.createDataFrame(said, "run_id string, first_load string, second_load string, other_load string")
+    return (
+        sinks.read_runs(spark, place, "events").groupBy("event_type", "run_id").agg(F.count(F.lit(1)).alias("events")).join(loads, "run_id")
+    )
