@@ -14,7 +14,7 @@ repeats, which are returned as spans.
 
 Classes and windows keep the smallest and largest id of their documents, sums that are combined
 before every shuffle; a passage in a third of all documents is a hot key of joins only, whose large
-partitions can be split.  Texts are read again instead of shuffling their windows.
+partitions can be split.  Segments are stored once; texts are read again instead of shuffling their windows.
 """
 
 from __future__ import annotations
@@ -99,9 +99,17 @@ def _segments(docs: DataFrame, window: int) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-def _pairs(column, row: int) -> set:
-    value = column[row].as_py()
-    return {(x["a"], x["b"]) for x in value} if value else set()
+def _pair(anchor: np.ndarray, content: np.ndarray) -> np.ndarray:
+    """One number for an anchor and a content, which are hashes themselves."""
+    return anchor.view(np.uint64) * np.uint64(_BASE) ^ content.view(np.uint64)
+
+
+def _pairs(column) -> list[np.ndarray]:
+    """The (anchor, content) pairs of every row of an Arrow list column, each as one number; null lists are empty."""
+    ends = np.asarray(column.offsets)
+    values = column.values
+    pairs = _pair(values.field(0).to_numpy(zero_copy_only=False), values.field(1).to_numpy(zero_copy_only=False))
+    return [pairs[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
 
 
 def _windows(docs: DataFrame, window: int) -> DataFrame:
@@ -113,9 +121,9 @@ def _windows(docs: DataFrame, window: int) -> DataFrame:
 
         for batch in batches:
             rows, anchors, hashes = [], [], []
-            for row, text in enumerate(batch.column(1)):
-                p, wanted = Passages(words_of(text.as_py()), window), _pairs(batch.column(2), row)
-                take = np.array([x in wanted for x in zip(p.anchor.tolist(), p.content.tolist())], bool)
+            for row, (text, wanted) in enumerate(zip(batch.column(1), _pairs(batch.column(2)))):
+                p = Passages(words_of(text.as_py()), window)
+                take = np.isin(_pair(p.anchor, p.content), wanted)
                 if take.any():
                     many = p.windows[take]
                     at = np.concatenate([np.arange(s, s + n) for s, n in zip(p.start[take], many)])
@@ -137,7 +145,7 @@ def _per_document(rows: DataFrame, name: str) -> DataFrame:
 def repeats(docs: DataFrame, window: int = WINDOW, id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """What repeats an earlier document, per document id: whole segments, and single windows."""
     source = docs.select(F.col(f"`{id}`").alias("doc"), F.col(f"`{text}`").cast("string").alias("_text")).where("doc is not null")
-    segments = _segments(source, window)
+    segments = pin(_segments(source, window))
     anchors = segments.groupBy("anchor").agg(
         F.min("doc").alias("low"), F.max("doc").alias("high"), (F.min("content") < F.max("content")).alias("varies")
     )
@@ -173,7 +181,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id: str = "doc_id", te
         import pyarrow as pa
 
         for batch in batches:
-            out = [_cut(words_of(t.as_py()), _pairs(batch.column(2), n), _pairs(batch.column(3), n), window) for n, t in enumerate(batch.column(1))]
+            rows = zip(batch.column(1), _pairs(batch.column(2)), _pairs(batch.column(3)))
+            out = [_cut(words_of(text.as_py()), whole, single, window) for text, whole, single in rows]
             kinds = [pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.string()]
             columns = [pa.array([x[k] for x in out], kind) for k, kind in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=schema.names)
@@ -181,19 +190,19 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id: str = "doc_id", te
     return joined.mapInArrow(run, schema)
 
 
-def _cut(words: list[bytes], whole: set, single: set, window: int) -> tuple:
+def _cut(words: list[bytes], whole: np.ndarray, single: np.ndarray, window: int) -> tuple:
+    if not len(whole) and not len(single):
+        return len(words), 0, [], b" ".join(words).decode()
+    p = Passages(words, window)
     gone = np.zeros(len(words) + 1, np.int64)
-    if whole or single:
-        p = Passages(words, window)
-        for start, n, anchor, content in zip(p.start.tolist(), p.windows.tolist(), p.anchor.tolist(), p.content.tolist()):
-            if (anchor, content) in whole:
-                gone[start] += 1
-                gone[start + n + window - 1] -= 1
-            elif single:
-                for at, hashed in enumerate(p.window(np.arange(start, start + n)).tolist(), start):
-                    if (anchor, hashed) in single:
-                        gone[at] += 1
-                        gone[at + window] -= 1
+    hit = np.isin(_pair(p.anchor, p.content), whole)
+    np.add.at(gone, p.start[hit], 1)
+    np.add.at(gone, p.start[hit] + p.windows[hit] + window - 1, -1)
+    if len(single):
+        at = np.arange(int(p.windows.sum()))
+        at = at[np.isin(_pair(np.repeat(p.anchor, p.windows), p.window(at)), single) & ~np.repeat(hit, p.windows)]
+        np.add.at(gone, at, 1)
+        np.add.at(gone, at + window, -1)
     covered = np.cumsum(gone)[:-1] > 0
     edges = np.flatnonzero(np.diff(np.concatenate([[False], covered, [False]]))).tolist()
     spans = [{"start": a, "end": b} for a, b in zip(edges[::2], edges[1::2])]
