@@ -13,9 +13,10 @@ import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 import __spark_entry__ as contract
-from traceloom.llm import near_dedup, packing, quality_rules, secret_scan, substring_dedup, token_counts, tokens, toxicity
+from traceloom.llm import decontamination, language_id, near_dedup, packing, quality_rules, secret_scan, substring_dedup, token_counts, tokens, toxicity
 from traceloom.llm.components import components
 
 SMALL = "/root/testdata/sf0.001"
@@ -39,6 +40,55 @@ def test_matches_sql(spark, name):
     assert a == b
 
 
+# benchmark passages
+
+
+def similarity(a, b, width):
+    grams = lambda w: Counter(tuple(w[i : i + width]) for i in range(len(w) - width + 1))
+    x, y = grams(a), grams(b)
+    common = sum((x & y).values())
+    return common / (sum(x.values()) + sum(y.values()) - common) if x or y else 0.0
+
+
+def plain_leaks(docs, items):
+    out = {}
+    for d, text in docs.items():
+        for i, item in items.items():
+            w, v = text.split(), item.split()
+            width, m = min(5, len(v)), min(len(v), len(w))
+            best = max(((round(similarity(w[s : s + m], v, width), 6), s) for s in range(len(w) - m + 1)), default=(0, 0)) if m >= width else (0, 0)
+            if best[0] >= 0.8:
+                out[d, i] = best
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_leaks_equal_brute_force_over_all_windows(spark, seed):
+    r = random.Random(seed)
+    vocabulary = [f"w{i}" for i in range(400)]
+    items = {i: " ".join(r.choices(vocabulary, k=r.choice([1, 2, 4, 5, 9, 30, 60, 120]))) for i in range(24)}
+    items[24] = " ".join(["again"] * 30 + ["and"] * 6)
+    docs = {}
+    for d in range(160):
+        body = items[r.randrange(25)].split()
+        kind = r.randrange(6)
+        if kind == 0:
+            cut = r.randrange(len(body) + 1)
+            body = body[cut:] + body[:cut]
+        elif kind in (1, 2):
+            start, n = r.randrange(len(body)), r.randrange(1 + len(body) // 6)
+            body[start : start + n] = r.choices(vocabulary, k=n)
+        elif kind == 3:
+            body = body[r.randrange(1 + len(body) // 7) : len(body) - r.randrange(1 + len(body) // 7)]
+        around = [r.choices(vocabulary, k=r.choice([0, 3, 60])) for _ in range(2)]
+        docs[d] = " ".join([*around[0], *body, *around[1]])
+    want = plain_leaks(docs, items)
+    frame = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    got = {(x["doc_id"], x["item_id"]): (x["similarity"], x["start"]) for x in decontamination.leaks(frame, spark.createDataFrame(list(items.items()), "item_id long, text string")).collect()}
+    assert set(got) <= set(want) and all(got[k] == want[k] for k in got)
+    assert len(want) > 60 and len(got) >= 0.99 * len(want)
+
+
 # packing
 
 
@@ -345,13 +395,79 @@ def test_totals_follow_deltas_and_replays_count_once(spark, tmp_path):
         token_counts.commit(load, store, "../x")
 
 
+def test_a_published_batch_stays(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    change = lambda n: spark.createDataFrame([("a", "en", "v1", None, n)], token_counts.CHANGE)
+    store = str(tmp_path / "totals")
+    assert token_counts.totals(spark, store).collect() == []
+    assert token_counts.commit(change(5), store, 1) and not token_counts.commit(change(50), store, 1)
+    bad = change(7).withColumn("after", F.raise_error(F.lit("killed")).cast("long"))
+    for batch in (1, 2):
+        if batch == 1:
+            assert not token_counts.commit(bad, store, batch)
+        else:
+            with pytest.raises(Exception, match="killed"):
+                token_counts.commit(bad, store, batch)
+        assert [r["n_tokens"] for r in token_counts.totals(spark, store).collect()] == [5]
+    with ThreadPoolExecutor(3) as pool:
+        assert sum(pool.map(lambda _: token_counts.commit(change(3), store, "x"), range(3))) == 1
+    assert [r["n_tokens"] for r in token_counts.totals(spark, store).collect()] == [8]
+    assert [r["n_tokens"] for r in token_counts.totals(spark, store, ["x", "unknown"]).collect()] == [3]
+
+
 def test_token_totals_of_the_documents(spark):
     docs = documents()
     first, want = {}, Counter()
     count = lambda t: len(tokens.encode(t, tokens.vocabulary()))
     for doc, text, lang, source in zip(docs.doc_id, docs.text, docs.lang, docs.source):
-        if first.setdefault(text, doc) == doc:
-            want[source, lang, "d"] += 1
-            want[source, lang, "t"] += count(re.sub(r"[\x20\x09-\x0D]+", " ", text))
+        sizes = {"byte_bpe_50k": count(text), "byte_bpe_50k-squeezed": count(re.sub(r"[\x20\x09-\x0D]+", " ", text))}
+        original = first.setdefault(text, doc) == doc
+        for version, n in sizes.items():
+            for batch in ("load", "squeeze", "copies"):
+                if (version == "byte_bpe_50k" or batch != "load") and (original or batch != "copies"):
+                    want[batch, source, lang, version, "d"] += 1
+                    want[batch, source, lang, version, "t"] += n
     got = contract.queries()["op9_token_counts"](spark, SMALL).collect()
-    assert {(r["source"], r["lang"]): (r["n_docs"], r["n_tokens"]) for r in got} == {(s, g): (n, want[s, g, "t"]) for (s, g, k), n in want.items() if k == "d"}
+    found = {(r["after_batch"], r["source"], r["lang"], r["tokenizer_version"]): (r["n_docs"], r["n_tokens"]) for r in got}
+    assert found == {k[:4]: (n, want[(*k[:4], "t")]) for k, n in want.items() if k[4] == "d"} and len(found) == len(got)
+
+
+# languages
+
+
+def plain_ranks(text, number=400):
+    letters = "".join(c if c.isalpha() else " " for c in text.lower())
+    padded = f" {' '.join(letters.split())} "
+    counts = Counter()
+    if padded.strip():
+        for n in (1, 2, 3):
+            counts.update(padded[i : i + n] for i in range(len(padded) - n + 1))
+        counts.pop(" ", None)
+    # equal counts: by the code of the n-gram, 21 bits a character
+    code = lambda g: sum(ord(c) << 21 * k for k, c in enumerate(reversed(g)))
+    return [g for g, _ in sorted(counts.items(), key=lambda x: (-x[1], code(x[0])))[:number]]
+
+
+def test_languages_equal_plain_out_of_place_sums(spark):
+    docs = documents()
+    held = docs.doc_id.map(lambda d: zlib.crc32(str(d).encode()) % 4 == 2)
+    learned = {lang: plain_ranks(" \0 ".join(rows.text)) for lang, rows in docs[~held].groupby("lang")}
+    # a text ends and begins at a space, as words do
+    place = {lang: {g: i for i, g in enumerate(ranks)} for lang, ranks in learned.items()}
+    got = contract.queries()["op7_language_id"](spark, SMALL).toPandas().set_index("doc_id")
+    for doc, text in list(zip(docs.doc_id, docs.text))[:80]:
+        own = plain_ranks(text)
+        if not own:
+            assert got.lang_pred[doc] == "und" and got.score[doc] == 0
+            continue
+        costs = {lang: sum(min(abs(at[g] - i), 400) if g in at else 400 for i, g in enumerate(own)) / len(own) for lang, at in place.items()}
+        best = min(sorted(costs), key=costs.get)
+        # single spaces between texts make the profile's rarest ranks differ a little
+        assert got.lang_pred[doc] == best and abs(got.score[doc] - (1 - costs[best] / 400)) < 0.01
+    assert (got.lang_pred == docs.set_index("doc_id").lang)[got.held_out].mean() > 0.97
+
+
+def test_numerals_are_no_letters():
+    judge = language_id.Judge({"de": language_id.ranked(*language_id.grams("das ist ein text"))})
+    assert judge("\u00bd \u00b2 \u2460 \u2167 123 _ \u0301") == ("und", 0.0) and judge("\u00aa")[0] == "de" and judge("x\u00bd")[0] == "de"

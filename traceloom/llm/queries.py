@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -163,19 +164,23 @@ def op3_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 
 @_query("op9_token_counts")
 def op9_token_counts(spark: SparkSession, folder: str) -> DataFrame:
-    """Totals after three batches: all documents come in; white space is squeezed; later copies go."""
+    """Totals after each of three batches: the documents as they are; a second version, that of squeezed white space, comes; later copies go."""
     squeezed = F.regexp_replace("text", r"[\x20\x09-\x0D]+", " ")
     docs = table(spark, folder, "documents").select("doc_id", "source", "lang", F.md5("text").alias("body"), "text", squeezed.alias("squeezed"))
     counts = pin(token_counts.counted(docs, tokens.vocabulary(), {"text": "n", "squeezed": "m"}))
-    counts = counts.withColumn("tokenizer_version", F.lit("byte_bpe_50k"))
     first = pin(counts.groupBy("body").agg(F.min("doc_id").alias("first")))
     copies = counts.join(first, "body").where("doc_id > first")
     none = F.lit(None).cast("long")
+    plain, other = (F.lit(v).alias("tokenizer_version") for v in ("byte_bpe_50k", "byte_bpe_50k-squeezed"))
+    group = ("source", "lang")
     store = f"{shared_folder(spark)}/rollup-{uuid.uuid4().hex}"
-    token_counts.commit(counts.withColumns({"before": none, "after": F.col("n")}), store, "load")
-    token_counts.commit(counts.where("n <> m").withColumns({"before": F.col("n"), "after": F.col("m")}), store, "squeeze")
-    token_counts.commit(copies.withColumns({"before": F.col("m"), "after": none}), store, "copies")
-    return token_counts.totals(spark, store)
+    token_counts.commit(counts.select(*group, plain, none.alias("before"), F.col("n").alias("after")), store, "load")
+    token_counts.commit(counts.select(*group, other, none.alias("before"), F.col("m").alias("after")), store, "squeeze")
+    gone = copies.select(*group, F.inline(F.array(F.struct(plain, F.col("n").alias("before")), F.struct(other, F.col("m").alias("before")))))
+    token_counts.commit(gone.withColumn("after", none), store, "copies")
+    batches = ("load", "squeeze", "copies")
+    after = [token_counts.totals(spark, store, batches[: n + 1]).withColumn("after_batch", F.lit(b)) for n, b in enumerate(batches)]
+    return reduce(DataFrame.unionByName, after)
 
 
 @_query(

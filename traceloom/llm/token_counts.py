@@ -1,22 +1,24 @@
 """Token totals by source, language and tokenizer version, kept up to date by signed deltas.
 
 A change inserts, deletes or revises one document; its delta is the signed difference it makes to
-the totals of its group.  A batch of changes shrinks to one row per group and is committed under
-its id in a folder of its own: committing it again replaces those files by the same rows, so a
-retried batch counts once.  Totals are the sum over all committed batches.  Nothing is read back
-to write a batch, so batches of different ids may be committed at the same time; one id has one
-writer at a time.
+the totals of its group.  A batch of changes shrinks to one row per group, is written to a place of
+its own and then published under its id by one mark.  A batch that is published stays as it is: the
+same id again changes nothing, a writer that dies leaves nothing to be read, and of two writers of
+one id one counts.  Totals are the sum over all published batches.  Nothing is read back to write a
+batch, so batches of different ids may be committed at the same time.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import uuid
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from traceloom.llm.tokens import encode
+from traceloom.sources.sinks import claim, claimed, claims, remove
 
 GROUP = ("source", "lang", "tokenizer_version")
 #: A change: before is null for an insert, after for a delete; both are set for a revision.
@@ -60,19 +62,38 @@ def _added(rows: DataFrame, docs: str, tokens: str) -> DataFrame:
     return total.where("n_docs <> 0 or n_tokens <> 0")
 
 
-def commit(changes: DataFrame, store: str, batch: str | int) -> None:
-    """Commit a batch of changes under its id.  Again with the same id: as if it were the first time."""
+def commit(changes: DataFrame, store: str, batch: str | int) -> bool:
+    """Publish a batch of changes under its id; False if that id has been published before, which changes nothing."""
     if not str(batch).replace("-", "").replace("_", "").isalnum():
         raise ValueError("a batch id is letters, digits, - and _")
-    delta(changes).write.mode("overwrite").parquet(f"{store}/batch={batch}")
+    spark, mark = changes.sparkSession, f"{store}/published/{batch}"
+    if claimed(spark, mark) is not None:
+        return False
+    place = f"{store}/batches/{batch}-{uuid.uuid4().hex}"
+    delta(changes).write.parquet(place)
+    won = claim(spark, mark, place.rsplit("/", 1)[1])
+    if not won:
+        remove(spark, place)
+    return won
 
 
 def committer(store: str) -> Callable[[DataFrame, int], None]:
     """For writeStream.foreachBatch: commits each micro-batch of changes under its number."""
-    return lambda changes, number: commit(changes, store, f"stream-{number}")
 
+    def run(changes: DataFrame, number: int) -> None:
+        commit(changes, store, f"stream-{number}")
 
-def totals(spark: SparkSession, store: str) -> DataFrame:
-    """The totals of all committed batches; groups that are empty again are left out."""
+    return run
+
+
+def totals(spark: SparkSession, store: str, batches: Iterable[str | int] | None = None) -> DataFrame:
+    """The totals of the given or all published batches; groups that are empty again are left out.
+
+    A store without batches has no totals: no rows.
+    """
     schema = f"{', '.join(f'{c} string' for c in GROUP)}, n_docs long, n_tokens long"
-    return _added(spark.read.schema(schema).parquet(f"{store}/batch=*"), "n_docs", "n_tokens")
+    known = claims(spark, f"{store}/published")
+    wanted = known if batches is None else {str(b) for b in batches}
+    paths = [f"{store}/batches/{place}" for batch, place in known.items() if batch in wanted]
+    rows = spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
+    return _added(rows, "n_docs", "n_tokens")
