@@ -683,6 +683,12 @@ def priority_rank(burden: DataFrame, inputs: DataFrame, spec: OpportunitySpec) -
     )
 
 
+def gate_rows(ranked: DataFrame, spec: OpportunitySpec) -> DataFrame:
+    """One row per opportunity and gate: gate and passed, with the columns of the ranking."""
+    gates = [F.struct(F.lit(name).alias("gate"), passed.alias("passed")) for name, passed in eligibility_gates(spec).items()]
+    return ranked.select("*", F.inline(F.array(*gates)))
+
+
 def select_best(ranked: DataFrame) -> DataFrame:
     return (
         ranked.where(

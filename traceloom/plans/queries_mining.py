@@ -833,7 +833,7 @@ def strict_deviations(spark, folder):
     return Workspace.of_sessions(spark, folder, store=True).strict_deviations
 
 
-# deviations that need no replay; `unexpected_order` rests on the fitness and is left to the fixtures
+# deviations that need no replay
 GOV_DEV_FROM_STRICT = """,
 cnt AS (SELECT variant_id, activity, count(*) AS n FROM st GROUP BY 1, 2),
 gdev AS (
@@ -846,17 +846,6 @@ gdev AS (
 )"""
 
 
-@query(
-    "governed_deviations",
-    with_(STRICT_DEV + GOV_DEV_FROM_STRICT, "SELECT variant_id, category, activity FROM gdev"),
-)
-def governed_deviations(spark, folder):
-    ws = Workspace.of_sessions(spark, folder, store=True)
-    return ws.governed_deviations.where(F.col("category") != "unexpected_order").select(
-        "variant_id", "category", "activity"
-    )
-
-
 def _renamed(sql: str, suffix: str) -> str:
     """The replay's tables under other names, for a second model in one statement."""
     import re
@@ -864,6 +853,35 @@ def _renamed(sql: str, suffix: str) -> str:
     return re.sub(r"\b(walk|final|scored|fit)\b(?!ness)", rf"\1_{suffix}", sql)
 
 
+# all deviations: of a variant that replays with faults and without another deviation, the order is unexpected
+GOV_DEV_ALL = (
+    GOV_DEV_FROM_STRICT.replace("gdev AS (", "gdev_plain AS (")
+    + """,
+u AS (SELECT case_id, pos + 1 AS p, activity AS act FROM pl WHERE case_id IN (SELECT representative FROM cores)),
+"""
+    + _renamed(replay_sql(governed_model()), "gov")
+    + f""",
+vfit AS (SELECT variant_id, fitness FROM fit_gov JOIN cores ON representative = case_id),
+gdev_known AS (
+  SELECT * FROM gdev_plain
+  UNION ALL SELECT variant_id, 'unsupported_activity', activity FROM st WHERE activity NOT IN {q.quoted(governed_model().labels)}
+),
+gdev AS (
+  SELECT * FROM gdev_known
+  UNION ALL SELECT variant_id, 'unexpected_order', NULL FROM vfit WHERE fitness < 1 AND variant_id NOT IN (SELECT variant_id FROM gdev_known)
+)"""
+)
+
+
+@query(
+    "governed_deviations",
+    with_("RECURSIVE " + STRICT_DEV + GOV_DEV_ALL, "SELECT variant_id, category, activity FROM gdev"),
+)
+def governed_deviations(spark, folder):
+    ws = Workspace.of_sessions(spark, folder, store=True)
+    return ws.governed_deviations.select("variant_id", "category", "activity")
+
+
 @query(
     "variant_conformance",
     with_(

@@ -50,7 +50,8 @@ EVIDENCE = (
     + m.TRANSITIONS_FROM_PL
     + m.FEATURES_FROM_PL
     + m.STRICT_DEV[len(q.VAR):]
-    + m.GOV_DEV_FROM_STRICT
+    + m.GOV_DEV_ALL
+    + m.VARIANT_TABLE[m.VARIANT_TABLE.index(",\nvt AS (") :]
     + """,
 del AS (SELECT * FROM edges WHERE source IN ('Referral categorised', 'Referral recategorised') AND target = 'Clinical team assigned'),
 cand0 AS (
@@ -60,8 +61,22 @@ cand0 AS (
     any_value(n), count(*), (SELECT median(hours) FROM del), median(hours), median(hours)
   FROM del JOIN (SELECT service_line, count(DISTINCT case_id) AS n FROM pl GROUP BY 1) USING (service_line) GROUP BY service_line
   HAVING any_value(n) >= 20 AND median(hours) >= 1.2 * (SELECT median(hours) FROM del)
+  UNION ALL SELECT 'high_frequency_slow_transition', source || ' -> ' || target, NULL, NULL, cases, frequency, b, hours_median, hours_median
+  FROM ts, (SELECT median(hours_median) AS b FROM ts WHERE frequency >= 5) WHERE frequency >= 5 AND hours_median >= b * 1.5
+  UNION ALL SELECT 'variant_elevated_duration', variant_id, NULL, NULL, cases, cases, b, duration_median, duration_median
+  FROM vt, (SELECT median(duration_median) AS b FROM vt) WHERE cases >= 2 AND duration_median >= b * 1.5
+  UNION ALL SELECT 'nonconforming_path_duration', 'governed non-conforming traces', NULL, NULL, count(*), count(*), NULL, NULL, median(elapsed)
+  FROM feat JOIN cv USING (case_id) JOIN vfit USING (variant_id)
+  WHERE fitness < 1 OR variant_id IN (SELECT variant_id FROM gdev WHERE category <> 'scheduling_retry') HAVING count(*) >= 20
+),
+cand AS (SELECT 'candidate-' || substr(sha256(candidate_type || chr(31) || subject || chr(31) || coalesce(value, '')), 1, 16) AS candidate_id, * FROM cand0),
+logq AS (
+  SELECT (SELECT count(*) FROM copies WHERE copy_no > 1) AS duplicates, count(*) FILTER (WHERE disorder) AS disorder,
+    count(*) FILTER (WHERE ok AND events > 0) AS analysed
+  FROM (SELECT c.case_id, count(t.event_id) AS events, coalesce(bool_or(t.ingested_at < t.prev_ingested), false) AS disorder,
+      any_value(c.schema_version) = 1 AND NOT coalesce(bool_or(t.schema_version <> 1), false) AS ok
+    FROM cases c LEFT JOIN tl t USING (case_id) GROUP BY 1)
 ),
-cand AS (SELECT 'candidate-' || substr(sha256(candidate_type || chr(31) || subject || chr(31) || value), 1, 16) AS candidate_id, * FROM cand0),
 marked AS (SELECT variant_id, cases, class, array_to_string("""
     + m._MARKER_SQL
     + """, ',') AS markers FROM cores),
@@ -85,7 +100,12 @@ EVIDENCE += (
             _row("baseline_quality", "'quality'", "'out_of_order_ingestion_cases'", "'out_of_order_ingestion_cases'", _N, _N,
                  "disorder", "analysed", _N, "'high'", "0", "lateness"),
             _row("process_candidate", "candidate_id", "candidate_type", "candidate_type", "dimension", "value", "frequency", "cases",
-                 "CASE WHEN (observed - comparison) / comparison >= 0.5 THEN 'strong' ELSE 'material' END", "'high'", "1", "cand"),
+                 "CASE WHEN (observed - comparison) / comparison >= 0.5 THEN 'strong' WHEN (observed - comparison) / comparison >= 0.2 "
+                 "THEN 'material' ELSE 'small' END", "'high'", "1", "cand"),
+            _row("process_quality", "'quality'", "'duplicate_events_excluded'", "'duplicate_events_excluded'", _N, _N, "duplicates",
+                 "analysed", _N, "'high'", "0", "logq"),
+            _row("process_quality", "'quality'", "'out_of_order_ingestion_cases'", "'out_of_order_ingestion_cases'", _N, _N, "disorder",
+                 "analysed", _N, "'high'", "0", "logq"),
             _row("process_transition", "transition_id", "source || ' -> ' || target", "'median_elapsed_hours'", _N, _N,
                  "hours_median", "cases", _N, "'high'", "0", "ts"),
             _row("process_variant", "variant_id", "markers", "'markers'", _N, _N, "cases", "cases", "class", "'high'", "0",
@@ -139,7 +159,7 @@ lv AS (
     (v.rule_id = '{_STUCK[0]}' AND e.source_type IN {q.quoted(_STUCK[5])}
       AND (e.dimension IS NULL OR (e.dimension = 'overall' AND e.value = 'all'))
       AND ({' OR '.join(f"contains(e.metric, '{t}')" for t in _STUCK[6])}))
-    OR (v.rule_id = '{_LATE[0]}' AND e.source_type = 'baseline_quality' AND e.dimension IS NULL
+    OR (v.rule_id = '{_LATE[0]}' AND e.source_type IN {q.quoted(_LATE[5])} AND e.dimension IS NULL
       AND ({' OR '.join(f"contains(e.metric, '{t}')" for t in _LATE[6])})))
 ),
 seed AS (
@@ -236,7 +256,6 @@ def portfolio(spark, folder) -> Portfolio:
     ),
 )
 def union_evidence(spark, folder):
-    # the statement has no twin of process_quality, unexpected_order and three candidate metrics
     return tidy(
         portfolio(spark, folder).evidence.select(
             "evidence_id", "source_type", "record_id", "metric", "dimension", "value", "observed", "sample_size",
@@ -257,12 +276,10 @@ def evidence_registry(spark, folder):
     "evidence_quality",
     with_(
         EVIDENCE.rstrip().rstrip(","),
-        "SELECT source_type, confidence, count(*) AS records, CAST(sum(warnings) AS BIGINT) AS warnings FROM e "
-        "WHERE source_type IN ('baseline_finding', 'cohort_metric', 'process_transition', 'process_variant', 'research_observation') GROUP BY 1, 2",
+        "SELECT source_type, confidence, count(*) AS records, CAST(sum(warnings) AS BIGINT) AS warnings FROM e GROUP BY 1, 2",
     ),
 )
 def evidence_quality(spark, folder):
-    # the statement covers five of the source types
     return op.evidence_quality(portfolio(spark, folder).evidence)
 
 
@@ -292,10 +309,7 @@ def opportunity_seeds(spark, folder):
     with_(SEEDS, "SELECT opportunity_id, kind, evidence_id FROM ln"),
 )
 def join_cohort_or_wildcard(spark, folder):
-    # process_quality evidence has no twin in the statement
-    p = portfolio(spark, folder)
-    other = p.evidence.where(F.col("source_type") == "process_quality").select("evidence_id")
-    return p.links.join(other, "evidence_id", "left_anti").select("opportunity_id", "kind", "evidence_id")
+    return portfolio(spark, folder).links.select("opportunity_id", "kind", "evidence_id")
 
 
 @query("dedup_seeds", with_(SEEDS, "SELECT opportunity_id, archetype, dimension, value, stage, rule_ids, merged FROM opp"))
@@ -330,17 +344,9 @@ def join_cohort_fallback(spark, folder):
     return tidy(portfolio(spark, folder).burden.select("opportunity_id", "cohort_cases", "touches", "handoff_mean"))
 
 
-def _scores(p: Portfolio):
-    """Ranked opportunities except the one whose evidence includes process_quality rows."""
-    return p.ranked.where(F.col("archetype") != _LATE[1])
-
-
-_SAME = f" WHERE archetype <> '{_LATE[1]}'"
-
-
-@query("value_score", with_(BURDEN, "SELECT opportunity_id, round(value_score, 6) AS value_score FROM ranked" + _SAME))
+@query("value_score", with_(BURDEN, "SELECT opportunity_id, round(value_score, 6) AS value_score FROM ranked"))
 def value_score(spark, folder):
-    return tidy(_scores(portfolio(spark, folder)).select("opportunity_id", "value_score"))
+    return tidy(portfolio(spark, folder).ranked.select("opportunity_id", "value_score"))
 
 
 @query(
@@ -348,12 +354,12 @@ def value_score(spark, folder):
     with_(
         BURDEN,
         "SELECT opportunity_id, quantitative, source_types, max_sample, warned, qualitative, contradictions, "
-        "CAST(round(confidence_score, 6) AS DOUBLE) AS confidence_score FROM ranked" + _SAME,
+        "CAST(round(confidence_score, 6) AS DOUBLE) AS confidence_score FROM ranked",
     ),
 )
 def confidence_score(spark, folder):
     return tidy(
-        _scores(portfolio(spark, folder)).select(
+        portfolio(spark, folder).ranked.select(
             "opportunity_id", "quantitative", "source_types", "max_sample", "warned", "qualitative", "contradictions",
             "confidence_score",
         )
@@ -368,19 +374,52 @@ def readiness_risk_lookup(spark, folder):
     return tidy(portfolio(spark, folder).ranked.select("opportunity_id", "readiness_score", "risk", "risk_level"))
 
 
-@query("eligibility_gates", with_(BURDEN, "SELECT opportunity_id, eligibility, section FROM ranked" + _SAME))
+@query(
+    "eligibility_gates",
+    with_(
+        BURDEN,
+        """SELECT opportunity_id, eligibility, section, g.gate AS gate, g.passed AS passed FROM (
+  SELECT *, unnest([{'gate': 'administrative_scope', 'passed': true}, {'gate': 'evidence_sufficiency', 'passed': quantitative >= 2},
+    {'gate': 'data_availability', 'passed': quantitative > 0}, {'gate': 'process_stability', 'passed': stable},
+    {'gate': 'measurability', 'passed': true}, {'gate': 'reversibility', 'passed': true}, {'gate': 'human_oversight', 'passed': true},
+    {'gate': 'auditability', 'passed': true}, {'gate': 'clinical_exclusion', 'passed': true}, {'gate': 'sensitive_data_exposure', 'passed': true}]) AS g
+  FROM ranked)""",
+    ),
+)
 def eligibility_gates(spark, folder):
-    return _scores(portfolio(spark, folder)).select("opportunity_id", "eligibility", "section")
+    p = portfolio(spark, folder)
+    return op.gate_rows(p.ranked, p.spec).select("opportunity_id", "eligibility", "section", "gate", "passed")
 
 
-@query("priority_rank", with_(BURDEN, "SELECT opportunity_id, round(priority, 6) AS priority, section FROM ranked" + _SAME))
+@query(
+    "priority_rank",
+    with_(
+        BURDEN,
+        """SELECT opportunity_id, round(priority, 6) AS priority, section,
+  row_number() OVER (ORDER BY section <> 'controlled_prototype', priority DESC, opportunity_id)::INT AS position FROM ranked""",
+    ),
+)
 def priority_rank(spark, folder):
-    return tidy(_scores(portfolio(spark, folder)).select("opportunity_id", "priority", "section"))
+    return tidy(portfolio(spark, folder).ranked.select("opportunity_id", "priority", "section", "position"))
+
 
+# a threshold that some opportunities of these tables reach
+REACHED = OpportunitySpec(prototype_threshold=40.0)
 
-@query("select_best")
+
+@query(
+    "select_best",
+    with_(
+        BURDEN,
+        f"""SELECT opportunity_id, archetype, value, round(priority, 6) AS priority FROM prio
+WHERE eligibility = 'eligible_for_controlled_prototype' AND priority >= {REACHED.prototype_threshold}
+ORDER BY risk, readiness_score DESC, confidence_score DESC, priority DESC, opportunity_id LIMIT 1""",
+    ),
+)
 def select_best(spark, folder):
-    return tidy(op.select_best(portfolio(spark, folder).ranked).select("opportunity_id", "archetype", "value", "priority"))
+    p = portfolio(spark, folder)
+    ranked = op.priority_rank(p.burden, p.inputs, REACHED)
+    return tidy(op.select_best(ranked).select("opportunity_id", "archetype", "value", "priority"))
 
 
 @query(
@@ -402,20 +441,24 @@ def join_related_contradictions(spark, folder):
     with_(
         SEEDS,
         """, used AS (SELECT DISTINCT evidence_id FROM ln)
-SELECT relation, count(*) AS links FROM (
-  SELECT kind AS relation FROM ln WHERE opportunity_id NOT IN (SELECT opportunity_id FROM opp WHERE archetype = '"""
-        + _LATE[1]
-        + """')
-  UNION ALL SELECT 'contradicts' FROM clash JOIN e a ON a.record_id = left_id AND a.evidence_id IN (SELECT evidence_id FROM used)
-    JOIN e b ON b.record_id = right_id AND b.evidence_id IN (SELECT evidence_id FROM used)) GROUP BY 1""",
+SELECT evidence_id AS source_id, opportunity_id AS target_id, kind AS relation FROM ln
+UNION ALL SELECT a.evidence_id, b.evidence_id, 'contradicts' FROM clash JOIN e a ON a.record_id = left_id AND a.evidence_id IN (SELECT evidence_id FROM used)
+  JOIN e b ON b.record_id = right_id AND b.evidence_id IN (SELECT evidence_id FROM used)""",
     ),
 )
 def evidence_network(spark, folder):
     p = portfolio(spark, folder)
-    _, links = op.evidence_network(p.opportunities, p.links, p.evidence, p.pairs)
-    late = p.opportunities.where(F.col("archetype") == _LATE[1]).select(F.col("opportunity_id").alias("target_id"))
-    return (
-        links.join(late, "target_id", "left_anti")
-        .groupBy("relation")
-        .agg(F.count(F.lit(1)).alias("links"))
-    )
+    return op.evidence_network(p.opportunities, p.links, p.evidence, p.pairs)[1].select("source_id", "target_id", "relation")
+
+
+@query(
+    "evidence_network_nodes",
+    with_(
+        SEEDS,
+        """SELECT opportunity_id AS node_id, 'opportunity' AS node_type, archetype || ': ' || value AS label FROM opp
+UNION ALL SELECT evidence_id, source_type, metric FROM e WHERE evidence_id IN (SELECT evidence_id FROM ln)""",
+    ),
+)
+def evidence_network_nodes(spark, folder):
+    p = portfolio(spark, folder)
+    return op.evidence_network(p.opportunities, p.links, p.evidence, p.pairs)[0].select("node_id", "node_type", "label")
