@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import vocab
@@ -387,6 +389,10 @@ def review_policy_check(spark, folder):
 
 
 CHAIN_KINDS = "('click', 'purchase', 'error')"
+_FALSE_MINUTES = (
+    "(SELECT sum(review_minutes) FROM rv) * (SELECT greatest(count(*) FILTER (WHERE event_type = 'view') - "
+    "count(*) FILTER (WHERE event_type = 'view' AND k % 3 = 0), 0) / count(*) FILTER (WHERE event_type = 'view') FROM raw)"
+)
 _WORK = {
     "drafts_created": "(SELECT count(*) FROM dr)",
     "drafts_reviewed": "(SELECT count(DISTINCT draft_id) FROM rv)",
@@ -409,6 +415,22 @@ _WORK = {
     "audit_completeness": "least(1.0, (SELECT count(*) FROM raw WHERE event_type IN " + CHAIN_KINDS
     + ") / ((SELECT count(*) FROM rv) + (SELECT count(*) FROM ac) + (SELECT count(*) FROM rb)))",
     "detector_precision": "(SELECT count(*) FILTER (WHERE event_type = 'view' AND k % 3 = 0) / count(*) FILTER (WHERE event_type = 'view') FROM raw)",
+    "incoming_cases": "(SELECT count(*) FROM raw)",
+    "detector_positives": "(SELECT count(*) FROM raw WHERE event_type = 'view')",
+    "detector_positive_coverage": "(SELECT count(*) FILTER (WHERE event_type = 'view') / count(*) FROM raw)",
+    "detector_recall": "(SELECT count(*) FILTER (WHERE event_type = 'view' AND k % 3 = 0) / count(*) FILTER (WHERE k % 3 = 0) FROM raw)",
+    "surfaced_recommendation_coverage": "(SELECT count(*) FROM dr) / (SELECT count(*) FROM raw)",
+    "drafts_edited": "(SELECT count(*) FROM dr WHERE revisions > 1)",
+    "drafts_cancelled": "(SELECT count(*) FROM rv WHERE decision = 'cancel')",
+    "drafts_retracted": "(SELECT count(*) FROM life WHERE status = 'retracted')",
+    "reviewer_agreement": "(SELECT avg(CAST(agree AS INT)) FROM (SELECT min(decision LIKE 'approve%') = max(decision LIKE 'approve%') AS agree "
+    "FROM rv GROUP BY draft_id HAVING count(*) > 1))",
+    "approval_rate": "(SELECT count(*) FILTER (WHERE decision LIKE 'approve%') / count(DISTINCT draft_id) FROM rv)",
+    "edit_rate": "(SELECT count(*) FROM dr WHERE revisions > 1) / (SELECT count(DISTINCT draft_id) FROM rv)",
+    "rejection_rate": "(SELECT count(*) FILTER (WHERE decision = 'reject') / count(DISTINCT draft_id) FROM rv)",
+    "false_positive_review_minutes": _FALSE_MINUTES,
+    "false_positive_review_minutes_per_100_cases": f"{_FALSE_MINUTES} * 100 / (SELECT count(*) FROM raw)",
+    "maximum_queue_depth": "(SELECT count(*) FROM dr)",
 }
 
 
@@ -439,31 +461,43 @@ def _workload(spark, folder):
     with_(RV, " UNION ALL ".join(f"SELECT '{n}' AS metric, round(CAST({e} AS DOUBLE), 6) AS number" for n, e in _WORK.items())),
 )
 def workload_metrics(spark, folder):
-    return tidy(_workload(spark, folder).where(F.col("metric").isin(*_WORK)))
-
-
-_GATE_OPS = {"<=": "<=", ">=": ">="}
-_GATED = [g for g in review.GATES if g[2] in _WORK and isinstance(g[4], str)]
+    return tidy(_workload(spark, folder))
+
+
+_LIMITS = [(g, m, o, float(REVIEW.thresholds[t]) if isinstance(t, str) else t, missing) for g, _, m, o, t, missing in review.GATES]
+GATED = (
+    RV
+    + ", met AS ("
+    + " UNION ALL ".join(f"SELECT '{n}' AS metric, CAST({e} AS DOUBLE) AS number" for n, e in _WORK.items())
+    + "), limits(gate, metric, comparison, threshold, if_missing) AS (VALUES "
+    + ", ".join(f"('{g}', '{m}', '{o}', CAST({t} AS DOUBLE), CAST({'NULL' if x is None else x} AS DOUBLE))" for g, m, o, t, x in _LIMITS)
+    + """), judged AS (
+  SELECT gate, metric, coalesce(number, if_missing) AS actual, threshold,
+    CASE WHEN coalesce(CASE comparison WHEN '<=' THEN coalesce(number, if_missing) <= threshold WHEN '>=' THEN coalesce(number, if_missing) >= threshold
+      ELSE coalesce(number, if_missing) = threshold END, false) THEN 'pass' ELSE 'fail' END AS status
+  FROM limits LEFT JOIN met USING (metric)
+)"""
+)
 
 
 @query(
     "gates",
-    with_(
-        RV + ", met AS (" + " UNION ALL ".join(f"SELECT '{n}' AS metric, CAST({e} AS DOUBLE) AS number" for n, e in _WORK.items()) + ")",
-        " UNION ALL ".join(
-            f"SELECT '{g}' AS gate, CASE WHEN number {_GATE_OPS[op]} {REVIEW.thresholds[t]} THEN 'pass' ELSE 'fail' END AS status "
-            f"FROM met WHERE metric = '{mt}'"
-            for g, _, mt, op, t, _ in _GATED
-        ),
-    ),
+    with_(GATED, "SELECT gate, metric, round(actual, 6) AS actual, round(threshold, 6) AS threshold, status FROM judged"),
 )
 def gates(spark, folder):
     got = review.evaluate_gates(_workload(spark, folder), review.gate_table(spark, REVIEW))
-    # the statement covers _GATED
-    return got.select("gate", "status")
+    return tidy(got.select("gate", "metric", "actual", "threshold", "status"))
 
 
-@query("gate_assessment")
+@query(
+    "gate_assessment",
+    with_(
+        GATED,
+        """SELECT count(*) FILTER (WHERE status = 'fail') AS failures,
+  CASE WHEN bool_or(status = 'fail' AND regexp_matches(gate, '^(safety-|audit-|policy-)')) THEN 'pause_due_to_stop_condition'
+    WHEN bool_or(status = 'fail') THEN 'revise_pilot_design' ELSE 'ready' END AS assessment FROM judged""",
+    ),
+)
 def gate_assessment(spark, folder):
     return review.gate_assessment(review.evaluate_gates(_workload(spark, folder), review.gate_table(spark, REVIEW)))
 
@@ -614,28 +648,41 @@ def scan_jsonl_labels(spark, folder):
 
 @query(
     "scan_bundle_json",
-    with_(q.CASES, "SELECT c.case_id, c.status, c.received_at, count(e.event_id) AS events, count(DISTINCT e.event_type) AS kinds "
-          "FROM cases c JOIN ev e USING (case_id) GROUP BY 1, 2, 3"),
+    with_(
+        q.CASES + qi.LAB,
+        """SELECT * FROM (
+  SELECT 'cases' AS entity, status AS kind, count(*) AS good, CAST(0 AS BIGINT) AS bad FROM cases GROUP BY 2
+  UNION ALL SELECT 'events', event_type, count(*) FILTER (WHERE event_id[-2:] <> '07'), count(*) FILTER (WHERE event_id[-2:] = '07')
+    FROM ev JOIN cases USING (case_id) GROUP BY 2
+  UNION ALL SELECT 'labels', status, count(*), 0 FROM lab WHERE case_id IN (SELECT split_part(case_id, '-', 1) FROM cases) GROUP BY 2
+  UNION ALL SELECT 'manifest', 'complete', count(DISTINCT split_part(case_id, '-', 1)), 0 FROM cases)""",
+    ),
 )
 def scan_bundle_json(spark, folder):
-    """The log as bundle files of one event each, read back as entity tables."""
-    log = session_log(spark, folder)
-    case, event = [f.split(" ")[0] for f in files._split(files.CASE_DDL.replace(", ", ","))], [
-        f.split(" ")[0] for f in files._split(files.EVENT_DDL.replace(", ", ","))
-    ]
-    none = F.array()
-    one = log.events.select(none.alias("cases"), F.array(F.struct(*event)).alias("events"))
-    two = log.cases.select(F.array(F.struct(*case)).alias("cases"), none.alias("events"))
-    place = _place(spark)
-    sinks.write_rows(one.select("events"), f"{place}/e")
-    sinks.write_rows(two.select("cases"), f"{place}/c")
-    events = files.read_bundle_lines(spark, f"{place}/e")["events"]
-    cases = files.read_bundle_lines(spark, f"{place}/c")["cases"]
-    return (
-        cases.join(events.select("case_id", "event_id", "event_type"), "case_id")
-        .groupBy("case_id", "status", "received_at")
-        .agg(F.count("event_id").alias("events"), F.count_distinct("event_type").alias("kinds"))
+    """The log as nested bundles, one of each user; some events carry a broken time.  Read back in byte ranges, bad records aside."""
+    log, raw = session_log(spark, folder), table(spark, folder, "events")
+    names = {e: [p.strip().split(" ")[0] for p in files._split(d)] for e, d in files.BUNDLE_DDL.items()}
+    user = F.split_part("case_id", F.lit("-"), F.lit(1))
+    time = F.date_format("event_at", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX")
+    spoilt = log.events.join(log.cases.select("case_id"), "case_id", "left_semi").withColumn(
+        "event_at", F.when(F.col("event_id").endswith("07"), "no time").otherwise(time)
     )
+    rows = lambda df, e: df.select(user.alias("user"), F.struct(*[c for c in names[e] if c in df.columns]).alias(e))
+    labels = rows(sn.label_intervals(raw), "labels")
+    parts = [rows(log.cases, "cases"), rows(spoilt, "events"), labels]
+    gathered = [p.groupBy("user").agg(F.collect_list(p.columns[1]).alias(p.columns[1])) for p in parts]
+    bundles = gathered[0].join(gathered[1], "user", "left").join(gathered[2], "user", "left")
+    manifest = F.struct(F.col("user").alias("run_id"), F.size("cases").alias("case_count"))
+    options = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
+    text = F.to_json(F.struct("cases", "events", "labels", manifest.alias("manifest")), options)
+    place = _place(spark)
+    bundles.select(text).write.text(place)
+    good, bad = files.split_bundle(spark, place)
+    kinds = {"cases": F.col("status"), "events": F.col("event_type"), "labels": F.col("status"), "manifest": F.lit("complete")}
+    counted = [df.select(F.lit(e).alias("entity"), kinds[e].alias("kind"), F.lit(1).alias("good"), F.lit(0).alias("bad")) for e, df in good.items()]
+    counted.append(bad.select("entity", F.get_json_object("text", "$.event_type").alias("kind"), F.lit(0).alias("good"), F.lit(1).alias("bad")))
+    every = reduce(DataFrame.unionByName, counted)
+    return every.groupBy("entity", "kind").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
 
 
 @query(

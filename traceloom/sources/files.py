@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.ordered import scan
+from ..session import Scale, pin
 from .snapshots import SNAPSHOT_SCHEMA
 
 CASE_DDL = (
@@ -70,12 +74,71 @@ def _entities(raw: DataFrame) -> dict[str, DataFrame]:
 def read_bundle(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     """JSON files that each hold one bundle {cases: [...], events: [...], labels: [...], manifest: {...}}.
 
-    One file is one record.  For large data use bundle lines or one Parquet
-    table per entity.
+    One file is one record of one task; `split_bundle` reads large ones with many.
     """
     return _entities(spark.read.schema(_BUNDLE).option("multiLine", True).json(path))
 
 
+#: Entities of a bundle and their columns.
+BUNDLE_DDL = {
+    "cases": CASE_DDL,
+    "events": EVENT_DDL,
+    "labels": LABEL_DDL,
+    "manifest": "run_id string, case_count bigint, event_count bigint, fingerprint string",
+}
+
+
+def bundle_records(spark: SparkSession, path: str, scale: Scale | None = None) -> DataFrame:
+    """(file, entity, text): the records of nested bundles of any size, cut out by many tasks.
+
+    A bundle is {name: [record, ...], name: record, ...}; a file holds one or more of them.  Files are
+    read in byte ranges as pieces that end at a closing brace.  Running counts over the pieces of a
+    file tell which braces stand outside strings and how deep they are, so records are put together
+    from their pieces wherever the byte ranges were cut.  Only running counts go from task to task,
+    and no task holds more than one record at once.  Works on every path that Spark reads.
+    """
+    at = F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("range")
+    pieces = spark.read.option("lineSep", "}").text(path).select("value", *at, F.monotonically_increasing_id().alias("n"))
+    # escaped characters are blotted out, so every quote begins or ends a string; lengths stay as they are
+    pieces = pin(pieces.withColumn("plain", F.regexp_replace("value", r"(?s)\\.", "__")))
+    scale = scale or Scale.of(pieces, "file")
+    order = ["range", "n"]
+    quotes = (F.length("plain") - F.length(F.replace("plain", F.lit('"'), F.lit("")))).cast("long")
+    rows = scan(pieces, ["file"], order, scale, running={"quotes": quotes}).withColumn("inside", (F.col("quotes") - quotes) % 2)
+    blank = lambda x, i: F.when((i + F.col("inside")) % 2 == 0, x).otherwise(F.repeat(F.lit("_"), F.length(x)))
+    bare = F.array_join(F.transform(F.split("plain", '"', -1), blank), '"')
+    rows = rows.select("file", *order, "value", bare.alias("bare"), (1 - F.col("quotes") % 2).alias("closes"))
+    opens = (F.length("bare") - F.length(F.replace("bare", F.lit("{"), F.lit("")))).cast("long")
+    rows = scan(rows.withColumn("opens", opens), ["file"], order, scale, running={"depth": F.col("opens") - F.col("closes")})
+    deepest, before = F.col("depth") + F.col("closes"), F.col("depth") + F.col("closes") - F.col("opens")
+    rows = rows.withColumns({"ends": ((F.col("closes") == 1) & (F.col("depth") == 1)).cast("long"), "within": deepest >= 2})
+    # the first piece of a record begins with what stands between records, such as the name of the next list
+    first = (before < 2) & F.col("within")
+    skip = F.when(before < 1, F.expr("locate('{', bare)")).otherwise(0)
+    rows = rows.withColumn("skip", skip).withColumn("start", F.when(first, F.expr("locate('{', bare, skip + 1)")).otherwise(1))
+    name = F.regexp_extract(F.expr("substring(value, 1, start - 1)"), r'"([^"]*)"\s*:\s*[\[]?\s*$', 1)
+    rows = rows.withColumns({"name": F.when(first & (name != ""), name), "piece": F.expr("substring(value, start)")})
+    rows = scan(rows, ["file"], order, scale, running={"ended": F.col("ends")}, carry={"entity": F.col("name")})
+    rows = rows.where("within").withColumn("record", F.col("ended") - F.col("ends"))
+    listed = F.transform(F.sort_array(F.collect_list(F.struct(*order, "piece"))), lambda x: x["piece"])
+    records = rows.groupBy("file", "record").agg(F.first("entity").alias("entity"), F.concat(F.array_join(listed, "}"), F.lit("}")).alias("text"))
+    return records.select("file", "entity", "text")
+
+
+def split_bundle(spark: SparkSession, path: str, scale: Scale | None = None) -> tuple[dict[str, DataFrame], DataFrame]:
+    """(entity -> rows, bad records) of nested bundles of any size; a bad record keeps its file, entity and text."""
+    records = pin(bundle_records(spark, path, scale))
+    good, bad = {}, []
+    for entity, ddl in BUNDLE_DDL.items():
+        columns = [p.strip().split(" ")[0] for p in _split(ddl)]
+        parsed = F.from_json("text", f"{ddl}, _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
+        rows = records.where(F.col("entity") == entity).select("file", "entity", "text", parsed.alias("r"))
+        broken = F.col("r").isNull() | F.col("r._bad").isNotNull()
+        good[entity] = rows.where(~broken).select(*[F.col(f"r.{c}").alias(c) for c in columns])
+        bad.append(rows.where(broken).select("file", "entity", "text"))
+    return good, reduce(DataFrame.unionByName, bad)
+
+
 def read_bundle_lines(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     """The same with one bundle per line, which splits over tasks."""
     return _entities(spark.read.schema(_BUNDLE).json(path))
