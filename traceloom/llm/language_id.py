@@ -7,10 +7,10 @@ or the profile's length if the profile lacks it.  The profile with the smallest
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterable
 
 import numpy as np
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,7 +19,8 @@ from pyspark.sql.window import Window
 #: N-grams of a profile and of a text.
 RANKS = 400
 UNKNOWN = "und"
-_OTHER = re.compile(r"[\W\d_]+")
+#: Everything that is no letter, numerals such as a half or a circled one too.
+_OTHER = regex.compile(r"\P{L}+")
 #: Characters counted at once, so that long texts need no more memory.
 BLOCK = 1 << 20
 
@@ -82,7 +83,7 @@ def profiles(docs: DataFrame, lang: str = "lang", text: str = "text") -> dict[st
 
     counted = rows.mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
-    best = counted.withColumn("rank", F.row_number().over(order) - 1).where(F.col("rank") < RANKS).collect()
+    best = counted.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= RANKS).collect()
     out: dict[str, np.ndarray] = {}
     for name in sorted({r["lang"] for r in best}):
         out[name] = np.array([r["gram"] for r in sorted((r for r in best if r["lang"] == name), key=lambda r: r["rank"])], np.int64)
