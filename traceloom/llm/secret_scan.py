@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,6 +39,7 @@ GAP = re.compile(r"(?:[\W_]|\\[rnt])*")
 TAIL = re.compile(r"""["',+\\\x20\t]*(?:\r?\n|\\r\\n|\\n)(?:[\x20\t"'>|#]|\+(?=[\x20"']))*([A-Za-z0-9+/_-]{1,15}={0,2})(?=["',;+\x20\t]*(?:[\r\n\\]|\Z))""")
 #: A PEM block up to its end, with whatever headers.
 ARMOR = re.compile(r"-----BEGIN ([^\n-]*)-----")
+ARMOR_END = re.compile("-----END")
 #: Characters on either side that prime the compressor.
 AROUND = 2_000
 #: Least share of a candidate's length that it adds to the compressed size, and least bytes.  Of
@@ -107,18 +109,45 @@ def _runs(text: str) -> list[list[re.Match]]:
     return out
 
 
+class Spans:
+    """Spans of one kind, in order and without overlap: is a range touched by one of them?"""
+
+    def __init__(self, spans: list[tuple[int, int]]) -> None:
+        self.starts, self.ends = [a for a, _ in spans], [b for _, b in spans]
+
+    def meets(self, start: int, end: int) -> bool:
+        at = bisect_right(self.ends, start)
+        return at < len(self.starts) and self.starts[at] < end
+
+
+def _armored(text: str) -> Spans:
+    """The bodies of sensitive PEM blocks, merged where they overlap."""
+    begun = [m.end() for m in ARMOR.finditer(text) if SENSITIVE.search(m[1])]
+    ends = [m.start() for m in ARMOR_END.finditer(text)] if begun else []
+    out: list[tuple[int, int]] = []
+    for start in begun:
+        at = bisect_right(ends, start - 1)
+        if at == len(ends):
+            break  # none of these ends
+        if out and start < out[-1][1]:
+            continue  # up to the same end
+        out.append((start, ends[at]))
+    return Spans(out)
+
+
 def novel_spans(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int]]:
     """(start, kind number, end, bytes) of incompressible candidates in sensitive surroundings, beside the taken spans."""
     if not SENSITIVE.search(text):
         return []
-    blocks = [(m.end(), text.find("-----END", m.end())) for m in ARMOR.finditer(text) if SENSITIVE.search(m[1])]
+    blocks = _armored(text)
+    by_kind = [Spans([(a, b) for a, k, b in taken if k == kind]) for kind in range(3)]
 
-    def hit(start: int, end: int) -> list[int]:
-        return [kind for a, kind, b in taken if a < end and start < b]
+    def hit(start: int, end: int) -> bool:
+        return any(spans.meets(start, end) for spans in by_kind)
 
     def sensitive(m: re.Match) -> bool:
         near = SENSITIVE.search(text, max(0, m.start() - REACH), m.start()) or SENSITIVE.search(text, m.end(), m.end() + REACH)
-        return bool(near) or 0 in hit(m.start(), m.end()) or any(a <= m.start() < b for a, b in blocks)
+        return bool(near) or by_kind[0].meets(m.start(), m.end()) or blocks.meets(m.start(), m.start() + 1)
 
     out = []
     for run in _runs(text):
@@ -126,7 +155,7 @@ def novel_spans(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int,
             continue
         secret = 0
         for m in run:
-            found = bool(hit(m.start(), m.end()))
+            found = hit(m.start(), m.end())
             if not found:
                 size = novelty(text, m.start(), m.end())
                 found = size >= enough(m[0])
