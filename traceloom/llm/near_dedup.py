@@ -154,7 +154,9 @@ def _close(a: str, b: str):
 
 def linked(fps: DataFrame) -> DataFrame:
     """(fp, component) for every fingerprint that has a link, from a table of distinct `fp`."""
-    members = _keyed(fps.select("fp"))
+    # stored fingerprints are few files, their keys are many rows: as many tasks as any shuffle has
+    many = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    members = _keyed(fps.select("fp").repartition(many, "fp"))
     shared = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("low"), F.max("fp").alias("high"))
     shared = pin(shared.where("n > 1"))
     # most shared keys have two members, and those are at hand
@@ -187,6 +189,21 @@ def linked(fps: DataFrame) -> DataFrame:
     return final.unionByName(alone)
 
 
+def grouped(docs: DataFrame, id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(doc, fp) per row of docs, and per fingerprint (fp, component, component_id, winner).
+
+    component is a fingerprint of the group, component_id the smallest id in it and winner the
+    fingerprint of a row with that id, the smallest if there are several.
+    """
+    marked = pin(fingerprints(docs.select(F.col(f"`{id}`").alias("doc"), F.col(f"`{text}`").alias("text")), "doc", "text"))
+    per = pin(marked.groupBy("fp").agg(F.min("doc").alias("least")))
+    groups = pin(linked(per))
+    labelled = per.join(groups, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    least = labelled.groupBy("component").agg(F.min(F.when(F.col("least").isNotNull(), F.struct("least", "fp"))).alias("x"))
+    least = least.select("component", F.col("x.least").alias("component_id"), F.col("x.fp").alias("winner"))
+    return marked, pin(labelled.join(pin(least), "component").select("fp", "component", "component_id", "winner"))
+
+
 def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of docs: id, fingerprint (16 hex digits) and component_id.
 
@@ -194,25 +211,30 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text") ->
     bits, the row's own included.  Rows without words share fingerprint 0.  Null ids take part and
     get the smallest id of their component, null if there is none.  Other columns are ignored.
     """
-    marked = pin(fingerprints(docs, id, text))
-    per = pin(marked.groupBy("fp").agg(F.min(id).alias("least")))
-    groups = pin(linked(per))
-    labelled = per.join(groups, "fp", "left")
-    least = pin(labelled.where("component is not null").groupBy("component").agg(F.min("least").alias("smallest")))
-    ids = labelled.join(least, "component", "left").select("fp", F.coalesce("smallest", "least").alias("component_id"))
-    return (
-        marked.join(pin(ids), "fp", "left")
-        .withColumn("fingerprint", F.lpad(F.lower(F.hex("fp")), 16, "0"))
-        .select(id, "fingerprint", "component_id")
-    )
+    marked, groups = grouped(docs, id, text)
+    rows = marked.join(groups.select("fp", "component_id"), "fp", "left")
+    return rows.select(F.col("doc").alias(id), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents, with all columns, that have the smallest id of their component.
+    """One row, with all columns, of every group of near-duplicates: one with the group's smallest id.
 
-    Rows that repeat a kept id stay as one of them; rows with a null id are not judged and stay.
+    Of several rows with that id in one group the smallest stays, by the text and then all columns in
+    order; rows that share an id but lie in different groups are kept each.  Rows with a null id are
+    not judged and stay.
     """
-    kept = near_duplicates(docs.where(F.col(f"`{id}`").isNotNull()), id, text).where(F.col(id) == F.col("component_id"))
-    kept = pin(kept.select(id).distinct())
-    stay = docs.join(kept, id, "left_semi").dropDuplicates([id])
-    return stay.unionByName(docs.where(F.col(f"`{id}`").isNull()))
+    named = docs.where(F.col(f"`{id}`").isNotNull())
+    marked, groups = grouped(named, id, text)
+    winners = groups.where("fp = winner").select(F.col("component_id").alias("doc"), "fp").distinct()
+    times = marked.groupBy("doc").agg(F.count(F.lit(1)).alias("n"))
+    kept = pin(winners.join(times, "doc"))
+    # nearly all ids have one row, and that is the winner
+    once = kept.where("n = 1").select(F.col("doc").alias(id))
+    stay = named.join(once, id, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    # where an id repeats, the rows are told apart by their fingerprints
+    again = pin(kept.where("n > 1").select("doc", "fp"))
+    row = F.struct(F.col(f"`{text}`").alias("_body"), F.struct("*").alias("_row")).alias("row")
+    repeated = named.join(again.select(F.col("doc").alias(id)).distinct(), id, "left_semi").select(F.col(f"`{id}`").alias("doc"), row)
+    repeated = fingerprints(repeated.select(F.struct("doc", "row").alias("all"), F.col("row._body").alias("text")), "all", "text")
+    repeated = repeated.select("all.doc", "all.row", "fp").join(again, ["doc", "fp"]).groupBy("doc", "fp").agg(F.min("row").alias("row"))
+    return stay.unionByName(repeated.select("row._row.*")).unionByName(docs.where(F.col(f"`{id}`").isNull()))
