@@ -81,7 +81,7 @@ def main() -> None:
     records, _ = sn.audit_records(spark, FOLDER)
     jobs = {
         "sessionise": lambda: run(raw.events),
-        "case_metrics": lambda: run(case_metrics(stored.events, stored.cases, BASELINE, scale)),
+        "case_metrics": lambda: run(case_metrics(stored.events, stored.cases, BASELINE, stored.scale)),
         "baseline_analysis": lambda: baseline(spark, stored),
         "process_mining": lambda: mining_pass(spark, stored),
         "both_replays": lambda: replays(spark, stored),

@@ -61,7 +61,8 @@ def scan(
         "highest": dict(highest or {}),
     }
     if cluster and (scale.fits(*cluster) or not _oversized(df, cluster, scale)):
-        df = df.repartition(*cluster)
+        if list(cluster) != [scale.stored_by]:
+            df = df.repartition(*cluster)
         return _plain(df, list(key), list(order), position, parts)
     if scale.fits(*key):
         return _plain(df, list(key), list(order), position, parts)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
 from datetime import datetime
 from functools import cached_property
 
@@ -12,7 +13,7 @@ from ..operators import bottlenecks as bn
 from ..operators import cohorts, conformance, mining, opportunities, quality, variants
 from ..operators.metrics import case_metrics
 from ..operators.timeline import case_flags, timeline
-from ..session import Scale, pin
+from ..session import Scale, pin, pin_by
 from ..sources.tables import EventLog, session_log
 from ..spec import (
     BaselineSpec,
@@ -29,6 +30,14 @@ BASELINE = BaselineSpec(cutoff=datetime(2024, 2, 15), calendar=UTC)
 MINING = MiningSpec(calendar=UTC)
 
 
+def stored(log: EventLog) -> EventLog:
+    """The log written to the shared folder: in buckets of the case, unless a case may be too large for a task."""
+    if not log.scale.fits("case_id"):
+        return EventLog(pin(log.events), pin(log.cases), log.scale, stored=True)
+    scale = replace(log.scale, stored_by="case_id")
+    return EventLog(pin_by(log.events, "case_id"), pin_by(log.cases, "case_id"), scale, stored=True)
+
+
 class Workspace:
     """Baseline, mining and opportunity tables of one event log.
 
@@ -48,7 +57,7 @@ class Workspace:
         store: bool = False,
     ) -> None:
         if store and not log.stored:
-            log = EventLog(pin(log.events), pin(log.cases), log.scale, stored=True)
+            log = stored(log)
         self.log, self.spec, self.mspec, self.store = log, baseline, mining_spec, store
         self.strict, self.governed = strict or strict_model(), governed or governed_model()
         self.spark = log.events.sparkSession
@@ -61,8 +70,10 @@ class Workspace:
     def scale(self) -> Scale:
         return self.log.scale
 
-    def _kept(self, df: DataFrame) -> DataFrame:
-        return pin(df) if self.store else df
+    def _kept(self, df: DataFrame, by_case: bool = False) -> DataFrame:
+        if not self.store:
+            return df
+        return pin_by(df, "case_id", spread=False) if by_case and self.scale.stored_by else pin(df)
 
     # --- baseline ---------------------------------------------------------
     @cached_property
@@ -75,7 +86,7 @@ class Workspace:
 
     @cached_property
     def wide(self) -> DataFrame:
-        return self._kept(case_metrics(self.log.events, self.log.cases, self.spec, self.scale))
+        return self._kept(case_metrics(self.log.events, self.log.cases, self.spec, self.scale), by_case=True)
 
     @cached_property
     def rollup(self) -> DataFrame:
@@ -98,7 +109,7 @@ class Workspace:
     def plog(self) -> DataFrame:
         mapping = mining.activity_mapping(self.spark)
         return self._kept(
-            mining.process_log(self.log.events, self.log.cases, mapping, self.spec, self.scale)
+            mining.process_log(self.log.events, self.log.cases, mapping, self.spec, self.scale), by_case=True
         )
 
     @cached_property

@@ -62,12 +62,34 @@ def pin(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def pin_by(df: DataFrame, key: str, spread: bool = True) -> DataFrame:
+    """Like `pin`, stored in buckets of the key: later windows, groups and joins by it need no shuffle.
+
+    For tables whose keys all fit a task (see Scale).  spread: deal the rows out by key before they
+    are written, so a bucket is one file; not needed where they lie together by the key already.
+    There are as many buckets as shuffle partitions.  The table is known to the session's catalog
+    under a name of its own, its files lie in the shared folder.
+    """
+    spark = df.sparkSession
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = f"traceloom_{uuid.uuid4().hex}"
+    rows = df.repartition(buckets, key) if spread else df
+    before = spark.conf.get(CLEANUP_CONF, None)
+    spark.conf.set(CLEANUP_CONF, "true")
+    try:
+        rows.write.format("parquet").option("path", f"{shared_folder(spark)}/{name}").bucketBy(buckets, key).saveAsTable(name)
+    finally:
+        spark.conf.unset(CLEANUP_CONF) if before is None else spark.conf.set(CLEANUP_CONF, before)
+    return spark.table(name)
+
+
 @dataclass(frozen=True)
 class Scale:
     """How many rows there are, and how many one value of a key column can have.
 
     rows     upper bound of all rows, hence of any group
     bounds   (column, most rows of one value) pairs that have been measured
+    stored_by  the tables are stored in buckets of this column, so its rows lie together already
 
     While the bound of a key is within the limit, plain windows and exact
     aggregates are safe for it.  Beyond it the operators use their split forms.
@@ -76,6 +98,7 @@ class Scale:
     rows: int
     limit: int = ROWS_DEFAULT
     bounds: tuple[tuple[str, int], ...] = ()
+    stored_by: str | None = None
 
     @property
     def small(self) -> bool:
