@@ -663,29 +663,37 @@ def cumulative_coverage(spark, folder):
     return got.withColumn("rank", F.col("rank").cast("long"))
 
 
+def complexity_sql(traces: str, log: str = "pl", pairs: str = "edges") -> str:
+    """All log-level measures of a log whose variants are `cv`, `cores` with a suffix; rework and hand-offs of all cases."""
+    cv, cores, tot, ranked = (f"{name}{traces}" for name in ("cv", "cores", "tot", "ranked"))
+    return f"""SELECT 'distinct_activity_count' AS measure, CAST(count(DISTINCT activity) AS DOUBLE) AS number FROM {log}
+UNION ALL SELECT 'distinct_transition_count', count(DISTINCT (source, target)) FROM {pairs}
+UNION ALL SELECT 'distinct_variant_count', count(*) FROM {cores}
+UNION ALL SELECT 'top_1_variant_coverage', sum(cases) FILTER (WHERE r <= 1) / any_value(t) FROM {ranked}, {tot}
+UNION ALL SELECT 'top_5_variant_coverage', sum(cases) FILTER (WHERE r <= 5) / any_value(t) FROM {ranked}, {tot}
+UNION ALL SELECT 'top_10_variant_coverage', sum(cases) FILTER (WHERE r <= 10) / any_value(t) FROM {ranked}, {tot}
+UNION ALL SELECT 'long_tail_variant_count', count(*) FILTER (WHERE class = 'rare') FROM {cores}
+UNION ALL SELECT 'mean_activities_per_case', avg(length) FROM {cv}
+UNION ALL SELECT 'median_activities_per_case', median(length) FROM {cv}
+UNION ALL SELECT 'maximum_activities_per_case', max(length) FROM {cv}
+UNION ALL SELECT 'loop_case_rate', count(*) FILTER (WHERE len(list_distinct(acts)) < len(acts)) / count(*) FROM {cv}
+UNION ALL SELECT 'rework_case_rate', count(*) FILTER (WHERE rework_count > 0) / (SELECT t FROM {tot}) FROM cm
+UNION ALL SELECT 'handoff_case_rate', count(*) FILTER (WHERE handoffs > 0) / (SELECT t FROM {tot}) FROM cm
+UNION ALL SELECT 'terminal_path_diversity', count(DISTINCT activity) FROM {log} WHERE next_activity IS NULL
+UNION ALL SELECT 'variant_entropy_bits', -sum(cases / t * log2(cases / t)) FROM {cores}, {tot}"""
+
+
+def ranks_sql(traces: str = "") -> str:
+    return (
+        f", tot{traces} AS (SELECT count(*) AS t FROM cv{traces}), "
+        f"ranked{traces} AS (SELECT cases, row_number() OVER (ORDER BY cases DESC, variant_id) AS r FROM cores{traces})"
+    )
+
+
 @query(
     "complexity",
     with_(
-        q.CM
-        + q.PL_FROM_TL
-        + q.VARIANTS_FROM_PL
-        + ", tot AS (SELECT count(*) AS t FROM cv), ranked AS (SELECT cases, row_number() OVER (ORDER BY cases DESC, variant_id) AS r FROM cores)",
-        """SELECT measure, round(number, 6) AS number FROM (
-SELECT 'distinct_activity_count' AS measure, CAST(count(DISTINCT activity) AS DOUBLE) AS number FROM pl
-UNION ALL SELECT 'distinct_transition_count', count(DISTINCT (source, target)) FROM edges
-UNION ALL SELECT 'distinct_variant_count', count(*) FROM cores
-UNION ALL SELECT 'top_1_variant_coverage', sum(cases) FILTER (WHERE r <= 1) / any_value(t) FROM ranked, tot
-UNION ALL SELECT 'top_5_variant_coverage', sum(cases) FILTER (WHERE r <= 5) / any_value(t) FROM ranked, tot
-UNION ALL SELECT 'top_10_variant_coverage', sum(cases) FILTER (WHERE r <= 10) / any_value(t) FROM ranked, tot
-UNION ALL SELECT 'long_tail_variant_count', count(*) FILTER (WHERE class = 'rare') FROM cores
-UNION ALL SELECT 'mean_activities_per_case', avg(length) FROM cv
-UNION ALL SELECT 'median_activities_per_case', median(length) FROM cv
-UNION ALL SELECT 'maximum_activities_per_case', max(length) FROM cv
-UNION ALL SELECT 'loop_case_rate', count(*) FILTER (WHERE len(list_distinct(acts)) < len(acts)) / count(*) FROM cv
-UNION ALL SELECT 'rework_case_rate', count(*) FILTER (WHERE rework_count > 0) / (SELECT t FROM tot) FROM cm
-UNION ALL SELECT 'handoff_case_rate', count(*) FILTER (WHERE handoffs > 0) / (SELECT t FROM tot) FROM cm
-UNION ALL SELECT 'terminal_path_diversity', count(DISTINCT activity) FROM pl WHERE next_activity IS NULL
-UNION ALL SELECT 'variant_entropy_bits', -sum(cases / t * log2(cases / t)) FROM cores, tot)""",
+        q.CM + q.PL_FROM_TL + q.VARIANTS_FROM_PL + ranks_sql(), f"SELECT measure, round(number, 6) AS number FROM ({complexity_sql('')})"
     ),
 )
 def complexity(spark, folder):
