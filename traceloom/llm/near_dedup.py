@@ -229,7 +229,8 @@ def keep_one(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFra
     times = marked.groupBy("doc").agg(F.count(F.lit(1)).alias("n"))
     kept = pin(winners.join(times, "doc"))
     # nearly all ids have one row, and that is the winner
-    once = kept.where("n = 1").select(F.col("doc").alias(id))
+    # one plan at every size: the documents are shuffled by their ids once, and so are the ids kept
+    once = kept.where("n = 1").select(F.col("doc").alias(id)).hint("merge")
     stay = named.join(once, id, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
     # where an id repeats, the rows are told apart by their fingerprints
     again = pin(kept.where("n > 1").select("doc", "fp"))
