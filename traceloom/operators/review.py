@@ -24,6 +24,8 @@ AUDIT_COLUMNS = (
     "action",
     "object_id",
 )
+#: Lists that belong to a record's content; a table without one has empty lists.
+AUDIT_LISTS = ("input_references", "output_references", "reason_codes")
 
 
 def minutes_between(start: Column, end: Column) -> Column:
@@ -343,13 +345,17 @@ def topk_capacity(rows: DataFrame, key: list[str], order: list[str], capacity: i
     return scan(rows, key, order, scale, position="slot").where(F.col("slot") < capacity)
 
 
-def _payload() -> Column:
+def _payload(columns: list[str]) -> Column:
+    """Hash of a record's content: its columns, then the length and the entries of each list in order."""
     parts = [
         F.coalesce(
             F.unix_micros(c).cast("string") if c == "occurred_at" else F.col(c).cast("string"), F.lit("")
         )
         for c in AUDIT_COLUMNS
     ]
+    for name in AUDIT_LISTS:
+        entries = F.coalesce(F.col(name), F.array().cast("array<string>")) if name in columns else F.array().cast("array<string>")
+        parts.append(F.concat(F.size(entries).cast("string"), F.lit(":"), F.array_join(entries, "\x1e", "")))
     return F.sha2(F.concat_ws(SEP, *parts), 256)
 
 
@@ -366,8 +372,8 @@ def audit_build(records: DataFrame, scale: Scale) -> DataFrame:
     numbered = scan(
         records.drop("seq"), ["chain_id"], ["occurred_at", "audit_id"], scale, position="_p"
     ).withColumn("seq", (F.col("_p") + 1).cast("long"))
-    rows = numbered.withColumn("payload", _payload()).drop("_p")
-    kept = ["audit_id", "seq", "occurred_at", "actor_role", "action", "object_id"]
+    rows = numbered.withColumn("payload", _payload(numbered.columns)).drop("_p")
+    kept = ["audit_id", "seq", "occurred_at", "actor_role", "action", "object_id", *[c for c in AUDIT_LISTS if c in rows.columns]]
 
     def step(before, row):
         import hashlib
@@ -384,7 +390,7 @@ def audit_build(records: DataFrame, scale: Scale) -> DataFrame:
 def audit_verify(chain: DataFrame, scale: Scale) -> DataFrame:
     """Adds `broken` to each record: wrong number, wrong link, or changed content.  Parallel."""
     looked = scan(
-        chain.withColumn("payload", _payload()),
+        chain.withColumn("payload", _payload(chain.columns)),
         ["chain_id"],
         ["seq", "audit_id"],
         scale,

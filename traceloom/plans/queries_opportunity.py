@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import vocab
+from ..operators import cohorts
 from ..operators import opportunities as op
 from ..sources.files import research_problems
 from ..sources.snapshots import research_observations
@@ -290,15 +291,65 @@ def distinct_pairs(spark, folder):
 
 @query(
     "research_flatten_validate",
-    f"""WITH {OBS.strip()} SELECT problem, count(*) AS rows FROM (
-  SELECT 'unknown_contradiction' AS problem FROM obs WHERE other IS NOT NULL AND other NOT IN (SELECT observation_id FROM obs)
-  UNION ALL SELECT 'repeated_observation' FROM obs GROUP BY observation_id HAVING count(*) > 1) GROUP BY 1""",
+    f"""WITH {OBS.strip()}, spoilt AS (
+  SELECT session_id, observation_id, role, CASE WHEN observation_id LIKE '%-1' AND session_id LIKE '%3' THEN 'someone' ELSE role END AS session_role,
+    CASE WHEN session_id LIKE '%9' THEN 'P-shared' ELSE session_id END AS participant_id,
+    CASE WHEN other IS NOT NULL AND session_id LIKE '%5' THEN other || 'x' ELSE other END AS other FROM obs
+  UNION ALL SELECT session_id, observation_id, role, role, session_id, other FROM obs WHERE observation_id LIKE '%-2' AND session_id LIKE '%7')
+SELECT problem, count(*) AS rows FROM (
+  SELECT 'unknown_contradiction' AS problem FROM spoilt WHERE other IS NOT NULL AND other NOT IN (SELECT observation_id FROM spoilt)
+  UNION ALL SELECT 'repeated_observation' FROM spoilt GROUP BY observation_id HAVING count(*) > 1
+  UNION ALL SELECT 'role_differs' FROM spoilt WHERE role <> session_role
+  UNION ALL SELECT 'repeated_participant' FROM spoilt GROUP BY participant_id HAVING count(DISTINCT session_id) > 1) GROUP BY 1""",
 )
 def research_flatten_validate(spark, folder):
-    got = research_problems(research_observations(spark, folder, _ARCH))
+    """A pack with every kind of fault in it: all are found."""
+    told = research_observations(spark, folder, _ARCH)
+    at = lambda observation, session: F.col("observation_id").endswith(observation) & F.col("session_id").endswith(session)
+    again = told.where(at("-2", "7")).withColumn("participant_id", F.col("session_id"))
+    unknown = F.transform("contradicts", lambda x: F.concat(x, F.lit("x")))
+    spoilt = told.withColumns(
+        {
+            "session_role": F.when(at("-1", "3"), "someone").otherwise(F.col("session_role")),
+            "participant_id": F.when(F.col("session_id").endswith("9"), "P-shared").otherwise(F.col("session_id")),
+            "contradicts": F.when(F.col("session_id").endswith("5"), unknown).otherwise(F.col("contradicts")),
+        }
+    )
+    got = research_problems(spoilt.unionByName(again))
     return got.groupBy("problem").agg(F.count(F.lit(1)).alias("rows"))
 
 
+# planted patterns as the process candidates that should show them
+EXPECTED = (
+    ("missing_information", "referral_source_rework_path", "referral_source", "gp_practice"),
+    ("slow_assignment", "service_line_assignment_delay", "service_line", "neurology"),
+    ("scheduling", "service_line_scheduling_retries", "service_line", "respiratory"),
+    ("reassignment", "service_line_reassignment", "service_line", "dermatology"),
+)
+
+
+@query(
+    "join_expected_candidates",
+    with_(
+        EVIDENCE
+        + "expected(pattern, candidate_type, dimension, value) AS (VALUES "
+        + ", ".join(str(x) for x in EXPECTED)
+        + ")",
+        """SELECT pattern, dimension, value, count(candidate_id) AS matches, coalesce(max(cases), 0) AS sample_size,
+  CASE WHEN count(candidate_id) > 0 THEN 'detected' ELSE 'missed' END AS outcome
+FROM expected LEFT JOIN cand USING (candidate_type, dimension, value) GROUP BY 1, 2, 3
+UNION ALL SELECT '(extra)', dimension, value, count(*), max(cases), 'extra' FROM cand c
+WHERE NOT EXISTS (SELECT 1 FROM expected x WHERE x.candidate_type = c.candidate_type AND x.dimension = c.dimension AND x.value = c.value) GROUP BY 2, 3""",
+    ),
+)
+def join_expected_candidates(spark, folder):
+    found = portfolio(spark, folder).ws.candidates.select(
+        F.col("candidate_type").alias("finding_type"), "dimension", "value", F.col("candidate_id").alias("finding_id"), F.col("cases").alias("cohort_cases")
+    )
+    rows = [(p, [kind], d, v) for p, kind, d, v in EXPECTED]
+    return cohorts.expected_labels(found, spark.createDataFrame(rows, "pattern string, finding_types array<string>, dimension string, value string"))
+
+
 @query("opportunity_seeds", with_(SEEDS, "SELECT target_id, rule_id, archetype, dimension, value, stage FROM seed"))
 def opportunity_seeds(spark, folder):
     return portfolio(spark, folder).seeds.drop("opportunity_id")

@@ -578,11 +578,14 @@ AUDIT = (
     + f""",
 au AS (
   SELECT CAST(user_id AS VARCHAR) AS chain_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq,
-    lpad(CAST(event_id AS VARCHAR), 12, '0') AS audit_id, epoch_us(ts) AS us, {_ACTION} AS action
+    lpad(CAST(event_id AS VARCHAR), 12, '0') AS audit_id, epoch_us(ts) AS us, {_ACTION} AS action,
+    '2:case-' || user_id || chr(30) || {qi._sid('event_id')} AS inputs,
+    CASE WHEN event_type = 'purchase' THEN '1:task-' || event_id ELSE '0:' END AS outputs,
+    CASE k % 4 WHEN 0 THEN '2:late' || chr(30) || 'checked' WHEN 1 THEN '1:late' ELSE '0:' END AS reasons
   FROM raw WHERE event_type IN {CHAIN_KINDS}
 ),
 pay AS (SELECT *, sha256(audit_id || chr(31) || chain_id || chr(31) || seq || chr(31) || us || chr(31) || 'admin_reviewer' || chr(31)
-  || action || chr(31) || audit_id) AS payload FROM au),
+  || action || chr(31) || audit_id || chr(31) || inputs || chr(31) || outputs || chr(31) || reasons) AS payload FROM au),
 link AS (
   SELECT chain_id, seq, audit_id, CAST(NULL AS VARCHAR) AS prev, sha256(payload) AS fp FROM pay WHERE seq = 1
   UNION ALL SELECT p.chain_id, p.seq, p.audit_id, l.fp, sha256(p.payload || l.fp) FROM link l JOIN pay p
@@ -606,7 +609,7 @@ def audit_build(spark, folder):
     "audit_verify",
     with_(
         AUDIT,
-        "SELECT count(*) AS records, count(DISTINCT chain_id) AS chains, count(*) FILTER (WHERE CAST(audit_id AS BIGINT) % 1000 = 7) AS broken_links FROM au",
+        "SELECT count(*) AS records, count(DISTINCT chain_id) AS chains, count(*) FILTER (WHERE CAST(audit_id AS BIGINT) % 1000 IN (7, 8)) AS broken_links FROM au",
     ),
 )
 def audit_verify(spark, folder):
@@ -615,6 +618,8 @@ def audit_verify(spark, folder):
     # change the content of some records: each must be found, and only those
     bad = F.pmod(F.col("audit_id").cast("long"), F.lit(1000)) == 7
     tampered = chain.withColumn("actor_role", F.when(bad, "someone_else").otherwise(F.col("actor_role")))
+    reworded = F.pmod(F.col("audit_id").cast("long"), F.lit(1000)) == 8
+    tampered = tampered.withColumn("reason_codes", F.when(reworded, F.array(F.lit("other"))).otherwise(F.col("reason_codes")))
     return review.audit_summary(review.audit_verify(tampered, scale))
 
 
@@ -714,6 +719,31 @@ def scan_jsonl_labels(spark, folder):
     return good.select("label_id", "case_id", "valid_from", "valid_until", "status")
 
 
+@query(
+    "scan_jsonl_bad_lines",
+    with_(
+        qi.SNAP + qi.LAB,
+        """SELECT 'snapshots' AS entity, count(*) FILTER (WHERE snapshot_id NOT LIKE '%7') AS good, count(*) FILTER (WHERE snapshot_id LIKE '%7') AS bad FROM sn
+UNION ALL SELECT 'labels', count(*) FILTER (WHERE label_id NOT LIKE '%7'), count(*) FILTER (WHERE label_id LIKE '%7') FROM lab""",
+    ),
+)
+def scan_jsonl_bad_lines(spark, folder):
+    """Lines that were cut off are told apart from the good ones and keep their text."""
+    e, found = table(spark, folder, "events"), []
+    for entity, rows, id, read in (
+        ("snapshots", sn.snapshots(e), "snapshot_id", files.read_snapshots),
+        ("labels", sn.label_intervals(e), "label_id", files.read_labels),
+    ):
+        line = F.to_json(F.struct(*rows.columns), {"timestampFormat": sinks.JSON_TIME})
+        path = _place(spark)
+        cut = F.substring(line, F.lit(1), F.length(line) - 9)
+        rows.select(F.when(F.col(id).endswith("7"), cut).otherwise(line)).write.text(path)
+        good, bad = read(spark, path)
+        one = good.agg(F.count(F.lit(1)).alias("good")).crossJoin(F.broadcast(bad.agg(F.count(F.lit(1)).alias("bad"))))  # one row each
+        found.append(one.select(F.lit(entity).alias("entity"), "good", "bad"))
+    return reduce(DataFrame.unionByName, found)
+
+
 @query(
     "scan_bundle_json",
     with_(

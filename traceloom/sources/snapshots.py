@@ -273,6 +273,7 @@ def audit_records(spark: SparkSession, folder: str) -> tuple[DataFrame, Scale]:
         F.lit("click"), F.lit("draft_review"), F.lit("purchase"), F.lit("committed_task"),
         F.lit("error"), F.lit("rollback_task"),
     )
+    none = F.array().cast("array<string>")
     return (
         e.select(
             F.lpad(F.col("event_id").cast("string"), 12, "0").alias("audit_id"),
@@ -282,6 +283,14 @@ def audit_records(spark: SparkSession, folder: str) -> tuple[DataFrame, Scale]:
             F.lit("admin_reviewer").alias("actor_role"),
             action[F.col("event_type")].alias("action"),
             F.lpad(F.col("event_id").cast("string"), 12, "0").alias("object_id"),
+            F.array(F.concat(F.lit("case-"), F.col("user_id").cast("string")), snapshot_id(F.col("event_id"))).alias("input_references"),
+            F.when(F.col("event_type") == "purchase", F.array(F.concat(F.lit("task-"), F.col("event_id").cast("string"))))
+            .otherwise(none)
+            .alias("output_references"),
+            F.when(F.pmod(_k(), F.lit(4)) == 0, F.array(F.lit("late"), F.lit("checked")))
+            .when(F.pmod(_k(), F.lit(4)) == 1, F.array(F.lit("late")))
+            .otherwise(none)
+            .alias("reason_codes"),
         ),
         scale,
     )
