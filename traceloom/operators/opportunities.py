@@ -602,6 +602,7 @@ def readiness_score() -> Column:
     return (F.lit(fixed) + F.col("stable_rules") + F.col("integration") + review) / 8
 
 
+# fixed values: the weights and limits in the scores above and the grades below
 def _grade(score: Column, high: float, moderate: float) -> Column:
     return F.when(score >= high, "high").when(score >= moderate, "moderate").otherwise("low")
 

@@ -1026,14 +1026,6 @@ def graph_tables(spark, folder):
     return tidy(nodes.drop("rework_cases"))
 
 
-@query("graph_edges")
-def graph_edges(spark, folder):
-    ws = Workspace.of_sessions(spark, folder, store=True)
-    paths = variants.variant_paths(ws.steps, ws.scale)
-    bad = conformance.deviating_edges(paths, ws.cores, ws.governed_status)
-    return tidy(mining.graph_edges(ws.transitions, ws.candidates, bad))
-
-
 @query(
     "serving_tables",
     with_(

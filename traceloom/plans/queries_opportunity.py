@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import vocab
-from ..operators import cohorts
+from ..operators import cohorts, conformance, mining, variants
 from ..operators import opportunities as op
 from ..sources.files import research_problems
 from ..sources.snapshots import research_observations
@@ -284,6 +284,29 @@ def evidence_quality(spark, folder):
     return op.evidence_quality(portfolio(spark, folder).evidence)
 
 
+@query(
+    "graph_edges",
+    with_(
+        EVIDENCE.rstrip().rstrip(","),
+        """SELECT t.transition_id AS edge_id, 'activity-' || substr(sha256(t.source), 1, 12) AS source_node,
+  'activity-' || substr(sha256(t.target), 1, 12) AS target_node, t.frequency, t.cases, round(hours_median, 6) AS hours_median,
+  round(hours_p75, 6) AS hours_p75, round(hours_p90, 6) AS hours_p90, round(hours_p95, 6) AS hours_p95, round(work_median, 6) AS work_median,
+  round(handoff_rate, 6) AS handoff_rate, round(rework_rate, 6) AS rework_rate, round(coalesce(d.n, 0) / t.cases, 6) AS deviation_rate, bottleneck
+FROM ts t
+LEFT JOIN (SELECT source, target, count(DISTINCT case_id) AS n FROM edges JOIN cv USING (case_id)
+  WHERE variant_id IN (SELECT variant_id FROM gdev) GROUP BY 1, 2) d ON d.source = t.source AND d.target = t.target
+LEFT JOIN (SELECT subject, max_by(CASE WHEN (observed - comparison) / comparison >= 0.5 THEN 'strong' WHEN (observed - comparison) / comparison >= 0.2
+    THEN 'material' ELSE 'small' END, candidate_id) AS bottleneck FROM cand WHERE contains(subject, ' -> ') GROUP BY 1) b
+  ON b.subject = t.source || ' -> ' || t.target""",
+    ),
+)
+def graph_edges(spark, folder):
+    """Edges for display with the share of deviating cases and the bottleneck found on them."""
+    ws = portfolio(spark, folder).ws
+    bad = conformance.deviating_edges(variants.variant_paths(ws.steps, ws.scale), ws.cores, ws.governed_status)
+    return tidy(mining.graph_edges(ws.transitions, ws.candidates, bad))
+
+
 @query("distinct_pairs", f"WITH {OBS.strip()} SELECT left_id, right_id FROM clash")
 def distinct_pairs(spark, folder):
     return op.contradiction_pairs(research_observations(spark, folder, _ARCH)).select("left_id", "right_id")

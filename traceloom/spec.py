@@ -8,6 +8,9 @@ from datetime import datetime
 from . import vocab
 
 
+# fixed values: the defaults of all classes below; results depend on them
+
+
 @dataclass(frozen=True)
 class Roles:
     """Which event types play which part in the per-case metrics."""
