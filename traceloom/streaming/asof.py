@@ -9,57 +9,74 @@ from __future__ import annotations
 import sys
 from collections.abc import Iterator
 
-import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 _NEWS = "case_id string, event long, known long, status string"
+_News = Row(*(part.strip().split(" ")[0] for part in _NEWS.split(",")))
 
 
 class _History(StatefulProcessor):
-    """The facts of one case, (event time, id) -> (time of knowledge, status), and the newest event time told."""
+    """The facts of one case, (event time, id, time of knowledge, status), and the newest event time told.
+
+    Every access to state is a message to the JVM: a call reads the facts of a known case once and
+    adds all new ones at once.
+    """
 
     def __init__(self, keep: int) -> None:
         self.keep = keep
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.facts = handle.getMapState("facts", "event long, id string", "known long, status string")
+        self.facts = handle.getListState("facts", "event long, id string, known long, status string")
         self.told = handle.getValueState("told", "event long, id string, sweep long")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        event, id, sweep = self.told.get() if self.told.exists() else (None, None, None)
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        told = self.told.get()
+        event, id, sweep = told or (None, None, None)
+        held = {(e, i): (known, status) for e, i, known, status in self.facts.get()} if told else {}
+        fresh: dict[tuple, tuple] = {}
         newest = None
-        for frame in rows:
-            for e, i, known, status in frame[["event", "id", "known", "status"]].itertuples(index=False, name=None):
-                if self.facts.containsKey((e, i)) and self.facts.getValue((e, i))[0] <= known:
-                    continue  # known before
-                self.facts.updateValue((e, i), (known, status))
-                if event is None or (e, i) > (event, id):
-                    event, id, newest = e, i, (key[0], e, known, status)
-                if sweep is None:
-                    sweep = (known + self.keep) // 1000 + 1
-                    self.handle.registerTimer(sweep)
-        self.told.update((event, id, sweep))
-        if newest:
-            yield pd.DataFrame([newest], columns=[n.strip().split(" ")[0] for n in _NEWS.split(",")])
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        for row in rows:
+            e, i, known, status = row["event"], row["id"], row["known"], row["status"]
+            if e is None or known is None:
+                continue  # it is known at no time
+            before = fresh.get((e, i)) or held.get((e, i))
+            if before and before[0] <= known:
+                continue  # known before
+            fresh[e, i] = (known, status)
+            if event is None or (e, i or "") > (event, id or ""):
+                event, id, newest = e, i, (key[0], e, known, status)
+            if sweep is None:
+                sweep = (known + self.keep) // 1000 + 1
+                self.handle.registerTimer(sweep)
+        if any(fact in held for fact in fresh):  # known earlier than was thought
+            self.facts.put([(*k, *v) for k, v in (held | fresh).items()])
+        elif fresh:
+            self.facts.appendList([(*k, *v) for k, v in fresh.items()])
+        if fresh or not told:
+            self.told.update((event, id, sweep))
+        return iter([_News(*newest)] if newest else ())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         horizon = timerValues.getCurrentWatermarkInMs() * 1000 - self.keep
-        facts = sorted(((*k, *v) for k, v in self.facts.iterator()), reverse=True)
+        facts = sorted(self.facts.get(), key=lambda f: (f[0], f[1] or ""), reverse=True)
         answered = False
         youngest = None
-        for event, id, known, _ in facts:
+        kept = []
+        for event, id, known, status in facts:
             # of the old ones only those stay that a time within `keep` may still ask for
             if answered and event < horizon:
-                self.facts.removeKey((event, id))
                 continue
+            kept.append((event, id, known, status))
             answered = answered or (event < horizon and known <= horizon)
             if event >= horizon or known > horizon:
                 until = max(event, known)
                 youngest = until if youngest is None else min(youngest, until)
+        if len(kept) < len(facts):
+            self.facts.put(kept)
         event, id, _ = self.told.get()
         sweep = None if youngest is None else (youngest + self.keep) // 1000 + 1
         if sweep is not None:
@@ -80,7 +97,7 @@ def remember(facts: DataFrame, keep_days: int = 400, watermark: str = "0 seconds
     rows = facts.withWatermark("known_at", watermark).select(
         "case_id", "id", "status", "known_at", F.unix_micros("event_at").alias("event"), F.unix_micros("known_at").alias("known")
     )
-    got = rows.groupBy("case_id").transformWithStateInPandas(
+    got = rows.groupBy("case_id").transformWithState(
         statefulProcessor=_History(keep_days * 86_400_000_000), outputStructType=_NEWS, outputMode="Append", timeMode="EventTime"
     )
     return got.select("case_id", F.timestamp_micros("event").alias("event_at"), F.timestamp_micros("known").alias("known_at"), "status")
@@ -94,10 +111,10 @@ def facts_known(spark: SparkSession, checkpoint: str, batch: int | None = None)
     state = reader.load(checkpoint)
     return state.select(
         F.col("key.case_id").alias("case_id"),
-        F.col("user_map_key.id").alias("id"),
-        F.timestamp_micros("user_map_key.event").alias("event_at"),
-        F.timestamp_micros("user_map_value.known").alias("known_at"),
-        F.col("user_map_value.status").alias("status"),
+        F.col("list_element.id").alias("id"),
+        F.timestamp_micros("list_element.event").alias("event_at"),
+        F.timestamp_micros("list_element.known").alias("known_at"),
+        F.col("list_element.status").alias("status"),
     )
 
 
