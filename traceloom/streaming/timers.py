@@ -9,9 +9,8 @@ from __future__ import annotations
 import sys
 from collections.abc import Iterator
 
-import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -24,11 +23,12 @@ def _timer(deadline: int) -> int:
     return -(-deadline // 1000) + 1
 
 
-def _frame(rows: list[tuple], names: str) -> pd.DataFrame:
-    return pd.DataFrame(rows, columns=[n.strip().split(" ")[0] for n in names.split(",")])
+def _row(names: str) -> Row:
+    return Row(*(part.strip().split(" ")[0] for part in names.split(",")))
 
 
 _STUCK = "case_id string, progress long, stuck long"
+_Stuck = _row(_STUCK)
 
 
 class _Idle(StatefulProcessor):
@@ -46,19 +46,19 @@ class _Idle(StatefulProcessor):
         self.handle = handle
         self.spans = handle.getListState("spans", "first long, last long, ended boolean")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        spans = [tuple(s) for s in self.spans.get()] if self.spans.exists() else []
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        spans = [tuple(s) for s in self.spans.get()]
         timers = {_timer(last + self.limit) for _, last, _ in spans}
-        for frame in rows:
-            for at, end in zip(frame["at"].tolist(), (frame["kind"] == END).tolist()):
-                joined, rest = (at, at, end), []
-                for first, last, ended in spans:
-                    if joined[0] - self.limit <= last and first <= joined[1] + self.limit:
-                        late, early = max((joined[1], joined[2]), (last, ended)), min(joined[0], first)
-                        joined = (early, *late)
-                    else:
-                        rest.append((first, last, ended))
-                spans = [*rest, joined]
+        for row in rows:
+            at, end = row["at"], row["kind"] == END
+            joined, rest = (at, at, end), []
+            for first, last, ended in spans:
+                if joined[0] - self.limit <= last and first <= joined[1] + self.limit:
+                    late, early = max((joined[1], joined[2]), (last, ended)), min(joined[0], first)
+                    joined = (early, *late)
+                else:
+                    rest.append((first, last, ended))
+            spans = [*rest, joined]
         wanted = {_timer(last + self.limit) for _, last, _ in spans}
         for at in sorted(timers - wanted):
             self.handle.deleteTimer(at)
@@ -67,18 +67,16 @@ class _Idle(StatefulProcessor):
         self.spans.put(spans)
         return iter(())
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         now = expiredTimerInfo.getExpiryTimeInMs()
-        spans = [tuple(s) for s in self.spans.get()] if self.spans.exists() else []
+        spans = [tuple(s) for s in self.spans.get()]
         over = [s for s in spans if _timer(s[1] + self.limit) <= now]
         left = [s for s in spans if _timer(s[1] + self.limit) > now]
         if left:
             self.spans.put(left)
         elif spans:
             self.spans.clear()
-        found = [(key[0], last, last + self.limit) for _, last, ended in sorted(over) if not ended]
-        if found:
-            yield _frame(found, _STUCK)
+        return iter([_Stuck(key[0], last, last + self.limit) for _, last, ended in sorted(over) if not ended])
 
     def close(self) -> None:
         pass
@@ -94,17 +92,21 @@ def stuck(events: DataFrame, progress: tuple[str, ...], terminal: tuple[str, ...
     kind = F.when(F.col("event_type").isin(*progress), PROGRESS).when(F.col("event_type").isin(*terminal), END)
     rows = events.withWatermark("event_at", watermark).withColumn("kind", kind).where(F.col("kind").isNotNull())
     rows = rows.select("case_id", "event_at", "kind", F.unix_micros("event_at").alias("at"))
-    got = rows.groupBy("case_id").transformWithStateInPandas(
+    got = rows.groupBy("case_id").transformWithState(
         statefulProcessor=_Idle(int(hours * 3_600_000_000)), outputStructType=_STUCK, outputMode="Append", timeMode="EventTime"
     )
     return got.select("case_id", F.timestamp_micros("progress").alias("progress_at"), F.timestamp_micros("stuck").alias("stuck_at"))
 
 
 _EXPIRED = "owner string, draft_id string, created long, expires long"
+_Expired = _row(_EXPIRED)
 
 
 class _Drafts(StatefulProcessor):
-    """The drafts of one owner until their time is over, and the decisions on the latest of them."""
+    """The drafts of one owner until their time is over, and the decisions on the latest of them.
+
+    One timer, for the earliest of them; when it fires, all that are over by then go together.
+    """
 
     def __init__(self, life: int) -> None:
         self.life = life
@@ -113,19 +115,19 @@ class _Drafts(StatefulProcessor):
         self.handle = handle
         self.marks = handle.getListState("marks", "at long, id string, kind string")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        for frame in rows:
-            for at, kind in zip(frame["at"].tolist(), frame["kind"].tolist()):
-                # a decision may come before its draft does, and is held as long
-                self.handle.registerTimer(_timer(at + self.life))
-            self.marks.appendList(list(frame[["at", "id", "kind"]].itertuples(index=False, name=None)))
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        marks = [(row["at"], row["id"], row["kind"]) for row in rows if row["at"] is not None]
+        if marks:
+            # a decision may come before its draft does, and is held as long
+            self.handle.registerTimer(_timer(min(at for at, _, _ in marks) + self.life))
+            self.marks.appendList(marks)
         return iter(())
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if not self.marks.exists():
-            return
-        now = expiredTimerInfo.getExpiryTimeInMs()
-        marks = sorted(tuple(m) for m in self.marks.get())
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        marks = sorted((tuple(m) for m in self.marks.get()), key=lambda m: (m[0], m[1] or "", m[2]))
+        if not marks:
+            return iter(())
+        now = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs())
         found, left = [], []
         for i, (at, id, kind) in enumerate(marks):
             if _timer(at + self.life) > now:
@@ -133,13 +135,14 @@ class _Drafts(StatefulProcessor):
             elif kind == OPENED:
                 after = marks[i + 1] if i + 1 < len(marks) else None
                 if after is None or after[2] == OPENED or after[0] >= at + self.life:
-                    found.append((key[0], id, at, at + self.life))
-        if left:
-            self.marks.put(left)
-        else:
-            self.marks.clear()
-        if found:
-            yield _frame(found, _EXPIRED)
+                    found.append(_Expired(key[0], id, at, at + self.life))
+        if len(left) < len(marks):
+            if left:
+                self.marks.put(left)
+                self.handle.registerTimer(_timer(left[0][0] + self.life))
+            else:
+                self.marks.clear()
+        return iter(found)
 
     def close(self) -> None:
         pass
@@ -153,7 +156,7 @@ def expired_drafts(marks: DataFrame, hours: float, watermark: str = "0 seconds")
     """
     cloudpickle.register_pickle_by_value(sys.modules[__name__])
     rows = marks.withWatermark("at", watermark).select("owner", "id", "kind", F.col("at").alias("event_time"), F.unix_micros("at").alias("at"))
-    got = rows.groupBy("owner").transformWithStateInPandas(
+    got = rows.groupBy("owner").transformWithState(
         statefulProcessor=_Drafts(int(hours * 3_600_000_000)), outputStructType=_EXPIRED, outputMode="Append", timeMode="EventTime"
     )
     return got.select("owner", "draft_id", F.timestamp_micros("created").alias("created_at"), F.timestamp_micros("expires").alias("expires_at"))
