@@ -55,3 +55,15 @@ def test_bad_records_are_kept_aside(spark, tmp_path):
     good, bad = files.split_bundle(spark, str(tmp_path))
     assert good["events"].count() == 11 and good["cases"].count() == 1 and good["manifest"].count() == 1
     assert sorted((r.entity, json.loads(r.text).get("event_id")) for r in bad.collect()) == [("cases", None), ("events", "e4")]
+
+
+def test_records_are_cut_and_parsed_once(spark, tmp_path):
+    b = bundle(4, 30)
+    b["events"][3]["event_at"] = "yesterday"
+    (tmp_path / "b.json").write_text(json.dumps(b))
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    cut = [line for line in plan(files.bundle_records(spark, str(tmp_path))).splitlines() if "transform(split(" in line]
+    assert cut and not any("replace(" in line for line in cut)  # no count is worked out again for every part
+    good, bad = files.split_bundle(spark, str(tmp_path))
+    assert good["events"].count() == 29 and [json.loads(r.text)["event_id"] for r in bad.collect()] == ["e3"]
+    assert not any("from_json" in plan(df) for df in (*good.values(), bad))

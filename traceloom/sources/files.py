@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -100,11 +98,14 @@ def bundle_records(spark: SparkSession, path: str, scale: Scale | None = None) -
     at = F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("range")
     pieces = spark.read.option("lineSep", "}").text(path).select("value", *at, F.monotonically_increasing_id().alias("n"))
     # escaped characters are blotted out, so every quote begins or ends a string; lengths stay as they are
-    pieces = pin(pieces.withColumn("plain", F.regexp_replace("value", r"(?s)\\.", "__")))
+    plain = F.regexp_replace("value", r"(?s)\\.", "__")
+    marks = (F.length("plain") - F.length(F.replace("plain", F.lit('"'), F.lit("")))).cast("long")
+    pieces = pin(pieces.withColumn("plain", plain).withColumn("marks", marks))
     scale = scale or Scale.of(pieces, "file")
     order = ["range", "n"]
-    quotes = (F.length("plain") - F.length(F.replace("plain", F.lit('"'), F.lit("")))).cast("long")
-    rows = scan(pieces, ["file"], order, scale, running={"quotes": quotes}).withColumn("inside", (F.col("quotes") - quotes) % 2)
+    # the stored count: an expression would be worked out again for every part that `blank` looks at
+    rows = scan(pieces, ["file"], order, scale, running={"quotes": F.col("marks")})
+    rows = rows.withColumn("inside", (F.col("quotes") - F.col("marks")) % 2)
     blank = lambda x, i: F.when((i + F.col("inside")) % 2 == 0, x).otherwise(F.repeat(F.lit("_"), F.length(x)))
     bare = F.array_join(F.transform(F.split("plain", '"', -1), blank), '"')
     rows = rows.select("file", *order, "value", bare.alias("bare"), (1 - F.col("quotes") % 2).alias("closes"))
@@ -127,16 +128,22 @@ def bundle_records(spark: SparkSession, path: str, scale: Scale | None = None) -
 
 def split_bundle(spark: SparkSession, path: str, scale: Scale | None = None) -> tuple[dict[str, DataFrame], DataFrame]:
     """(entity -> rows, bad records) of nested bundles of any size; a bad record keeps its file, entity and text."""
-    records = pin(bundle_records(spark, path, scale))
-    good, bad = {}, []
+    records = bundle_records(spark, path, scale).where(F.col("entity").isin(*BUNDLE_DDL))
+    of = lambda entity: F.col("entity") == entity
+    parsed, broken = {}, F.lit(False)
+    for entity, ddl in BUNDLE_DDL.items():
+        whole = F.from_json("text", f"{ddl}, _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
+        parsed[f"_{entity}"] = F.when(of(entity), whole)
+        broken = F.when(of(entity), F.col(f"_{entity}").isNull() | F.col(f"_{entity}._bad").isNotNull()).otherwise(broken)
+    # every record is parsed once, as what it is; only bad ones keep their text
+    rows = records.withColumns(parsed).withColumn("broken", broken)
+    rows = pin(rows.withColumn("text", F.when(F.col("broken"), F.col("text"))))
+    good = {}
     for entity, ddl in BUNDLE_DDL.items():
         columns = [p.strip().split(" ")[0] for p in _split(ddl)]
-        parsed = F.from_json("text", f"{ddl}, _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
-        rows = records.where(F.col("entity") == entity).select("file", "entity", "text", parsed.alias("r"))
-        broken = F.col("r").isNull() | F.col("r._bad").isNotNull()
-        good[entity] = rows.where(~broken).select(*[F.col(f"r.{c}").alias(c) for c in columns])
-        bad.append(rows.where(broken).select("file", "entity", "text"))
-    return good, reduce(DataFrame.unionByName, bad)
+        fine = rows.where(of(entity) & ~F.col("broken"))
+        good[entity] = fine.select(*[F.col(f"_{entity}.{c}").alias(c) for c in columns])
+    return good, rows.where("broken").select("file", "entity", "text")
 
 
 def read_bundle_lines(spark: SparkSession, path: str) -> dict[str, DataFrame]:
