@@ -156,3 +156,20 @@ def test_labels_of_a_hot_case_without_pairs(spark):
         t = i * 9 - 50
         open_ = [n for n in range(max(0, t // 10 - 60), 10_000) if n * 10 <= t and (n % 50 == 0 or t < n * 10 + n * 7 % 43)]
         assert got[i] == (f"s{max(open_)}" if open_ else "not_evaluable")
+
+
+def test_split_quantiles_read_their_rows_once_a_column(spark):
+    df = spark.range(300).select((F.col("id") % 3).alias("g"), (F.col("id") * 7 % 101).cast("double").alias("v")).cache()
+    df.count()
+    seen = spark.sparkContext.accumulator(0)
+
+    def noted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    rows = df.mapInArrow(noted, df.schema)
+    got = {r.g: r for r in summarise(rows, ["g"], "v", (0.5, 0.9), Scale(300, 30)).collect()}
+    assert seen.value <= 600  # one pass for the plain aggregates, one for the counts of values
+    want = {r.g: r for r in summarise(df, ["g"], "v", (0.5, 0.9), Scale(300)).collect()}
+    assert {g: r.asDict() for g, r in got.items()} == {g: r.asDict() for g, r in want.items()}
