@@ -5,6 +5,7 @@ from dataclasses import replace
 import pytest
 
 from traceloom.operators import mining
+from traceloom.plans import workspace
 from traceloom.plans.workspace import Workspace, stored
 from traceloom.sources.tables import session_log
 
@@ -52,3 +53,37 @@ def test_logs_with_too_large_cases_are_not_bucketed(spark, raw):
     assert log.scale.stored_by is None
     ws = Workspace(log, store=True)
     same(ws.transitions, Workspace(raw).transitions)
+
+
+def small_table(spark, folder):
+    """Three users, one with two sessions, one whose sessions have no case, a user of null and repeated ids."""
+    rows = [
+        (1, "2024-01-01 08:00:00", 7, "view", 1.5, 3),
+        (2, "2024-01-01 09:00:00", 7, "click", None, 60),
+        (2, "2024-01-01 09:00:00", 7, "click", None, 60),
+        (3, "2024-01-03 09:00:00", 7, "purchase", 2.0, 10),
+        (4, "2024-01-01 10:00:00", 39, "view", 2.0, 99),
+        (5, "2024-01-01 10:00:00", 49, "signup", 0.0, 60),
+        (6, "2024-01-01 11:00:00", None, "view", 0.0, 1),
+    ]
+    events = spark.createDataFrame(rows, "event_id long, ts string, user_id long, event_type string, value double, k int")
+    events = events.selectExpr("event_id", "to_timestamp(ts) AS ts", "user_id", "event_type", "value", "to_json(struct(k)) AS props")
+    events.write.parquet(f"{folder}/events.parquet")
+    return str(folder)
+
+
+@pytest.mark.parametrize("limit", [2_000_000, 1])
+def test_cases_are_taken_from_the_stored_events(spark, tmp_path, monkeypatch, limit):
+    folder = small_table(spark, tmp_path)
+    raw = session_log(spark, folder)
+    raw = replace(raw, scale=replace(raw.scale, limit=limit))
+    read = []
+    for name in ("pin", "pin_by"):
+        keep = getattr(workspace, name)
+        monkeypatch.setattr(workspace, name, lambda df, *a, keep=keep, **k: read.append(df.inputFiles()) or keep(df, *a, **k))
+    monkeypatch.setattr(workspace, "session_log", lambda *a: raw)
+    log = Workspace.of_sessions(spark, folder, store=True).log
+    assert [any("events.parquet" in f for f in files) for files in read] == [True, False]
+    assert log.cases.count() == 3
+    for got, want in ((log.events, raw.events), (log.cases, raw.cases)):
+        assert sorted(map(str, got.select(*want.columns).collect())) == sorted(map(str, want.collect()))
