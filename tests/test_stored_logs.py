@@ -5,7 +5,7 @@ from dataclasses import replace
 import pytest
 
 from traceloom.operators import mining
-from traceloom.plans import workspace
+from traceloom.plans import queries_review, workspace
 from traceloom.plans.workspace import Workspace, stored
 from traceloom.sources.tables import session_log
 
@@ -87,3 +87,25 @@ def test_cases_are_taken_from_the_stored_events(spark, tmp_path, monkeypatch, li
     assert log.cases.count() == 3
     for got, want in ((log.events, raw.events), (log.cases, raw.cases)):
         assert sorted(map(str, got.select(*want.columns).collect())) == sorted(map(str, want.collect()))
+
+
+def test_compare_process_reads_variants_and_effort_from_storage(spark, tmp_path):
+    """The sequences of the part and the case metrics are worked out once, not once for every measure that reads them."""
+    folder = small_table(spark, tmp_path)
+    got = queries_review.compare_process(spark, folder)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "bit_xor" not in plan and "sha2" not in plan
+    assert got.count() == 15
+
+
+def test_compare_process_works_out_no_waiting_times(spark, tmp_path, monkeypatch):
+    folder = small_table(spark, tmp_path)
+    plans = []
+    for module in (workspace, queries_review):
+        for name in ("pin", "pin_by"):
+            if hasattr(module, name):
+                keep = getattr(module, name)
+                note = lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+                monkeypatch.setattr(module, name, lambda df, *a, keep=keep, **k: note(df) or keep(df, *a, **k))
+    queries_review.compare_process(spark, folder)
+    assert any("rework_count" in p for p in plans) and not any("next_work" in p for p in plans)

@@ -332,12 +332,14 @@ FROM ({m.complexity_sql('')}) a FULL JOIN ({m.complexity_sql('_part', 'pl_part',
 def compare_process(spark, folder):
     """The whole log against the part of one referral source, by all log-level measures."""
     ws = Workspace.of_sessions(spark, folder, store=True)
+    # the only case metrics that the measures read: the windows of the others need not run
+    effort = pin(case_metrics(ws.log.events, ws.log.cases, BASELINE, ws.scale).select("case_id", "rework_count", "handoffs"))
 
     def measures(log, cases):
-        return variants.complexity(log, cases, variants.variant_cores(cases, MINING), ws.wide, ws.scale)
+        return variants.complexity(log, cases, variants.variant_cores(cases, MINING), effort, ws.scale)
 
     part = ws.plog.where("referral_source = 'gp_practice'")
-    some = variants.case_variants(part, MINING, ws.scale)
+    some = pin(variants.case_variants(part, MINING, ws.scale))
     return tidy(whatif.compare_process(measures(ws.plog, ws.case_variants), measures(part, some)))
 
 
