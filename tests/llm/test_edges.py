@@ -160,6 +160,33 @@ def test_items_in_blocks(spark, docs, items, monkeypatch):
     assert sorted(map(tuple, decontamination.leaks(docs, items).collect()), key=str) == whole
 
 
+def planned(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_tables_of_documents_are_not_broadcast(spark, docs, items, monkeypatch):
+    plans, stored = [], decontamination.pin
+    monkeypatch.setattr(decontamination, "pin", lambda df: plans.append(planned(df)) or stored(df))
+    plans.append(planned(decontamination.leaks(docs, items)))
+    sent = [line for plan in plans for line in plan.splitlines() if "BroadcastExchange" in line]
+    assert sent and not [line for line in sent if "struct<doc" in line]
+
+
+def test_blocks_of_items_are_stored_one_by_one(spark, docs, items, monkeypatch):
+    monkeypatch.setattr(decontamination, "BLOCK", 15)
+    assert "BroadcastExchange" not in planned(decontamination.leaks(docs, items))
+
+
+def test_items_that_share_an_id_are_dealt_out(spark, monkeypatch):
+    texts = [" ".join(f"w{i}x{k}" for k in range(5)) for i in range(40)]
+    frames = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string"), spark.createDataFrame([(None, t) for t in texts], "item_id long, text string")
+    blocks, meet = [], decontamination._meet
+    monkeypatch.setattr(decontamination, "_meet", lambda hashed, block: blocks.append(block.count()) or meet(hashed, block))
+    monkeypatch.setattr(decontamination, "BLOCK", 210)
+    assert sorted((r["doc_id"], r["item_id"]) for r in decontamination.leaks(*frames).collect()) == [(i, None) for i in range(40)]
+    assert sum(blocks) == 40 and max(blocks) <= 20  # ten items have 210 blocks of bits
+
+
 def test_crowded_keys_without_broadcast(spark, monkeypatch):
     texts = [(i, f"{GOOD} tail{i % 7}") for i in range(30)]
     frame = spark.createDataFrame(texts, "doc_id long, text string")

@@ -16,9 +16,10 @@ join on (block, bits) and no pair within the radius is missed; the bits that dif
 counted, and the exact similarity decides.  At similarity 0.8 some 10 bits differ, with a standard
 deviation of 3; the radius leaves room for three and a half of these.
 
-Everything is DataFrame functions.  Items come in blocks whose shingles are few enough to be
-broadcast; the documents meet a block in the stage that reads them, so neither texts nor their
-other shingles are shuffled.
+Everything is DataFrame functions.  Items come in blocks whose shingles and blocks of bits are few
+enough to be broadcast; the documents meet a block in the stage that reads them, so neither texts nor
+their other shingles are shuffled.  Nothing else is broadcast: what stems from documents takes many
+times the memory of its files, by which Spark chooses, and so is joined by merging.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ SHINGLE, SIMILARITY = 5, 0.8
 RADIUS = 20
 #: Cuts of the 64 bits into RADIUS + 1 blocks.
 _CUTS = [64 * i // (RADIUS + 1) for i in range(RADIUS + 2)]
-#: Most shingles of items in one broadcast table (some 40 bytes each).
+#: Most shingles, or blocks of bits, of items in one broadcast table (some 100 bytes each).
 BLOCK = 500_000
 
 
@@ -67,7 +68,7 @@ def leaks(docs: DataFrame, items: DataFrame, id: str = "doc_id", text: str = "te
     of_width = F.coalesce(*[F.when(F.col("width") == w, _shingles("hashes", w)) for w in range(1, SHINGLE + 1)])
     prepared = prepared.select("item", "m", "width", of_width.alias("shingles"))
     prepared = pin(prepared.withColumn("no", F.monotonically_increasing_id()))
-    number = prepared.agg(F.sum("m")).first()[0] or 0
+    number = prepared.agg(F.greatest(F.sum("m"), (RADIUS + 1) * F.count(F.lit(1)))).first()[0]
     widths = sorted(r[0] for r in prepared.select("width").distinct().collect())  # five at most
     parts = -(-number // BLOCK) or 1
 
@@ -76,8 +77,11 @@ def leaks(docs: DataFrame, items: DataFrame, id: str = "doc_id", text: str = "te
     )
     # rows that repeat an id stay apart; null ids are equal inside a struct
     key = F.struct("doc", F.xxhash64("hashes").alias("row"), F.size("hashes").alias("n"))
-    hashed = [hashed.select(key.alias("key"), _shingles("hashes", w).alias("shingles")) for w in widths or [SHINGLE]]
-    found = [_meet(hashed, prepared.where(F.pmod(F.xxhash64("item"), F.lit(parts)) == n)) for n in range(parts)]
+    hashed = [hashed.select(key.alias("key"), F.lit(w).alias("width"), _shingles("hashes", w).alias("shingles")) for w in widths or [SHINGLE]]
+    # items that share an id need not share a block
+    found = (_meet(hashed, prepared.where(F.pmod(F.xxhash64("item", "shingles"), F.lit(parts)) == n)) for n in range(parts))
+    # blocks are stored one by one: a plan of them all would hold all that they broadcast
+    found = [pin(block) if parts > 1 else block for block in found]
     best = reduce(DataFrame.unionAll, found).groupBy("doc", "item", "m").agg(F.max("best").alias("best"))
     return best.select(
         F.col("doc").alias(id),
@@ -120,7 +124,7 @@ def _inside(windows: DataFrame, hits: DataFrame) -> DataFrame:
     """The hits of windows (key, m, width, start): both are laid in stretches of m words, so a window meets two of them."""
     stretch = F.explode(F.expr("array(start div m, start div m + 1)")).alias("stretch")
     laid = hits.withColumn("stretch", F.expr("p div m"))
-    meet = windows.select("*", stretch).join(laid, ["key", "m", "width", "stretch"])
+    meet = windows.select("*", stretch).join(laid.hint("merge"), ["key", "m", "width", "stretch"])
     return meet.where("p >= start and p <= start + least(key.n, m) - width").drop("stretch")
 
 
@@ -128,13 +132,12 @@ def _meet(hashed: list[DataFrame], items: DataFrame) -> DataFrame:
     """(doc, item, m, best): best is (similarity, start)."""
     seeds = pin(_seeds(items))
     # outer: else a filter on the size of the array would be moved below and compute it anew per word
-    at = reduce(DataFrame.unionAll, [h.select("key", F.posexplode_outer("shingles").alias("p", "shingle")) for h in hashed])
+    at = reduce(DataFrame.unionAll, [h.select("key", "width", F.posexplode_outer("shingles").alias("p", "shingle")) for h in hashed])
     # BLOCK bounds the broadcast side; only the hits leave this stage
     hits = pin(at.join(F.broadcast(seeds.select("shingle").distinct()), "shingle", "left_semi"))
-    lengths = seeds.where("probe").select("shingle", "m", "width").distinct()
+    lengths = seeds.where("probe").select("shingle", "m").distinct()
     met = hits.join(F.broadcast(lengths), "shingle").select("key", "m", "width").distinct()
-    known = seeds.select("shingle", "width").distinct()
-    placed = pin(hits.join(F.broadcast(known), "shingle").join(met, ["key", "width"]).select("key", "m", "width", "p", "shingle"))
+    placed = pin(hits.join(met.hint("merge"), ["key", "width"]).select("key", "m", "width", "p", "shingle"))
     windows = placed.select("key", "m", "width", F.expr("least(p, greatest(0, key.n - m))").alias("start")).distinct()
     marked = _fingerprint(_inside(windows, placed), "key", "m", "width", "start")
     # as many shingles have to be common
@@ -143,13 +146,13 @@ def _meet(hashed: list[DataFrame], items: DataFrame) -> DataFrame:
 
     shingles = items.select("no", "m", "width", F.explode("shingles").alias("shingle"))
     item_marks = _fingerprint(shingles, "no", "m", "width").select("no", "m", F.col("fp").alias("item_fp"), F.inline(_blocks()))
-    near = marked.select("key", "m", "width", "start", "fp", F.inline(_blocks())).join(pin(item_marks), ["m", "block", "bits"])
+    near = marked.select("key", "m", "width", "start", "fp", F.inline(_blocks())).join(F.broadcast(pin(item_marks)), ["m", "block", "bits"])
     near = near.where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS)
     near = pin(near.select("key", "m", "width", "start", "no").distinct())
 
     inside = _inside(near.select("key", "m", "width", "start").distinct(), placed)
     counts = inside.groupBy("key", "m", "width", "start", "shingle").agg(F.count(F.lit(1)).alias("n"))
-    both = counts.join(near, ["key", "m", "width", "start"]).join(F.broadcast(seeds.select("no", "shingle", "held")), ["no", "shingle"])
+    both = counts.join(near.hint("merge"), ["key", "m", "width", "start"]).join(F.broadcast(seeds.select("no", "shingle", "held")), ["no", "shingle"])
     common = both.groupBy("key", "no", "m", "width", "start").agg(F.sum(F.least("n", "held")).alias("common"))
     scored = common.withColumn("similarity", F.expr(f"common / ({size} + {own} - common)")).where(F.col("similarity") >= SIMILARITY)
     best = scored.groupBy("key", "no", "m").agg(F.max(F.struct("similarity", "start")).alias("best"))
